@@ -9,7 +9,7 @@ then never makes a pair of that rank or less, so these are the very next rounds.
 
 A text is cut where a space follows a character that isn't white space. No match crosses such a cut
 and no lookahead sees past it, so each stretch between cuts is encoded once and remembered by its text.
-The memory is bounded by MEMO_CHARS and starts anew beyond it.
+What is remembered is bounded.
 
 Defined results: a null or empty text has no ids, and the digests of the empty string. Decoding gives
 back the UTF-8 bytes of every text exactly.
@@ -22,6 +22,7 @@ import hashlib
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +31,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table_of, whole_text
+from .common import Remembered, slices, table_of, whole_text
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Cells of a matrix, and characters of remembered stretches.
-CELLS, MEMO_CHARS = 1 << 20, 4_000_000
+#: Cells of a matrix.
+CELLS = 1 << 20
 NONE = np.int32(2**31 - 1)
 _SPACE_RUN = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S)(?= )")
@@ -175,32 +176,24 @@ def stretches(text: str) -> list[str]:
 
 
 class Memo:
-    """Ids (as decimal text) and decoded bytes by stretch, led by a space or not."""
+    """Ids (as decimal text) and decoded bytes by stretch: of first stretches, and of those led by a space."""
 
     def __init__(self, bpe: ByteBPE):
-        self.bpe, self.chars = bpe, 0
-        self.ids: tuple[dict, dict] = ({}, {})
-        self.bytes: tuple[dict, dict] = ({}, {})
+        self.bpe = bpe
+        self.first, self.others = Remembered(50_000), Remembered(400_000)
 
     def learn(self, firsts: set[str], others: set[str]) -> None:
-        new = [(k, x) for k, xs in ((0, firsts), (1, others)) for x in xs if x not in self.ids[k]]
-        if self.chars > MEMO_CHARS:
-            for d in (*self.ids, *self.bytes):
-                d.clear()
-            self.chars, new = 0, [(k, x) for k, xs in ((0, firsts), (1, others)) for x in xs]
-        split = [[m.encode() for m in self.bpe.split(" " + x if k else x)] for k, x in new]
-        known = self.bpe.encode_pieces(p for pieces in split for p in pieces)
-        for (k, x), pieces in zip(new, split):
-            ids = [i for p in pieces for i in known[p]]
-            self.ids[k][x] = ",".join(map(str, ids))
-            self.bytes[k][x] = self.bpe.decode(ids)
-            self.chars += len(x) + 24
+        new = [(self.first, x, x) for x in self.first.missing(firsts)] + [(self.others, x, " " + x) for x in self.others.missing(others)]
+        split = [[m.encode() for m in self.bpe.split(text)] for _, _, text in new]
+        known = self.bpe.encode_pieces(chain.from_iterable(split))
+        for (memory, x, _), pieces in zip(new, split):
+            ids = list(chain.from_iterable(map(known.__getitem__, pieces)))
+            memory[x] = ",".join(map(str, ids)), self.bpe.decode(ids)
 
     def both(self, parts: list[str]) -> tuple[str, bytes]:
-        ids, raw = list(map(self.ids[1].__getitem__, parts[1:])), list(map(self.bytes[1].__getitem__, parts[1:]))
-        if parts[0]:
-            ids.insert(0, self.ids[0][parts[0]])
-            raw.insert(0, self.bytes[0][parts[0]])
+        found = [self.first[parts[0]]] if parts[0] else []
+        found += map(self.others.__getitem__, parts[1:])
+        ids, raw = zip(*found) if found else ((), ())
         return ",".join(ids), b"".join(raw)
 
 
@@ -222,7 +215,7 @@ def encode_decode(docs: DataFrame, vocabulary: str | None = None, pattern: str =
         for batch in batches:
             for start, texts in slices(batch):
                 cut = [stretches(x) for x in texts]
-                memo.learn({c[0] for c in cut if c[0]}, {x for c in cut for x in c[1:]})
+                memo.learn({c[0] for c in cut if c[0]}, set(chain.from_iterable(c[1:] for c in cut)))
                 counts, ids_sums, decoded_sums = [], [], []
                 for parts in cut:
                     ids, raw = memo.both(parts)

@@ -65,5 +65,30 @@ def slices(batch: pa.RecordBatch, column: str = "text", chars: int = SLICE_CHARS
         yield start, values.slice(start).to_pylist()
 
 
+class Remembered(dict):
+    """What was computed for a stretch of text, by the stretch; at most `most` entries.
+
+    When it is full, only entries that were needed again since the last time are kept (none, if they are
+    over half). What it returns never depends on what it holds.
+    """
+
+    def __init__(self, most: int = 600_000):
+        super().__init__()
+        self.most, self.again = most, set()
+
+    def missing(self, wanted: set) -> list:
+        """Makes room, and returns what of `wanted` is to be computed now."""
+        new = wanted - self.keys()
+        if len(self) + len(new) > self.most:
+            kept = {k: self[k] for k in self.again} if 2 * len(self.again) < self.most else {}
+            self.clear()
+            self.update(kept)
+            self.again = set()
+            new = wanted - self.keys()
+        else:
+            self.again |= wanted - new
+        return list(new)
+
+
 def table_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -16,6 +16,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +25,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, slices, table_of, whole_text
+from .common import Remembered, shared_dir, slices, table_of, whole_text
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 1
-#: A block is closed at so many ids; remembered stretches start anew beyond so many characters.
-BLOCK_IDS, MEMO_CHARS = 1 << 18, 4_000_000
+#: A block is closed at so many ids.
+BLOCK_IDS = 1 << 18
 _BREAKS = re.compile(r"[\n\r\t]")
 
 
@@ -64,34 +65,45 @@ def unpack(data: bytes, bits: int, start: int, stop: int) -> np.ndarray:
     return out.reshape(-1)[start - first:n].astype(np.uint32)
 
 
-class WordEncoder(dict):
+class WordEncoder:
     """Ids (little-endian 32-bit) by stretch between spaces, made by the tokenizer's library.
 
-    The vocabulary drops white space and its words never cross it, so stretches can be encoded alone.
+    The vocabulary drops white space and its words never cross it, so stretches can be encoded alone. New
+    ones go to the library together, parted by a sign whose id no other text yields; stretches that hold
+    the sign go one by one.
     """
 
+    SIGN = "|"
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
+        self.known = Remembered()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.bits = max(1, (self.tokenizer.get_vocab_size() - 1).bit_length())
-        self.chars = 0
+        self.sign_id = self.tokenizer.encode(self.SIGN, add_special_tokens=False).ids[0]
 
     def learn(self, stretches: set[str]) -> None:
-        if self.chars > MEMO_CHARS:
-            self.clear()
-            self.chars = 0
-        new = [x for x in stretches if x not in self]
-        for x, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self[x] = np.array(found.ids, "<u4").tobytes()
-        self.chars += sum(map(len, new)) + 24 * len(new)
+        new = self.known.missing(stretches)
+        plain = [x for x in new if self.SIGN not in x]
+        joined = [f" {self.SIGN} ".join(plain[i:i + 500]) for i in range(0, len(plain), 500)]
+        ids = [np.array([*found.ids, self.sign_id], "<u4") for found in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
+        if ids:
+            flat = np.concatenate(ids)
+            ends = np.flatnonzero(flat == self.sign_id).tolist()
+            raw, start = flat.tobytes(), 0
+            for x, end in zip(plain, ends, strict=True):
+                self.known[x] = raw[4 * start:4 * end]
+                start = end + 1
+        for x in new:
+            if self.SIGN in x:
+                self.known[x] = np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [_BREAKS.sub(" ", x).split(" ") for x in texts]
-        self.learn({x for c in cut for x in c})
-        return [b"".join(map(self.__getitem__, c)) for c in cut]
+        self.learn(set(chain.from_iterable(cut)))
+        return [b"".join(map(self.known.__getitem__, c)) for c in cut]
 
 
 @lru_cache(2)
