@@ -3,9 +3,9 @@
 A text is split by the pattern; each match is encoded on its own. Matches are put into buckets by
 their length in bytes, each bucket being a padded numpy matrix with a row for each match. A round
 looks all adjacent pairs up in a hash table, merges each row's leftmost pair of least rank, and
-compacts rows and columns. Where every merge's rank exceeds those of its parts (checked when the
-vocabulary is loaded), a round also merges the later pairs of the same rank that don't overlap: a merge
-then never makes a pair of that rank or less, so these are the very next rounds. Else it merges one.
+compacts rows and columns. Unless the new token would form a pair of its own rank or less with a
+neighbour, the round also merges the row's later pairs of the same rank that don't overlap, since these
+would be the very next rounds. Else it merges one.
 
 A text is cut where a space follows a character that isn't white space. No match crosses such a cut
 and no lookahead sees past it, so each stretch between cuts is encoded once and remembered by its text.
@@ -51,13 +51,13 @@ class PairTable:
 
     def __init__(self, ranks: dict[bytes, int]):
         pairs = {}
-        self.rising = True
+        self.rising = np.ones(max(ranks.values()) + 1, bool)
         for token, rank in ranks.items():
             for i in range(1, len(token)):
                 a, b = ranks.get(token[:i]), ranks.get(token[i:])
                 if a is not None and b is not None:
                     pairs[a << 32 | b] = rank
-                    self.rising &= rank > a and rank > b
+                    self.rising[[x for x in (a, b) if rank <= x]] = False
         self.bits = max(4, (4 * len(pairs)).bit_length())
         size = 1 << self.bits
         self.keys = np.full(size, -1, np.int64)
@@ -142,13 +142,13 @@ class ByteBPE:
                     return result
             picked = ranks == least[:, None]
             column = np.arange(picked.shape[1])
-            if self.pairs.rising:  # of neighbours that overlap every other one, from the left
-                begins = picked.copy()
-                begins[:, 1:] &= ~picked[:, :-1]
-                run = np.maximum.accumulate(np.where(begins, column, 0), axis=1)
-                picked &= (column - run) % 2 == 0
-            else:
-                picked = column == picked.argmax(axis=1)[:, None]
+            begins = picked.copy()
+            begins[:, 1:] &= ~picked[:, :-1]
+            run = np.maximum.accumulate(np.where(begins, column, 0), axis=1)
+            one = column == picked.argmax(axis=1)[:, None]
+            picked &= (column - run) % 2 == 0  # of neighbours that overlap every other one, from the left
+            if not self.pairs.rising[least].all():
+                picked = np.where(self._early(ids, picked, least)[:, None], one, picked)
             row, at = np.nonzero(picked)
             ids[row, at] = least[row]
             ids[row, at + 1] = -1
@@ -158,6 +158,16 @@ class ByteBPE:
             packed[np.arange(packed.shape[1]) < count[:, None]] = ids[keep]
             ids = packed
 
+    def _early(self, ids: np.ndarray, picked: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """Rows in which a merged token would at some time form a pair of its own rank or less."""
+        row, at = np.nonzero(picked)
+        wide = np.pad(ids, ((0, 0), (1, 1)), constant_values=-1)
+        new = least[row]
+        soon = np.minimum.reduce([self.pairs.find(wide[row, at], new), self.pairs.find(new, wide[row, at + 3]), self.pairs.find(new, new)])
+        out = np.zeros(len(ids), bool)
+        out[row[soon <= new]] = True
+        return out
+
     def encode(self, text: str) -> list[int]:
         pieces = [m.encode() for m in self.split(text)]
         known = self.encode_pieces(pieces)

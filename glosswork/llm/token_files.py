@@ -30,7 +30,6 @@ from .common import Remembered, shared_dir, slices, table_of, whole_text
 VOCABULARY, END_ID = "word_bpe_49k.json", 1
 #: A block is closed at so many ids.
 BLOCK_IDS = 1 << 18
-_BREAKS = re.compile(r"[\n\r\t]")
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
@@ -66,14 +65,17 @@ def unpack(data: bytes, bits: int, start: int, stop: int) -> np.ndarray:
 
 
 class WordEncoder:
-    """Ids (little-endian 32-bit) by stretch between spaces, made by the tokenizer's library.
+    """Ids (little-endian 32-bit) by stretch of text, made by the tokenizer's library.
 
-    The vocabulary drops white space and its words never cross it, so stretches can be encoded alone. New
-    ones go to the library together, parted by a sign whose id no other text yields; stretches that hold
-    the sign go one by one.
+    The vocabulary drops white space and its words never cross it, nor a step from a letter or digit to a full
+    stop or comma, so stretches between these can be encoded alone. ASCII texts are lower-cased first, as
+    the vocabulary does itself. New stretches go to the library together: those of Latin letters only are
+    one word each, whose last id ends a word; the others are parted by a sign whose id nothing else yields,
+    and stretches that hold the sign go one by one.
     """
 
     SIGN = "|"
+    _STOP = re.compile(r"[.,](?<=[^\W_][.,])")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -81,27 +83,42 @@ class WordEncoder:
         self.known = Remembered()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.bits = max(1, (self.tokenizer.get_vocab_size() - 1).bit_length())
+        size = self.tokenizer.get_vocab_size()
+        self.bits = max(1, (size - 1).bit_length())
         self.sign_id = self.tokenizer.encode(self.SIGN, add_special_tokens=False).ids[0]
+        self.ends = np.zeros(size, bool)
+        self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+
+    def _together(self, stretches: list[str], between: str) -> np.ndarray:
+        joined = [between.join(stretches[i:i + 100]) + between for i in range(0, len(stretches), 100)]
+        return np.concatenate([np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)])
 
     def learn(self, stretches: set[str]) -> None:
         new = self.known.missing(stretches)
-        plain = [x for x in new if self.SIGN not in x]
-        joined = [f" {self.SIGN} ".join(plain[i:i + 500]) for i in range(0, len(plain), 500)]
-        ids = [np.array([*found.ids, self.sign_id], "<u4") for found in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
-        if ids:
-            flat = np.concatenate(ids)
-            ends = np.flatnonzero(flat == self.sign_id).tolist()
-            raw, start = flat.tobytes(), 0
-            for x, end in zip(plain, ends, strict=True):
-                self.known[x] = raw[4 * start:4 * end]
-                start = end + 1
-        for x in new:
+        words = [x for x in new if x.isalpha() and (x.isascii() or max(x) < "\u0100")]
+        if words:
+            ids = self._together(words, " ")
+            self._keep(words, ids, np.flatnonzero(self.ends[ids]) + 1, 0)
+        rest = list(set(new).difference(words))
+        parted = [x for x in rest if self.SIGN not in x]
+        if parted:
+            ids = self._together(parted, f" {self.SIGN} ")
+            self._keep(parted, ids, np.flatnonzero(ids == self.sign_id), 1)
+        for x in rest:
             if self.SIGN in x:
                 self.known[x] = np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _keep(self, stretches: list[str], ids: np.ndarray, ends: np.ndarray, skip: int) -> None:
+        raw, start = ids.tobytes(), 0
+        for x, end in zip(stretches, ends.tolist(), strict=True):
+            self.known[x] = raw[4 * start:4 * end]
+            start = end + skip
+
+    def _cut(self, text: str) -> list[str]:
+        return self._STOP.sub(r" \g<0>", text.replace("\n", " ").replace("\r", " ").replace("\t", " ")).split(" ")
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [_BREAKS.sub(" ", x).split(" ") for x in texts]
+        cut = [self._cut(x.lower() if x.isascii() else x) for x in texts]
         self.learn(set(chain.from_iterable(cut)))
         return [b"".join(map(self.known.__getitem__, c)) for c in cut]
 
