@@ -8,8 +8,8 @@ survivors are confirmed on the full shingle sets. Links make components.
 
 A pair of members of which neither is the least of its bucket needs no test if a component holds both.
 Buckets that still hold several components are finished exactly: members outside the component of the least
-one, in blocks, meet all other members of the bucket, in blocks. So no candidate is lost, and a bucket
-of one large group costs its size, not its square.
+one, in blocks, meet all other members of the bucket, in blocks, by signatures of 1024 more slots. So no
+candidate is lost, and a bucket of one large group costs its size, not its square.
 
 Defined results: texts without words have no shingles and link with nothing; fewer words than a shingle make
 one of all; a row without doc_id links with nothing and is kept; rows with equal doc_id are one
@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from math import comb
+from math import exp, lgamma, log
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +31,14 @@ from .common import Remembered, slices, stored, table_of, whole_text
 
 BANDS, ROWS = 32, 6
 PERMUTATIONS = BANDS * ROWS
-BATCH, MISS = 32, 1e-6
+BATCH, MISS = 32, 1e-5
 CHUNK = 256
 _UPPER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)} | {c: " " for c in "\t\n\x0b\x0c\r"})
 _rng = np.random.default_rng(7)
 _A = _rng.integers(1, 2**32, PERMUTATIONS, dtype=np.uint32) | np.uint32(1)
-_B = _rng.integers(0, 2**32, PERMUTATIONS, dtype=np.uint32)
+#: Slots of the longer signatures of documents in buckets that stay open.
+LONG = 1024
+_A_LONG = _rng.integers(1, 2**32, LONG, dtype=np.uint32) | np.uint32(1)
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -73,13 +75,15 @@ class Shingler:
         return out
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """Minima of multiplicative permutations of the shingles' upper halves, mixed."""
+def signature(shingles: np.ndarray, factors: np.ndarray = _A) -> np.ndarray:
+    """Minima of multiplicative permutations of the shingles' halves, mixed."""
     x = (shingles >> np.uint64(32)).astype(np.uint32) ^ shingles.astype(np.uint32)
-    least = np.full(PERMUTATIONS, 2**32 - 1, np.uint32)
-    for i in range(0, len(x), 512):
-        part = x[i:i + 512, None] * _A + _B
-        np.minimum(least, part.min(axis=0), out=least)
+    least = np.full(len(factors), 2**32 - 1, np.uint32)
+    room = np.empty((min(len(x), 256), len(factors)), np.uint32)
+    for i in range(0, len(x), 256):
+        part = x[i:i + 256, None]
+        np.multiply(part, factors, out=room[:len(part)])
+        np.minimum(least, room[:len(part)].min(axis=0), out=least)
     return least
 
 
@@ -93,14 +97,14 @@ def bands_of(least: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def least_matches(threshold: float, miss: float = MISS) -> list[int]:
+def least_matches(threshold: float, slots: int, miss: float = MISS) -> list[int]:
     """For each number n of slots compared, by batches: the fewest matches with a posterior chance of at least
     `miss` that the similarity reaches the threshold; from a uniform prior it is P(Binomial(n + 1, t) <= m)."""
     out = []
-    for n in range(BATCH, PERMUTATIONS + 1, BATCH):
+    for n in range(BATCH, slots + 1, BATCH):
         total = 0.0
         for m in range(n + 1):
-            total += comb(n + 1, m) * threshold**m * (1 - threshold) ** (n + 1 - m)
+            total += exp(lgamma(n + 2) - lgamma(m + 1) - lgamma(n + 2 - m) + m * log(threshold) + (n + 1 - m) * log(1 - threshold))
             if total >= miss:
                 break
         out.append(m)
@@ -120,8 +124,23 @@ def surviving(a: np.ndarray, b: np.ndarray, least: list[int]) -> np.ndarray:
     return alive
 
 
-def _signatures(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, PERMUTATIONS)
+def _signatures(column: pa.Array, slots: int = PERMUTATIONS) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, slots)
+
+
+def long_signatures(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """(id, long): further slots, of the documents in ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(size)
+        for batch in batches:
+            for start, texts in slices(batch):
+                sets = shingler.sets([words_of(t) for t in texts])
+                found = [signature(s, _A_LONG).astype(np.uint16).tobytes() for s in sets]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), pa.array(found, pa.binary())], ["id", "long"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), whole_text().alias("text")).join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    return texts.mapInArrow(run, "id long, long binary")
 
 
 def fingerprints(docs: DataFrame, size: int) -> DataFrame:
@@ -194,7 +213,7 @@ def classified(docs: DataFrame, size: int, threshold: int) -> DataFrame:
     buckets = stored(keyed.groupBy("key").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1"), "near-buckets")
     members = stored(keyed.join(buckets, "key"), "near-members")
     sigs = reps.select("id", "sig")
-    least = least_matches(threshold / 100)
+    least, least_long = least_matches(threshold / 100, PERMUTATIONS), least_matches(threshold / 100, LONG)
 
     def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,8 +232,9 @@ def classified(docs: DataFrame, size: int, threshold: int) -> DataFrame:
     if not outside.isEmpty():
         open_keys = outside.select("key").distinct()
         chunk = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / CHUNK))
-        listed = lambda df: df.join(sigs, "id").groupBy("key", chunk.alias("chunk")).agg(F.collect_list(F.struct("id", "comp", "sig")).alias("m"))
+        listed = lambda df: df.join(sigs, "id").join(longer, "id").groupBy("key", chunk.alias("chunk")).agg(F.collect_list(F.struct("id", "comp", "sig", "long")).alias("m"))
         rest = placed.where("id <> pivot").join(open_keys, "key", "left_semi")
+        longer = stored(long_signatures(docs, rest.select("id").distinct(), size), "near-long")
         meet = listed(outside).select("key", F.col("m").alias("x")).join(listed(rest).select("key", F.col("m").alias("y")), "key")
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,7 +244,11 @@ def classified(docs: DataFrame, size: int, threshold: int) -> DataFrame:
                     (xi, xc), (yi, yc) = ((v.field(0).to_numpy(), v.field(1).to_numpy()) for v in (x, y))
                     i, j = np.nonzero(xc[:, None] != yc[None, :])
                     keep = surviving(_signatures(x.field(2))[i], _signatures(y.field(2))[j], least) if len(i) else np.empty(0, int)
-                    a, b = xi[i[keep]], yi[j[keep]]
+                    i, j = i[keep], j[keep]
+                    if len(i):
+                        keep = surviving(_signatures(x.field(3), LONG)[i], _signatures(y.field(3), LONG)[j], least_long)
+                        i, j = i[keep], j[keep]
+                    a, b = xi[i], yi[j]
                     yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b), pa.int64()), pa.array(np.minimum(a, b), pa.int64())], ["a", "b"])
 
         more = confirmed(meet.select("x", "y").mapInArrow(compare, "a long, b long").distinct(), docs, size, threshold)
