@@ -31,15 +31,16 @@ def _words(norm: str = "norm") -> Column:
     return F.split(norm, " ")
 
 
-def _halves(words: Column) -> Column:
-    """Keys of the first and last halves, at the sizes that a line or one a word shorter has."""
-    n = F.size(words)
-    sizes = F.array_distinct(F.array(F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")))
+def _count(norm: str = "norm") -> Column:
+    """Words of a normal form."""
+    return F.octet_length(norm) - F.octet_length(F.replace(F.col(norm), F.lit(" "), F.lit(""))) + 1
 
-    def keys(side: str, start) -> Column:
-        return F.transform(sizes, lambda h: F.xxhash64(F.lit(side), h, F.slice(words, start(h), h)))
 
-    return F.concat(keys("first", lambda h: F.lit(1)), keys("last", lambda h: n - h + 1))
+def _halves(norm: str = "norm") -> Column:
+    """Keys of the first and last halves, at the sizes that a line or one a word shorter has."""
+    n = _count(norm)
+    longer, shorter = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
+    return F.array_distinct(F.array(*(F.xxhash64(F.lit(sign), h, F.call_function("substring_index", F.col(norm), F.lit(" "), h * sign)) for h in (longer, shorter) for sign in (1, -1))))
 
 
 def _variants(hashes: Column) -> Column:
@@ -63,13 +64,17 @@ def within_one_word(a: Column, b: Column) -> Column:
 def exploded(docs: DataFrame, min_words: int) -> DataFrame:
     """A row per line that is judged: document key, position, normal form and its hashes."""
     lines = docs.select("did", "th", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    lines = lines.select("did", "th", "pos", F.trim(F.regexp_replace(F.lower("line"), r"\s+", " ")).alias("norm"))
-    return lines.where(F.regexp_count("norm", F.lit(" ")) >= min_words - 1).select("*", F.xxhash64("norm").alias("h1"), F.hash("norm").alias("h2"))
+    wide = F.contains("line", F.lit("  "))
+    for c in "\t\r\x0b\x0c":
+        wide |= F.contains("line", F.lit(c))
+    lower = F.lower("line")
+    lines = lines.select("did", "th", "pos", F.trim(F.when(wide, F.regexp_replace(lower, r"\s+", " ")).otherwise(lower)).alias("norm"))
+    return lines.where(_count() >= min_words).select("*", F.xxhash64("norm").alias("h1"), F.hash("norm").alias("h2"))
 
 
 def near_earlier(lines: DataFrame) -> DataFrame:
     """(h1, h2) of the distinct lines that come after a different line within the bound."""
-    keys = lines.select("h1", "h2", F.explode(_halves(_words())).alias("key"))
+    keys = lines.select("h1", "h2", F.explode(_halves()).alias("key"))
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     alive = keys.join(shared, "key", "left_semi").select("h1", "h2").distinct()
     left = stored(lines.join(alive, ["h1", "h2"], "left_semi"), "lines-alike")

@@ -6,7 +6,7 @@ risk(toxic as clean)), with logistic loss; when the second term falls below zero
 backwards. The class prior is the share of toxic rows among all labelled training rows.
 
 The training sample is bounded and documented: POSITIVES confirmed and UNLABELLED other documents of the
-training folds, least hash first, FEATURES words that tell them apart best. Scores cover every whole text.
+training folds, least hash first, at most FEATURES words whose shares in the two samples differ by APART standard errors. Scores cover every whole text.
 
 Defined results: a null or empty text scores the bias alone; without confirmed toxic rows every score is
 the prior (0 without labels); repeated rows get equal scores; labels of null or unknown documents are left out.
@@ -26,7 +26,8 @@ from .common import slices, stored, table_of, whole_text
 
 #: Bounds of the training sample, and of the model.
 POSITIVES, UNLABELLED, FEATURES = 4000, 8000, 2000
-EPOCHS, BATCH, RATE, DECAY = 60, 512, 0.05, 1e-4
+APART = 4.0  # standard errors by which a word's shares in the two samples must differ
+EPOCHS, BATCH, RATE, DECAY = 400, 8000, 0.05, 1e-4
 _STOPS = re.compile(r"[^\w\s]+")
 
 
@@ -98,8 +99,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], float]:
         return {}, float(np.log(prior / (1 - prior)))
     share = lambda k: F.sum(F.when(F.col("kind") == k, 1.0).otherwise(0.0)) / F.lit(float(sizes.get(k, 0) or 1))
     spread = sample.select("kind", F.explode("words").alias("word")).groupBy("word").agg(share(1).alias("p"), share(0).alias("u"))
-    gap = F.abs(F.col("p") - F.col("u")) / F.sqrt((F.col("p") + F.col("u")) / 2 + F.lit(0.5 / sizes[1]))
-    vocabulary = [r.word for r in spread.orderBy(gap.desc(), "word").limit(FEATURES).collect()]
+    positives, rest = float(sizes[1]), float(sizes.get(0, 0) or 1)
+    spread_of = F.sqrt((F.col("p") + 1 / positives) / positives + (F.col("u") + 1 / rest) / rest)
+    gap = F.abs(F.col("p") - F.col("u")) / spread_of
+    vocabulary = [r.word for r in spread.where(gap >= APART).orderBy(gap.desc(), "word").limit(FEATURES).collect()]
+    if not vocabulary:
+        return {}, float(np.log(prior / (1 - prior)))
     index = {w: i for i, w in enumerate(vocabulary)}
     listed = F.array(*(F.lit(w) for w in vocabulary))
     rows = sample.orderBy("doc_id", "kind").select("kind", F.array_intersect("words", listed).alias("words")).toLocalIterator()
