@@ -92,15 +92,19 @@ class Index:
 def nearest(query: np.ndarray, own: int, code: np.ndarray, index: Index, ids: np.ndarray, x: np.ndarray, reach: float, top: int) -> tuple[np.ndarray, np.ndarray]:
     """(vec_ids, scores) of the nearest found in a block. reach: length of query times the greatest of all vectors."""
     seen, rows, scores = np.zeros(len(ids), bool), np.empty(0, np.int64), np.empty(0)
-    for s in range(BITS // PARTS + 1):
+    s, last = 0, BITS // PARTS
+    while True:
         new = index.within(code, s)
         new = new[~seen[new] & (ids[new] != own)]
         seen[new] = True
         rows, scores = np.concatenate([rows, new]), np.concatenate([scores, (x[new] * query).sum(axis=1)])
+        need = last
         if len(rows) >= top:
             p = np.arccos(np.clip(np.partition(scores, -top)[-top] / reach, -1, 1)) / np.pi
-            if BITS * p + SLACK * np.sqrt(BITS * p * (1 - p)) <= PARTS * s + PARTS - 1:
-                break
+            need = min(last, int(np.ceil((BITS * p + SLACK * np.sqrt(BITS * p * (1 - p)) - PARTS + 1) / PARTS)))
+        if s >= need:
+            break
+        s = min(s + 2, need)
     best = np.lexsort((ids[rows], -scores))[:top]
     return ids[rows[best]], scores[best]
 
