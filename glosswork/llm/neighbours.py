@@ -6,6 +6,8 @@ indexed by a direct table. By the pigeonhole principle a code within Hamming rad
 with it in some substring up to s bits: probing these buckets of each table retrieves every code within the
 radius. Retrieved vectors are reranked by exact inner products in double precision.
 
+Where so many buckets are due that probing would touch most of a block, its codes are read through instead.
+
 The radius of a query grows until a vector as near as its present 20th would lie outside with small
 chance only, as bits differ with the probability angle / pi. Vectors of unequal length get one more
 coordinate first, which makes the largest inner product the smallest angle.
@@ -64,16 +66,14 @@ class Index:
         self.codes = codes
         self.order = [np.argsort(codes[:, j], kind="stable") for j in range(PARTS)]
         self.starts = [np.searchsorted(codes[o, j], np.arange((1 << 16) + 1)) for j, o in enumerate(self.order)]
-        self.occupied = [np.unique(codes[:, j]) for j in range(PARTS)]
 
     def within(self, code: np.ndarray, s: int) -> np.ndarray:
         """Rows of all codes within Hamming radius 4 s + 3."""
+        if s >= len(_MASKS):  # the probes would touch most buckets: the same rows, in one reading of the codes
+            return np.flatnonzero(_POP16[self.codes ^ code].sum(axis=1, dtype=np.uint8) <= PARTS * s + PARTS - 1)
         found = []
         for j in range(PARTS):
-            if s < len(_MASKS):
-                buckets = np.concatenate(_MASKS[:s + 1]) ^ code[j]
-            else:
-                buckets = self.occupied[j][_POP16[self.occupied[j] ^ code[j]] <= s]
+            buckets = np.concatenate(_MASKS[:s + 1]) ^ code[j]
             a, b = self.starts[j][buckets], self.starts[j][buckets.astype(np.int64) + 1]
             full = b > a
             a, n = a[full], (b - a)[full]
