@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import stored, table_of, whole_text
 
 MIN_WORDS = 5
+#: Keys of eight or twelve bytes that are broadcast; more are joined by shuffle.
+BROADCAST_KEYS = 1_000_000
 _NO_ID = -(2**63)
 
 
@@ -43,11 +45,29 @@ def _halves(norm: str = "norm") -> Column:
     return F.array_distinct(F.array(*(F.xxhash64(F.lit(sign), h, F.call_function("substring_index", F.col(norm), F.lit(" "), h * sign)) for h in (longer, shorter) for sign in (1, -1))))
 
 
-def _variants(hashes: Column) -> Column:
-    """(place, key) of the whole sequence at place 0 and of those with the word at each place left out."""
-    n = F.size(hashes)
-    one = F.transform(F.sequence(F.lit(1), n), lambda p: F.struct(p.alias("p"), F.xxhash64(F.concat(F.slice(hashes, F.lit(1), p - 1), F.slice(hashes, p + 1, n - p))).alias("v")))
-    return F.concat(F.array(F.struct(F.lit(0).alias("p"), F.xxhash64(hashes).alias("v"))), one)
+def _mixed(words: Column, ahead: int) -> Column:
+    """A hash of each word with its place, or with the place before it."""
+    return F.transform(words, lambda w, i: F.xxhash64(w, i - ahead))
+
+
+def _variants(words: Column) -> Column:
+    """(place, key) of the whole sequence at place 0 and of those with the word at each place left out.
+
+    A sequence's key is the exclusive or of its words' hashes with their places, so that leaving out the next
+    word instead changes two terms only: all keys of a line are one running exclusive or.
+    """
+    here, before = _mixed(words, 0), _mixed(words, 1)
+    xor = lambda a, b: a.bitwiseXOR(b)
+    none = F.lit(0).cast("long")
+    whole, moved = F.aggregate(here, none, xor), F.aggregate(before, none, xor)
+    steps = F.zip_with(before, F.concat(F.array(none), F.slice(here, F.lit(1), F.size(here) - 1)), xor)
+    start = F.struct(moved.alias("run"), F.array(F.struct(F.lit(0).alias("p"), whole.alias("v"))).alias("out"))
+
+    def step(a: Column, d: Column) -> Column:
+        run = xor(a.run, d)
+        return F.struct(run.alias("run"), F.concat(a.out, F.array(F.struct(F.size(a.out).alias("p"), run.alias("v")))).alias("out"))
+
+    return F.aggregate(steps, start, step, lambda a: a.out)
 
 
 def within_one_word(a: Column, b: Column) -> Column:
@@ -62,33 +82,44 @@ def within_one_word(a: Column, b: Column) -> Column:
 
 
 def exploded(docs: DataFrame, min_words: int) -> DataFrame:
-    """A row per line that is judged: document key, position, normal form and its hashes."""
-    lines = docs.select("did", "th", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    wide = F.contains("line", F.lit("  "))
+    """A row per line that is judged: document key, position, normal form, its hashes and those of its halves.
+
+    Case and white space are settled on the whole text, once, as a filter on lines would do it again.
+    """
+    wide = F.contains("text", F.lit("  "))
     for c in "\t\r\x0b\x0c":
-        wide |= F.contains("line", F.lit(c))
-    lower = F.lower("line")
-    lines = lines.select("did", "th", "pos", F.trim(F.when(wide, F.regexp_replace(lower, r"\s+", " ")).otherwise(lower)).alias("norm"))
-    return lines.where(_count() >= min_words).select("*", F.xxhash64("norm").alias("h1"), F.hash("norm").alias("h2"))
+        wide |= F.contains("text", F.lit(c))
+    lower = F.lower("text")
+    settled = F.when(wide, F.regexp_replace(lower, "[ \\t\\r\\x0b\\x0c]+", " ")).otherwise(lower)
+    lines = docs.select("did", "th", F.posexplode(F.split(settled, "\n", -1)).alias("pos", "line"))
+    norm = F.trim("line")
+    many = F.call_function("substring_index", norm, F.lit(" "), F.lit(min_words - 1)) != norm
+    lines = lines.where(many).select("did", "th", "pos", norm.alias("norm"))
+    return lines.select("*", F.xxhash64("norm").alias("h1"), F.hash("norm").alias("h2"), _halves().alias("halves"))
+
+
+def _among(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """The rows whose key is in a written table; a short one is broadcast, a longer one joined by shuffle."""
+    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, on, "left_semi")
 
 
 def near_earlier(lines: DataFrame) -> DataFrame:
     """(h1, h2) of the distinct lines that come after a different line within the bound."""
-    keys = lines.select("h1", "h2", F.explode(_halves()).alias("key"))
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    alive = keys.join(shared, "key", "left_semi").select("h1", "h2").distinct()
-    left = stored(lines.join(alive, ["h1", "h2"], "left_semi"), "lines-alike")
-    hashed = left.select("h1", "did", "pos", F.transform(_words(), lambda w: F.xxhash64(w)).alias("hashes"))
-    variants = hashed.select("h1", "did", "pos", F.inline(_variants(F.col("hashes"))))
-    earliest = F.min(F.struct("did", "pos", "h1"))
-    by_place = variants.groupBy("v", "p").agg(earliest.alias("m"), F.count(F.lit(1)).alias("n"))
-    groups = by_place.groupBy("v").agg(F.sum("n").alias("n"), F.min(F.when(F.col("p") == 0, F.col("m"))).alias("whole"), F.min(F.when(F.col("p") > 0, F.col("m"))).alias("deleted"), F.max(F.col("n")).alias("most"))
-    groups = stored(groups.where("n > 1 and (most > 1 or whole is not null)").select("v", "whole", "deleted"), "variant-groups")
-    places = stored(by_place.where("n > 1 and p > 0").select("v", "p", "m"), "variant-places")
-    mine = F.struct("did", "pos", "h1")
-    here = variants.join(groups, "v").join(places.withColumnRenamed("m", "replaced"), ["v", "p"], "left")
+    keys = lines.select("h1", F.explode("halves").alias("key"))
+    differ = [F.min("h1").alias("one"), F.max("h1").alias("other")]
+    shared = stored(keys.groupBy("key").agg(*differ).where("one <> other").select("key"), "halves-shared")
+    alive = stored(_among(keys, shared, ["key"]).select("h1").distinct(), "lines-alive")
+    left = _among(lines.select("h1", "h2", "did", "pos", "norm"), alive, ["h1"]).groupBy("h1", "h2").agg(F.min(F.struct("did", "pos", "h1")).alias("own"), F.first("norm").alias("norm"))
+    left = stored(left, "lines-alike")
+    variants = stored(left.select("h1", F.inline(_variants(_words()))), "variants")
+    met = stored(variants.groupBy("v").agg(*differ).where("one <> other").select("v"), "variants-met")
+    members = stored(_among(variants, met, ["v"]).join(left.select("h1", "own"), "h1"), "variant-members")
+    places = members.groupBy("v", "p").agg(F.min("own").alias("m"))
+    groups = places.groupBy("v").agg(F.min(F.when(F.col("p") == 0, F.col("m"))).alias("whole"), F.min(F.when(F.col("p") > 0, F.col("m"))).alias("deleted"))
+    places = places.where("p > 0").withColumnRenamed("m", "replaced")
+    here = members.join(groups, "v").join(places, ["v", "p"], "left")
     partner = F.when(F.col("p") == 0, F.col("deleted")).otherwise(F.least("whole", "replaced"))
-    found = here.select("h1", mine.alias("own"), partner.alias("partner")).where("partner < own").groupBy("h1").agg(F.min("partner").alias("partner"))
+    found = here.select("h1", "own", partner.alias("partner")).where("partner < own and partner.h1 <> h1").groupBy("h1").agg(F.min("partner").alias("partner"))
     pairs = found.select("h1", F.col("partner.h1").alias("other"))
     text = left.select("h1", "h2", "norm")
     pairs = pairs.join(text, "h1").join(text.select(F.col("h1").alias("other"), F.col("norm").alias("other_norm")), "other")
@@ -99,17 +130,18 @@ def judged(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs (any columns with doc_id and text) with kept_text, n_lines and n_dropped."""
     keyed = docs.withColumns({"did": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), "th": F.xxhash64(whole_text())})
     plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("did"), F.xxhash64(whole_text()).alias("th"), whole_text().alias("text"))
-    every = exploded(plain, min_words)
-    lines = stored(every.groupBy("h1", "h2").agg(F.min(F.struct("did", "pos", "th")).alias("first"), F.first("norm").alias("norm")).select("h1", "h2", "first.did", "first.pos", "first.th", "norm"), "lines")
-    near = stored(near_earlier(lines), "lines-near")
-    firsts = lines.select("h1", "h2", F.col("did").alias("fdid"), F.col("pos").alias("fpos"), F.col("th").alias("fth"))
-    ends = firsts.join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left")
-    placed = every.select("did", "th", "pos", "h1", "h2").join(ends, ["h1", "h2"])
-    gone = placed.where("near or not (did = fdid and th = fth and pos = fpos)").select("did", "th", "pos").distinct()
+    lines = stored(exploded(plain, min_words), "lines")
+    repeated = lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2", F.lit(False).alias("near"))
+    near = near_earlier(lines).withColumn("near", F.lit(True))
+    marks = stored(repeated.union(near).groupBy("h1", "h2").agg(F.max("near").alias("near")), "lines-marked")
+    placed = lines.select("did", "th", "pos", "h1", "h2").join(F.broadcast(marks) if marks.count() <= BROADCAST_KEYS else marks, ["h1", "h2"])
+    placed = stored(placed, "lines-placed")
+    firsts = placed.groupBy("h1", "h2").agg(F.min(F.struct("did", "pos", "th")).alias("first"))
+    gone = placed.join(firsts, ["h1", "h2"]).where("near or struct(did, pos, th) <> first").select("did", "th", "pos").distinct()
     lists = gone.groupBy("did", "th").agg(F.sort_array(F.collect_list("pos")).alias("gone"))
     joined = keyed.join(lists, ["did", "th"], "left")
     parts = F.split(whole_text(), "\n", -1)
-    # a flag for each line, so that a long document is filtered in one pass
+    # pieces between dropped lines, so that a long document is filtered in one pass
     edges = F.array_union(F.array(F.lit(-1)), F.col("gone"))
     pieces = F.zip_with(edges, F.concat(F.col("gone"), F.array(F.size(parts))), lambda a, b: F.slice(parts, a + 2, b - a - 1))
     kept = F.when(F.col("gone").isNull(), whole_text()).otherwise(F.array_join(F.flatten(pieces), "\n"))
