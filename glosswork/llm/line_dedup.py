@@ -136,8 +136,9 @@ def judged(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     marks = stored(repeated.union(near).groupBy("h1", "h2").agg(F.max("near").alias("near")), "lines-marked")
     placed = lines.select("did", "th", "pos", "h1", "h2").join(F.broadcast(marks) if marks.count() <= BROADCAST_KEYS else marks, ["h1", "h2"])
     placed = stored(placed, "lines-placed")
-    firsts = placed.groupBy("h1", "h2").agg(F.min(F.struct("did", "pos", "th")).alias("first"))
-    gone = placed.join(firsts, ["h1", "h2"]).where("near or struct(did, pos, th) <> first").select("did", "th", "pos").distinct()
+    # written first, so that the join has two plain inputs and a hot line can be split or meets a broadcast
+    firsts = stored(placed.groupBy("h1", "h2").agg(F.min(F.struct("did", "pos", "th")).alias("first")), "lines-first")
+    gone = placed.join(F.broadcast(firsts) if firsts.count() <= BROADCAST_KEYS else firsts, ["h1", "h2"]).where("near or struct(did, pos, th) <> first").select("did", "th", "pos").distinct()
     lists = gone.groupBy("did", "th").agg(F.sort_array(F.collect_list("pos")).alias("gone"))
     joined = keyed.join(lists, ["did", "th"], "left")
     parts = F.split(whole_text(), "\n", -1)
