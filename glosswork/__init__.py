@@ -1,3 +1,11 @@
-"""Spark-native phrase search, highlighting and corpus preparation."""
+"""Tolerant phrase search over page-structured text with Spark."""
 
 __version__ = "0.1.0"
+
+
+def __getattr__(name: str):
+    if name in ("Phrase", "Session"):
+        from . import api
+
+        return getattr(api, name)
+    raise AttributeError(name)

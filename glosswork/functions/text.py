@@ -26,12 +26,12 @@ def _nfkc_by_character(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else "".join(unicodedata.normalize("NFKC", c) for c in t))
 
 
-def normalize_chars(text: Column) -> Column:
+def normalize_chars(text: Column, keep_lines: bool = False) -> Column:
     """Character by character: compatibility form, no soft hyphens, one space for each white space, plain dashes and
     quotes. Only texts with an affected character leave the JVM."""
     text = F.coalesce(_nfkc_by_character(F.when(text.rlike(_COMPATIBLE), text)), text)
     plain = F.translate(text, DASHES + SINGLE_QUOTES + DOUBLE_QUOTES + "\u00ad", "-" * len(DASHES) + "'" * len(SINGLE_QUOTES) + '"' * len(DOUBLE_QUOTES))
-    return F.regexp_replace(plain, SPACES, " ")
+    return F.regexp_replace(plain, SPACES.replace(r"\x09-\x0d", r"\x09\x0b-\x0d") if keep_lines else SPACES, " ")
 
 
 def join_hyphens(text: Column) -> Column:

@@ -20,3 +20,25 @@ def glyph_grid(pages: DataFrame, key: str, text: str = "text") -> DataFrame:
     chars = lines.select(key, "row", F.posexplode(F.split("line", "")).alias("col", "c")).where("c <> ''")
     x, y = F.col("col") * 6.0, F.col("row") * 12.0
     return chars.select(key, (F.col("row") * 1_000_000 + F.col("col")).alias("pos"), "c", x.alias("x0"), y.alias("y0"), (x + 6.0).alias("x1"), (y + 12.0).alias("y1"))
+
+
+def text_of(glyphs: DataFrame, key: str) -> DataFrame:
+    """The text of a page's glyphs in order, without anything between lines."""
+    listed = glyphs.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "c"))).alias("g"))
+    return listed.select(key, F.array_join("g.c", "").alias("text"))
+
+
+def hit_rects(hits: DataFrame, pages: DataFrame) -> DataFrame:
+    """hits with rects: on the grid of 6 by 12, one rectangle a line that a range (start, end) meets.
+
+    pages (doc_id, page_index, text_lines) holds the normal form with line feeds in place of the spaces for them.
+    """
+    lines = F.split("text_lines", "\n", -1)
+    empty = F.expr("cast(array() as array<struct<s:int,e:int>>)")
+    step = lambda a, n: F.struct((a.at + n + 1).alias("at"), F.concat(a.out, F.array(F.struct(a.at.alias("s"), (a.at + n).alias("e")))).alias("out"))
+    bounds = F.aggregate(F.transform(lines, lambda x: F.length(x)), F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda a: a.out)
+    met = lambda b: (b.s < F.col("end")) & (b.e > F.col("start"))
+    joined = hits.join(pages.select("doc_id", "page_index", bounds.alias("b")), ["doc_id", "page_index"])
+    place = F.transform("b", lambda b, i: F.struct(b.s.alias("s"), b.e.alias("e"), i.alias("i")))
+    rect = lambda b: F.struct(((F.greatest(b.s, F.col("start")) - b.s) * 6.0).alias("x0"), (b.i * 12.0).alias("y0"), ((F.least(b.e, F.col("end")) - b.s) * 6.0).alias("x1"), (b.i * 12.0 + 12.0).alias("y1"))
+    return joined.withColumn("rects", F.transform(F.filter(place, met), rect)).drop("b")

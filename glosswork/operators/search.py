@@ -6,10 +6,10 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import literal_pattern, normalize_chars, tokens
+from ..functions.text import chunk_pattern, literal_pattern, normalize_chars, tokens
 
 #: Queries are broadcast up to this many rows; beyond it Spark chooses.
 BROADCAST_QUERIES = 10_000
@@ -27,11 +27,79 @@ def literal_matches(pages: DataFrame, queries: DataFrame, literal_whitespace: bo
     """
     patterns = queries.select("query_id", literal_pattern(F.col("text"), literal_whitespace, ignore_case).alias("pattern")).where("pattern not in ('', '(?iu)')")
     hit = pages.join(_small(patterns), F.expr("regexp_like(text_norm, pattern)"))
-    found = hit.withColumn("m", F.regexp_extract_all("text_norm", "pattern", F.lit(0))).withColumn("gaps", F.split("text_norm", F.col("pattern"), -1))
-    lengths = F.zip_with(F.transform("m", lambda x: F.length(x)), F.transform(F.slice("gaps", F.lit(1), F.size("m")), lambda x: F.length(x)), lambda m, g: F.struct(g.alias("g"), m.alias("m")))
+    return hit.select("query_id", "doc_id", "page_index", F.inline(match_spans("text_norm", "pattern")))
+
+
+def match_spans(text: str, pattern: str) -> Column:
+    """array<struct<start,end>> of all matches of a pattern column, from the lengths of matches and of the parts between."""
+    gaps, found = F.split(text, F.col(pattern), -1), F.regexp_extract_all(text, pattern, F.lit(0))
+    sizes = F.zip_with(F.transform(gaps, lambda g: F.length(g)), F.transform(found, lambda m: F.length(m)), lambda g, m: F.struct(g.alias("g"), m.alias("m")))
     empty = F.expr("cast(array() as array<struct<start:int,end:int>>)")
-    spans = F.aggregate(lengths, F.struct(F.lit(0).alias("at"), empty.alias("spans")), lambda a, x: F.struct((a.at + x.g + x.m).alias("at"), F.concat(a.spans, F.array(F.struct((a.at + x.g).alias("start"), (a.at + x.g + x.m).alias("end")))).alias("spans")), lambda a: a.spans)
-    return found.select("query_id", "doc_id", "page_index", F.inline(spans))
+
+    def step(a: Column, x: Column) -> Column:
+        start = a.at + x.g
+        return F.struct((start + x.m).alias("at"), F.concat(a.spans, F.array(F.struct(start.alias("start"), (start + x.m).alias("end")))).alias("spans"))
+
+    return F.aggregate(F.filter(sizes, lambda x: x.m.isNotNull()), F.struct(F.lit(0).alias("at"), empty.alias("spans")), step, lambda a: a.spans)
+
+
+def regex_matches(pages: DataFrame, queries: DataFrame, ignore_case: bool = True) -> DataFrame:
+    """Every match of raw patterns (query_id, pattern); patterns should not match the empty string."""
+    flag = "(?iu)" if ignore_case else ""
+    patterns = queries.select("query_id", F.concat(F.lit(flag), "pattern").alias("pattern")).where(F.col("pattern") != flag)
+    hit = pages.join(_small(patterns), F.expr("regexp_like(text_norm, pattern)"))
+    return hit.select("query_id", "doc_id", "page_index", F.inline(match_spans("text_norm", "pattern")))
+
+
+def starters(pages: DataFrame, queries: DataFrame, kmax: int = 3, ignore_case: bool = True) -> DataFrame:
+    """Every match of a query's first k0 words, for k0 from kmax down: query_id, doc_id, page_index, k0, start, end."""
+    words = queries.select("query_id", tokens(normalize_chars(F.col("text"))).alias("words")).where(F.size("words") > 0)
+    sized = words.select("query_id", "words", F.explode(F.sequence(F.lit(1), F.least(F.lit(kmax), F.size("words")))).alias("k0"))
+    patterns = sized.select("query_id", "k0", F.concat(F.lit("(?iu)" if ignore_case else ""), chunk_pattern(F.col("words"), F.lit(0), F.col("k0"))).alias("pattern"))
+    hit = pages.join(_small(patterns), F.expr("regexp_like(text_norm, pattern)"))
+    return hit.select("query_id", "doc_id", "page_index", "k0", F.inline(match_spans("text_norm", "pattern")))
+
+
+def merged(segs: str) -> Column:
+    """Segments that touch as one, their words added."""
+    empty = F.expr(f"cast(array() as {SEGMENTS})")
+
+    def step(a: Column, x: Column) -> Column:
+        last = F.try_element_at(a, F.lit(-1))
+        grown = F.struct(last.s.alias("s"), x.e.alias("e"), (last.k + x.k).alias("k"))
+        return F.when(last.e == x.s, F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(grown))).otherwise(F.concat(a, F.array(x)))
+
+    return F.aggregate(segs, empty, step)
+
+
+def first_segments(candidates: DataFrame) -> DataFrame:
+    """Of each query and page the first candidate found, with touching segments merged."""
+    first = candidates.groupBy("query_id", "doc_id", "page_index").agg(F.min_by("segs", "seq").alias("segs"))
+    return first.select("query_id", "doc_id", "page_index", merged("segs").alias("segs"))
+
+
+def chosen(matches: DataFrame, mode: str) -> DataFrame:
+    """Literal matches under a mode: all; the first in page order and whether there are more (best, blocked); or all,
+    with an error where there are several (single)."""
+    at = Window.partitionBy("query_id", "doc_id")
+    many = F.count(F.lit(1)).over(at) > 1
+    if mode == "best":
+        first = F.min(F.struct("page_index", "start", "end")).alias("f")
+        return matches.groupBy("query_id", "doc_id").agg(first, (F.count(F.lit(1)) > 1).alias("blocked")).select("query_id", "doc_id", "f.*", "blocked")
+    if mode == "single":
+        return matches.withColumn("error", F.when(many, "multiple_matches"))
+    return matches
+
+
+def ordered(matches: DataFrame) -> DataFrame:
+    """Matches with their place, by page and then by offset, in each query and document."""
+    return matches.withColumn("place", F.row_number().over(Window.partitionBy("query_id", "doc_id").orderBy("page_index", "start", "end")))
+
+
+def session_totals(matches: DataFrame) -> DataFrame:
+    """A row per document: matches and distinct ranges of each query, over all queries."""
+    one = matches.groupBy("doc_id", "query_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("page_index", "start", "end").alias("d"))
+    return one.groupBy("doc_id").agg(F.sum("n").alias("segment_matches"), F.sum("d").alias("highlight_count"))
 
 
 class PhraseProgram:

@@ -22,11 +22,6 @@ def _bench(spark, d):
     return spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text")
 
 
-def _phrases(spark, d):
-    """Short phrases: the first four words of each benchmark item."""
-    return _bench(spark, d).select("query_id", F.array_join(F.slice(t.tokens(F.col("text")), 1, 4), " ").alias("text"))
-
-
 def norm_char(spark, d):
     return _docs(spark, d).select("doc_id", F.md5("text_norm").alias("digest"), F.length("text_norm").alias("n"))
 
@@ -50,12 +45,12 @@ def snippet(spark, d):
 
 
 def select_best_literal(spark, d):
-    m = search.literal_matches(_docs(spark, d), _phrases(spark, d))
+    m = search.literal_matches(_docs(spark, d), _bench(spark, d))
     return m.groupBy("query_id", "doc_id").agg(F.min("start").alias("start"), (F.count(F.lit(1)) > 1).alias("blocked"))
 
 
 def agg_outcomes(spark, d):
-    return search.outcomes(search.literal_matches(_docs(spark, d), _phrases(spark, d)), _phrases(spark, d), "single")
+    return search.outcomes(search.literal_matches(_docs(spark, d), _bench(spark, d)), _bench(spark, d), "single")
 
 
 def prog_candidates(spark, d):
@@ -99,10 +94,104 @@ def page_split(spark, d):
 
 
 def sink_report_recipe(spark, d):
-    q = _phrases(spark, d)
+    q = _bench(spark, d)
     return src.report(search.outcomes(search.literal_matches(_docs(spark, d), q), q), q).select("exit_code", "n_items")
 
 
+def tok_normalize(spark, d):
+    return _bench(spark, d).select("query_id", F.array_join(t.tokens(t.normalize_chars(F.col("text"))), " ").alias("words"))
+
+
+def regex_compile_literal(spark, d):
+    q = _bench(spark, d).withColumns({"norm": t.normalize_chars(F.col("text")), "pattern": t.literal_pattern(F.col("text"))})
+    return q.select("query_id", F.expr("regexp_like(norm, pattern)").alias("finds_itself"))
+
+
+def chunk_pattern(spark, d):
+    q = _bench(spark, d).select("query_id", F.concat(F.lit("(?iu)"), t.chunk_pattern(t.tokens(F.col("text")), F.lit(0), F.lit(3))).alias("pattern"))
+    pages = _talks(spark, d)
+    return pages.join(F.broadcast(q), F.expr("regexp_like(text_norm, pattern)")).select("query_id", "doc_id", "page_index")
+
+
+def regex_compile_raw(spark, d):
+    q = spark.createDataFrame([(1, "[0-9]{4}"), (2, "[a-z]+@[a-z]+")], "query_id int, pattern string")
+    return search.regex_matches(_docs(spark, d), q, ignore_case=False).groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("start").alias("first"), F.max("end").alias("last"))
+
+
+def filter_case(spark, d):
+    return search.literal_matches(_docs(spark, d), _bench(spark, d), ignore_case=False).select("query_id", "doc_id", "start", "end")
+
+
+def filter_page(spark, d):
+    talks = spark.read.parquet(f"{d}/conversations.parquet").where("role = 'user'")
+    pages = talks.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_index"), t.normalize_chars(F.col("text")).alias("text_norm"))
+    return search.literal_matches(pages, _bench(spark, d)).select("query_id", "doc_id", "page_index", "start", "end")
+
+
+def join_query_page(spark, d):
+    return search.literal_matches(_docs(spark, d), _bench(spark, d)).select("query_id", "doc_id").distinct()
+
+
+def prog_starters(spark, d):
+    return search.starters(_docs(spark, d), _bench(spark, d)).select("query_id", "doc_id", "k0", "start", "end")
+
+
+def prog_first_segments(spark, d):
+    found = search.first_segments(search.progressive_candidates(_talks(spark, d), _bench(spark, d)))
+    return found.select("query_id", "doc_id", "page_index", F.to_json("segs").alias("segs"))
+
+
+def seg_merge(spark, d):
+    cases = spark.createDataFrame([(1, [(0, 3, 1), (3, 5, 2), (7, 9, 1)]), (2, [(0, 3, 1)]), (3, []), (4, [(1, 2, 1), (2, 3, 1), (3, 4, 1)])], f"case_id int, segs {search.SEGMENTS}")
+    flat = F.array_join(F.transform(search.merged("segs"), lambda x: F.concat_ws("-", x.s, x.e, x.k)), ",")
+    return cases.select("case_id", flat.alias("segs"))
+
+
+def filter_gap_coverage(spark, d):
+    """Candidates of a narrow gap and full coverage of at least four words."""
+    found = search.progressive_candidates(_talks(spark, d), _bench(spark, d), max_gap=5, min_words=4)
+    return found.select("query_id", "doc_id", "page_index", "seq", "start", "end")
+
+
+def select_single(spark, d):
+    return search.chosen(search.literal_matches(_docs(spark, d), _bench(spark, d)), "single").select("query_id", "doc_id", "start", "error")
+
+
+def order_hits(spark, d):
+    return search.ordered(search.literal_matches(_talks(spark, d), _bench(spark, d))).select("query_id", "doc_id", "page_index", "start", "place")
+
+
+def agg_session_totals(spark, d):
+    return search.session_totals(search.literal_matches(_docs(spark, d), _bench(spark, d)))
+
+
+def scan_glyphs(spark, d):
+    talks = spark.read.parquet(f"{d}/conversations.parquet").select(F.concat_ws("/", "conv_id", "turn").alias("key"), "text")
+    return layout.text_of(layout.glyph_grid(talks, "key"), "key").select("key", F.md5("text").alias("digest"))
+
+
+def rect_sort(spark, d):
+    glyphs = layout.glyph_grid(spark.read.parquet(f"{d}/benchmark.parquet"), "item_id")
+    order = Window.partitionBy("item_id").orderBy(F.round("y0", 1), "x0", "pos")
+    return glyphs.select("item_id", "c", F.row_number().over(order).alias("place"))
+
+
+def sink_annotations(spark, d):
+    pages = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.lit(0).alias("page_index"), t.normalize_chars(F.col("text"), keep_lines=True).alias("text_lines"))
+    hits = layout.hit_rects(search.literal_matches(_docs(spark, d), _bench(spark, d)), pages)
+    return src.annotations(hits).select("query_id", "doc_id", "start", F.size("quads").alias("n_lines"), F.get(F.get("quads", F.lit(0)), F.lit(0)).alias("x0"), F.get(F.get("quads", F.lit(0)), F.lit(1)).alias("y0"))
+
+
+def scan_recipe(spark, d):
+    texts = spark.createDataFrame([('{"items": [{"text": "a b c", "allow_multiple": true}, {"pattern": "x+", "regex": true, "progressive": false}, {"label": "none"}, {"text": "d", "select_shortest": false, "opacity": 0.5}]}',)], "value string")
+    return src.with_defaults(src.parse_recipe(texts)).select("query_id", "text", "color", "opacity", "progressive", "regex", "selection_mode", "skipped")
+
+
+def sink_report_single(spark, d):
+    q = _bench(spark, d)
+    return src.single_report(search.outcomes(search.literal_matches(_docs(spark, d), q), q), "documents", None)
+
+
 _NORM = r"regexp_replace(text, '\s', ' ', 'g')"
 _WORDS = r"list_filter(string_split_regex({}, '\s+'), lambda w: w <> '')"
 _MATCH = rf"""
@@ -113,16 +202,35 @@ x AS (SELECT query_id, doc_id, t, g, m, unnest(range(1, len(m) + 1)) AS i FROM h
 r AS (SELECT query_id, doc_id, t, CAST(list_sum(list_transform(g[1:i], lambda s: length(s))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda s: length(s))), 0) AS INT) AS start, CAST(length(m[i]) AS INT) AS n FROM x)
 """
 _FULL = _MATCH.format(words=_WORDS.format("text"))
-_SHORT = _MATCH.format(words=_WORDS.format("text") + "[1:4]")
+_SPANS = "WITH q AS ({queries}),\n" + _MATCH.split("\n", 2)[2].replace("{{words}}", "")
+_TALKS = _FULL.replace("SELECT doc_id, ", "SELECT conv_id || '/' || turn AS doc_id, ", 1).replace("FROM documents", "FROM conversations")
 
 ORACLES = {
+    "tok_normalize": f"SELECT item_id AS query_id, array_to_string({_WORDS.format(_NORM)}, ' ') AS words FROM benchmark",
+    "regex_compile_literal": "SELECT item_id AS query_id, true AS finds_itself FROM benchmark",
+    "chunk_pattern": rf"""WITH q AS (SELECT item_id AS query_id, '(?i)' || array_to_string(list_transform({_WORDS.format('text')}[1:3], lambda w: regexp_escape(w)), '\s*') AS p FROM benchmark)
+SELECT query_id, conv_id AS doc_id, turn AS page_index FROM conversations, q WHERE regexp_matches({_NORM}, p)""",
+    "regex_compile_raw": _SPANS.format(queries="SELECT unnest([1, 2]) AS query_id, unnest(['[0-9]{4}', '[a-z]+@[a-z]+']) AS p") + "SELECT query_id, doc_id, count(*) AS n, min(start) AS first, max(start + n) AS last FROM r GROUP BY ALL",
+    "filter_case": _FULL.replace("'(?i)' || ", "") + 'SELECT query_id, doc_id, start, start + n AS "end" FROM r',
+    "join_query_page": _FULL + "SELECT DISTINCT query_id, doc_id FROM r",
+    "seg_merge": "SELECT * FROM (VALUES (1, '0-5-3,7-9-1'), (2, '0-3-1'), (3, ''), (4, '1-4-3')) v(case_id, segs)",
+    "select_single": _FULL + "SELECT query_id, doc_id, start, CASE WHEN count(*) OVER (PARTITION BY query_id, doc_id) > 1 THEN 'multiple_matches' END AS error FROM r",
+    "order_hits": _TALKS + "SELECT query_id, CAST(split_part(doc_id, '/', 1) AS BIGINT) AS doc_id, CAST(split_part(doc_id, '/', 2) AS BIGINT) AS page_index, start, CAST(row_number() OVER (PARTITION BY query_id, split_part(doc_id, '/', 1) ORDER BY CAST(split_part(doc_id, '/', 2) AS BIGINT), start) AS INT) AS place FROM r",
+    "filter_page": _TALKS.replace("FROM conversations", "FROM conversations WHERE role = 'user'") + "SELECT query_id, CAST(split_part(doc_id, '/', 1) AS BIGINT) AS doc_id, CAST(split_part(doc_id, '/', 2) AS BIGINT) AS page_index, start, start + n AS \"end\" FROM r",
+    "agg_session_totals": _FULL + "SELECT doc_id, CAST(count(*) AS BIGINT) AS segment_matches, CAST(count(DISTINCT (query_id, start)) AS BIGINT) AS highlight_count FROM r GROUP BY doc_id",
+    "scan_glyphs": "SELECT conv_id || '/' || turn AS key, md5(replace(text, chr(10), '')) AS digest FROM conversations WHERE replace(text, chr(10), '') <> ''",
+    "rect_sort": "WITH c AS (SELECT item_id, unnest(string_split(replace(text, chr(10), ''), '')) AS c, generate_subscripts(string_split(replace(text, chr(10), ''), ''), 1) AS i FROM benchmark) SELECT item_id, c, CAST(i AS INT) AS place FROM c WHERE c <> ''",
+    "prog_starters": _SPANS.format(queries=rf"""SELECT query_id * 10 + k AS query_id, '(?i)' || array_to_string(list_transform(w[1:k], lambda x: regexp_escape(x)), '\s*') AS p FROM (SELECT item_id AS query_id, {_WORDS.format('text')} AS w, unnest(range(1, least(3, len({_WORDS.format('text')})) + 1)) AS k FROM benchmark)""") + 'SELECT query_id // 10 AS query_id, doc_id, CAST(query_id % 10 AS INT) AS k0, start, start + n AS "end" FROM r',
+    "scan_recipe": "SELECT * FROM (VALUES (0, 'a b c', 'yellow', 0.3::DOUBLE, true, false, 'all', false), (1, 'x+', 'yellow', 0.3, false, true, 'best', false), (2, NULL, 'yellow', 0.3, true, false, 'best', true), (3, 'd', 'yellow', 0.5, true, false, 'all', false)) v(query_id, text, color, opacity, progressive, regex, selection_mode, skipped)",
+    "sink_report_single": _FULL + """, c AS (SELECT query_id, count(*) AS n, count(DISTINCT (doc_id, start)) AS d FROM r GROUP BY ALL)
+SELECT query_id, '{"input":"documents","output":null,"matches":' || coalesce(n, 0) || ',"highlight_count":' || coalesce(d, 0) || ',"exit_code":' || CASE WHEN n IS NULL THEN 1 ELSE 0 END || ',"selection_mode":"best","dry_run":false}' AS report FROM q LEFT JOIN c USING (query_id)""",
     "norm_char": f"SELECT doc_id, md5({_NORM}) AS digest, CAST(length({_NORM}) AS INT) AS n FROM documents",
     "norm_hyphen": "SELECT * FROM (VALUES (1, 'different'), (2, 'state-of-the-art'), (3, 'foo bar'), (4, 'foobar'), (5, 'a-b - c'), (6, '-x y-'), (7, '')) v(case_id, joined)",
     "tok_whitespace": f"SELECT item_id AS query_id, array_to_string({_WORDS.format('text')}, '|') AS words, CAST(len({_WORDS.format('text')}) AS INT) AS n FROM benchmark",
     "match_pattern_all": _FULL + 'SELECT query_id, doc_id, start, start + n AS "end" FROM r',
     "snippet": _FULL + "SELECT query_id, doc_id, start, substring(t, start + 1, n) AS text_snippet FROM r",
-    "select_best_literal": _SHORT + "SELECT query_id, doc_id, min(start) AS start, count(*) > 1 AS blocked FROM r GROUP BY ALL",
-    "agg_outcomes": _SHORT + """, c AS (SELECT query_id, doc_id, count(*) AS n, count(DISTINCT start) AS d FROM r GROUP BY ALL), o AS (SELECT query_id, sum(n) AS n, sum(d) AS d, max(n) AS most FROM c GROUP BY ALL)
+    "select_best_literal": _FULL + "SELECT query_id, doc_id, min(start) AS start, count(*) > 1 AS blocked FROM r GROUP BY ALL",
+    "agg_outcomes": _FULL + """, c AS (SELECT query_id, doc_id, count(*) AS n, count(DISTINCT start) AS d FROM r GROUP BY ALL), o AS (SELECT query_id, sum(n) AS n, sum(d) AS d, max(n) AS most FROM c GROUP BY ALL)
 SELECT q.query_id, CAST(coalesce(n, 0) AS BIGINT) AS segment_matches, CAST(coalesce(d, 0) AS BIGINT) AS highlight_count, n IS NULL AS not_found, coalesce(most > 1, false) AS multiple, CAST(CASE WHEN n IS NULL THEN 1 WHEN most > 1 THEN 2 ELSE 0 END AS INT) AS exit_code FROM q LEFT JOIN o USING (query_id)""",
     "rect_lines": """WITH l AS (SELECT conv_id || '/' || turn AS key, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS r FROM conversations)
 SELECT key, row_number() OVER (PARTITION BY key ORDER BY r) - 1 AS line, 0.0::DOUBLE AS x0, (r * 12)::DOUBLE AS y0, (length(s) * 6)::DOUBLE AS x1, (r * 12 + 12)::DOUBLE AS y1 FROM l WHERE s <> ''""",
@@ -130,7 +238,7 @@ SELECT key, row_number() OVER (PARTITION BY key ORDER BY r) - 1 AS line, 0.0::DO
     "parse_selection_mode": "SELECT * FROM (VALUES (1, 'single'), (2, 'single'), (3, 'best'), (4, 'best'), (5, 'all'), (6, NULL)) v(case_id, mode)",
     "rect_to_quad": "SELECT * FROM (VALUES (1, '0,100,200,100,0,300,200,300'), (2, '0,100,200,100,0,300,200,300'), (3, '100,100,125,100,100,125,125,125')) v(case_id, quad)",
     "page_split": "SELECT * FROM (VALUES (1, 0, 'first' || chr(10) || 'line' || chr(10)), (1, 1, 'last' || chr(10)), (2, 0, 'no marks' || chr(10) || 'at all' || chr(10))) v(key, page_index, page)",
-    "sink_report_recipe": _SHORT + "SELECT CAST(CASE WHEN (SELECT count(DISTINCT query_id) FROM r) < count(*) THEN 1 ELSE 0 END AS INT) AS exit_code, CAST(count(*) AS INT) AS n_items FROM q",
+    "sink_report_recipe": _FULL + "SELECT CAST(CASE WHEN (SELECT count(DISTINCT query_id) FROM r) < count(*) THEN 1 ELSE 0 END AS INT) AS exit_code, CAST(count(*) AS INT) AS n_items FROM q",
 }
 
-QUERIES = {f.__name__: f for f in (norm_char, norm_hyphen, tok_whitespace, match_pattern_all, snippet, select_best_literal, agg_outcomes, prog_candidates, select_best, select_all, rect_lines, parse_color, parse_selection_mode, rect_to_quad, page_split, sink_report_recipe)}
+QUERIES = {f.__name__: f for f in (norm_char, norm_hyphen, tok_whitespace, match_pattern_all, snippet, select_best_literal, agg_outcomes, prog_candidates, select_best, select_all, rect_lines, tok_normalize, regex_compile_literal, chunk_pattern, regex_compile_raw, filter_case, filter_page, join_query_page, prog_starters, prog_first_segments, seg_merge, filter_gap_coverage, select_single, order_hits, agg_session_totals, scan_glyphs, rect_sort, sink_annotations, scan_recipe, sink_report_single, parse_color, parse_selection_mode, rect_to_quad, page_split, sink_report_recipe)}
