@@ -33,6 +33,8 @@ BANDS, ROWS = 32, 6
 PERMUTATIONS = BANDS * ROWS
 BATCH, MISS = 32, 1e-5
 CHUNK = 256
+#: Words remembered with their hashes, and characters of text taken at a time: what a worker holds beside its batch.
+WORDS, CHARS = 150_000, 1_000_000
 _UPPER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)} | {c: " " for c in "\t\n\x0b\x0c\r"})
 _rng = np.random.default_rng(7)
 _A = _rng.integers(1, 2**32, PERMUTATIONS, dtype=np.uint32) | np.uint32(1)
@@ -55,7 +57,7 @@ class Shingler:
     """Sets of 64-bit shingle hashes."""
 
     def __init__(self, size: int):
-        self.size, self.known = size, Remembered()
+        self.size, self.known = size, Remembered(WORDS)
 
     def sets(self, words: list[list[str]]) -> list[np.ndarray]:
         for w in self.known.missing(set().union(*words)):
@@ -134,7 +136,7 @@ def long_signatures(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(size)
         for batch in batches:
-            for start, texts in slices(batch):
+            for start, texts in slices(batch, chars=CHARS):
                 sets = shingler.sets([words_of(t) for t in texts])
                 found = [signature(s, _A_LONG).astype(np.uint16).tobytes() for s in sets]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), pa.array(found, pa.binary())], ["id", "long"])
@@ -150,7 +152,7 @@ def fingerprints(docs: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(size)
         for batch in batches:
-            for start, texts in slices(batch):
+            for start, texts in slices(batch, chars=CHARS):
                 words = [words_of(t) for t in texts]
                 sets = shingler.sets(words)
                 sigs = [signature(s) if len(s) else None for s in sets]
