@@ -21,7 +21,6 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -31,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Remembered, slices, table_of, whole_text
+from .common import Remembered, held, slices, table_of, whole_text
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Cells of a matrix.
@@ -207,10 +206,9 @@ class Memo:
         return ",".join(ids), b"".join(raw)
 
 
-@lru_cache(2)
 def loaded(path: str, pattern: str) -> Memo:
     """One per worker process."""
-    return Memo(ByteBPE(load_ranks(path), pattern))
+    return held((Memo, path, pattern), lambda: Memo(ByteBPE(load_ranks(path), pattern)))
 
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"

@@ -90,5 +90,22 @@ class Remembered(dict):
         return list(new)
 
 
+_HELD: dict = {}
+
+
+def held(key: tuple, make):
+    """What an operator keeps in a worker process from task to task. Workers are used again by other
+    operators, so one operator's state goes when another's comes; nothing returned depends on it."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def let_go() -> None:
+    """For operators that keep nothing in a worker: drops what others kept."""
+    _HELD.clear()
+
+
 def table_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 from math import exp, lgamma, log
 
 import numpy as np
@@ -27,15 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Remembered, slices, stored, table_of, whole_text
+from .common import let_go, slices, stored, table_of, whole_text
 
 BANDS, ROWS = 32, 6
 PERMUTATIONS = BANDS * ROWS
 BATCH, MISS = 32, 1e-5
 CHUNK = 256
-#: Words remembered with their hashes, and characters of text taken at a time: what a worker holds beside its batch.
-WORDS, CHARS = 150_000, 1_000_000
-_UPPER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)} | {c: " " for c in "\t\n\x0b\x0c\r"})
+#: Characters of text taken at a time, and bytes hashed at a time.
+CHARS, PART = 1_000_000, 1 << 17
 _rng = np.random.default_rng(7)
 _A = _rng.integers(1, 2**32, PERMUTATIONS, dtype=np.uint32) | np.uint32(1)
 #: Slots of the longer signatures of documents in buckets that stay open.
@@ -44,37 +44,60 @@ _A_LONG = _rng.integers(1, 2**32, LONG, dtype=np.uint32) | np.uint32(1)
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
-def words_of(text: str) -> list[str]:
-    """Words in order: lower-cased A-Z, parted by space, tab, line feed, vertical tab, form feed or return."""
-    return [w for w in text.translate(_UPPER).split(" ") if w]
-
-
-def _hash(word: str) -> int:
-    return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-
-
-class Shingler:
-    """Sets of 64-bit shingle hashes."""
-
-    def __init__(self, size: int):
-        self.size, self.known = size, Remembered(WORDS)
-
-    def sets(self, words: list[list[str]]) -> list[np.ndarray]:
-        for w in self.known.missing(set().union(*words)):
-            self.known[w] = _hash(w)
-        out = []
-        for ws in words:
-            h = np.fromiter(map(self.known.__getitem__, ws), np.uint64, len(ws))
-            k = min(self.size, len(h))
-            if not k:
-                out.append(h)
-                continue
-            s = np.full(len(h) - k + 1, k, np.uint64)
-            for i in range(k):
-                s = (s ^ h[i:len(h) - k + 1 + i]) * _MIX[i % 5]
-                s ^= s >> np.uint64(29)
-            out.append(np.unique(s))
-        return out
+#: Word hashes are polynomials in an odd base, modulo 2**64, with a random coefficient for each byte.
+_VALUES = np.random.default_rng(17).integers(1, 2**64, 256, dtype=np.uint64)
+_BASE = 0x5851F42D4C957F2D
+_INVERSE = pow(_BASE, -1, 2**64)
+
+
+def normal(text: str) -> bytes:
+    """The words in order, parted by one space each: lower-cased A-Z, cut at space, tab, line feed, vertical tab, form feed and return, which is what bytes do."""
+    return b" ".join(text.encode("utf-8", "surrogatepass").lower().split())
+
+
+@lru_cache(4)
+def _powers(base: int, bits: int) -> np.ndarray:
+    out = np.full(1 << bits, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def word_hashes(line: bytes) -> np.ndarray:
+    """A hash for each word of a line in which one space follows each word."""
+    out, at = [np.empty(0, np.uint64)], 0
+    while at < len(line):
+        stop = line.rfind(b" ", at, at + PART) + 1 or line.index(b" ", at) + 1
+        raw = np.frombuffer(line, np.uint8, stop - at, at)
+        bits = max(PART, len(raw) - 1).bit_length()
+        sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(_VALUES[raw] * _powers(_BASE, bits)[:len(raw)], out=sums[1:])
+        ends = np.flatnonzero(raw == 32)
+        starts = np.append(0, ends[:-1] + 1)
+        h = (sums[ends] - sums[starts]) * _powers(_INVERSE, bits)[starts]
+        h = (h ^ h >> np.uint64(32)) * _MIX[0]
+        out.append(h ^ h >> np.uint64(29))
+        at = stop
+    return np.concatenate(out)
+
+
+def _runs(h: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of runs of k words."""
+    s = np.full(len(h) - k + 1, k, np.uint64)
+    for i in range(k):
+        s = (s ^ h[i:len(h) - k + 1 + i]) * _MIX[i % 5]
+        s ^= s >> np.uint64(29)
+    return s
+
+
+def shingle_sets(lines: list[bytes], size: int) -> list[np.ndarray]:
+    """The sorted 64-bit shingle hashes of each of some normal texts."""
+    counts = [x.count(b" ") + 1 if x else 0 for x in lines]
+    hashes = word_hashes(b"".join(x + b" " for x in lines if x))
+    runs, out, at = _runs(hashes, size) if len(hashes) >= size else hashes, [], 0
+    for n in counts:
+        out.append(np.unique(runs[at:at + n - size + 1] if n >= size else _runs(hashes[at:at + n], n) if n else hashes[:0]))
+        at += n
+    return out
 
 
 def signature(shingles: np.ndarray, factors: np.ndarray = _A) -> np.ndarray:
@@ -90,11 +113,11 @@ def signature(shingles: np.ndarray, factors: np.ndarray = _A) -> np.ndarray:
 
 
 def bands_of(least: np.ndarray) -> np.ndarray:
-    """A key for each band, different between bands."""
-    rows = least.reshape(BANDS, ROWS).astype(np.uint64)
-    key = np.arange(1, BANDS + 1, dtype=np.uint64) * _MIX[4]
+    """A key for each band of each signature, different between bands."""
+    rows = least.reshape(-1, BANDS, ROWS).astype(np.uint64)
+    key = np.arange(1, BANDS + 1, dtype=np.uint64) * _MIX[4] + np.zeros((len(rows), 1), np.uint64)
     for j in range(ROWS):
-        key = (key ^ rows[:, j]) * _MIX[j % 5]
+        key = (key ^ rows[:, :, j]) * _MIX[j % 5]
         key ^= key >> np.uint64(31)
     return key.view(np.int64)
 
@@ -134,10 +157,10 @@ def long_signatures(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     """(id, long): further slots, of the documents in ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(size)
+        let_go()
         for batch in batches:
             for start, texts in slices(batch, chars=CHARS):
-                sets = shingler.sets([words_of(t) for t in texts])
+                sets = shingle_sets([normal(t) for t in texts], size)
                 found = [signature(s, _A_LONG).astype(np.uint16).tobytes() for s in sets]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), pa.array(found, pa.binary())], ["id", "long"])
 
@@ -150,18 +173,19 @@ def fingerprints(docs: DataFrame, size: int) -> DataFrame:
     schema = "doc_id long, n_shingles long, seq binary, sig binary, bands array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(size)
+        let_go()
         for batch in batches:
             for start, texts in slices(batch, chars=CHARS):
-                words = [words_of(t) for t in texts]
-                sets = shingler.sets(words)
-                sigs = [signature(s) if len(s) else None for s in sets]
+                lines = [normal(t) for t in texts]
+                sets = shingle_sets(lines, size)
+                sigs = [signature(s) for s in sets]
+                bands = bands_of(np.array(sigs))
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(start, len(texts)),
                     pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([hashlib.blake2b(" ".join(w).encode(), digest_size=16).digest() if w else None for w in words], pa.binary()),
-                    pa.array([None if s is None else s.astype(np.uint16).tobytes() for s in sigs], pa.binary()),
-                    pa.array([None if s is None else bands_of(s) for s in sigs], pa.list_(pa.int64())),
+                    pa.array([hashlib.blake2b(x, digest_size=16).digest() if x else None for x in lines], pa.binary()),
+                    pa.array([x.astype(np.uint16).tobytes() if len(s) else None for x, s in zip(sigs, sets)], pa.binary()),
+                    pa.array([x if len(s) else None for x, s in zip(bands, sets)], pa.list_(pa.int64())),
                 ], ["doc_id", "n_shingles", "seq", "sig", "bands"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(run, schema)
@@ -176,14 +200,15 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, threshold: int) -> D
     both = pairs.join(texts.withColumnRenamed("id", "a").withColumnRenamed("text", "text_a"), "a").join(texts.withColumnRenamed("id", "b").withColumnRenamed("text", "text_b"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, last = Shingler(size), (None, None)
+        last = None, None
+        let_go()
         for batch in batches:
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             keep = []
             for i in range(batch.num_rows):
                 if last[0] != b[i]:
-                    last = b[i], shingler.sets([words_of(batch.column(3)[i].as_py())])[0]
-                mine = shingler.sets([words_of(batch.column(2)[i].as_py())])[0]
+                    last = b[i], shingle_sets([normal(batch.column(3)[i].as_py())], size)[0]
+                mine = shingle_sets([normal(batch.column(2)[i].as_py())], size)[0]
                 common = len(np.intersect1d(mine, last[1], assume_unique=True))
                 if 100 * common >= threshold * (len(mine) + len(last[1]) - common):
                     keep.append(i)

@@ -15,7 +15,6 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -25,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Remembered, shared_dir, slices, table_of, whole_text
+from .common import Remembered, held, shared_dir, slices, table_of, whole_text
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 1
 #: A block is closed at so many ids.
@@ -123,10 +122,9 @@ class WordEncoder:
         return [b"".join(map(self.known.__getitem__, c)) for c in cut]
 
 
-@lru_cache(2)
 def loaded(path: str) -> WordEncoder:
     """One per worker process."""
-    return WordEncoder(path)
+    return held((WordEncoder, path), lambda: WordEncoder(path))
 
 
 BLOCK = "shard long, block long, bits int, n_ids long, doc_ids array<long>, offsets array<long>, packed binary"
