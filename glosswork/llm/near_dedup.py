@@ -8,8 +8,10 @@ survivors are confirmed on the full shingle sets. Links make components.
 
 A pair of members of which neither is the least of its bucket needs no test if a component holds both.
 Buckets that still hold several components are finished exactly: members outside the component of the least
-one, in blocks, meet all other members of the bucket, in blocks, by signatures of 1024 more slots. So no
-candidate is lost, and a bucket of one large group costs its size, not its square.
+one meet all other members of the bucket (in blocks where it is large), by signatures and then by their full
+sets, likeliest pairs first; pairs that links found so far already join are passed over, so a block gives no
+more links than it has members. Of buckets with the same members one is read. So no candidate is lost, and a
+bucket of one large group costs its size, not its square.
 
 Defined results: texts without words have no shingles and link with nothing; fewer words than a shingle make
 one of all; a row without doc_id links with nothing and is kept; rows with equal doc_id are one
@@ -28,19 +30,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let_go, slices, stored, table_of, whole_text
+from .common import drop_stored, let_go, slices, stored, table_of, whole_text
 
 BANDS, ROWS = 32, 6
 PERMUTATIONS = BANDS * ROWS
 BATCH, MISS = 32, 1e-5
 CHUNK = 256
+#: Pairs of signatures compared at a time.
+PAIRS = 1 << 14
 #: Characters of text taken at a time, and bytes hashed at a time.
 CHARS, PART = 1_000_000, 1 << 17
 _rng = np.random.default_rng(7)
 _A = _rng.integers(1, 2**32, PERMUTATIONS, dtype=np.uint32) | np.uint32(1)
-#: Slots of the longer signatures of documents in buckets that stay open.
-LONG = 1024
-_A_LONG = _rng.integers(1, 2**32, LONG, dtype=np.uint32) | np.uint32(1)
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -149,23 +150,60 @@ def surviving(a: np.ndarray, b: np.ndarray, least: list[int]) -> np.ndarray:
     return alive
 
 
-def _signatures(column: pa.Array, slots: int = PERMUTATIONS) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, slots)
+def _signatures(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, PERMUTATIONS)
 
 
-def long_signatures(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """(id, long): further slots, of the documents in ids."""
+def full_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """(id, shingles): the sorted hashes of the documents in ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
         for batch in batches:
             for start, texts in slices(batch, chars=CHARS):
-                sets = shingle_sets([normal(t) for t in texts], size)
-                found = [signature(s, _A_LONG).astype(np.uint16).tobytes() for s in sets]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), pa.array(found, pa.binary())], ["id", "long"])
+                found = [x.tobytes() for x in shingle_sets([normal(t) for t in texts], size)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), pa.array(found, pa.binary())], ["id", "shingles"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), whole_text().alias("text")).join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
-    return texts.mapInArrow(run, "id long, long binary")
+    return texts.mapInArrow(run, "id long, shingles binary")
+
+
+def similar(a: np.ndarray, b: np.ndarray, threshold: int) -> bool:
+    """100 * intersection >= threshold * union of two sorted sets."""
+    if 100 * min(len(a), len(b)) < threshold * max(len(a), len(b)):
+        return False
+    both = np.concatenate((a, b))
+    both.sort()
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
+    return 100 * common >= threshold * (len(both) - common)
+
+
+def block_links(x: pa.Array, y: pa.Array, least: list[int], threshold: int) -> list[tuple[int, int]]:
+    """Links between components, of members (id, comp, out, sig, shingles) x that are out and members y: a forest."""
+    xi, xc, yi, yc = (v.field(k).to_numpy() for v in (x, y) for k in (0, 1))
+    xo, yo = (v.field(2).to_numpy(zero_copy_only=False) for v in (x, y))
+    sx, sy = _signatures(x.field(3)), _signatures(y.field(3))
+    parent: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while (up := parent.get(c, c)) != c:
+            parent[c] = c = parent.get(up, up)
+        return c
+
+    i, j = np.nonzero(xo[:, None] & (xc[:, None] != yc[None, :]) & (~yo[None, :] | (xi[:, None] < yi[None, :])))
+    kept = [surviving(sx[i[k:k + PAIRS]], sy[j[k:k + PAIRS]], least) + k for k in range(0, len(i), PAIRS)]
+    kept = np.concatenate(kept) if kept else np.empty(0, np.int64)
+    i, j = i[kept], j[kept]
+    alike = np.concatenate([(sx[i[k:k + PAIRS]] == sy[j[k:k + PAIRS]]).sum(axis=1) for k in range(0, len(i), PAIRS)]) if len(i) else kept
+    sets_x, sets_y = ({k: np.frombuffer(v.field(4)[k].as_py(), np.uint64) for k in set(of.tolist())} for v, of in ((x, i), (y, j)))
+    out = []
+    for k in np.argsort(-alike, kind="stable").tolist():
+        a, b = int(i[k]), int(j[k])
+        ra, rb = root(int(xc[a])), root(int(yc[b]))
+        if ra != rb and similar(sets_x[a], sets_y[b], threshold):
+            parent[max(ra, rb)] = min(ra, rb)
+            out.append((int(max(xi[a], yi[b])), int(min(xi[a], yi[b]))))
+    return out
 
 
 def fingerprints(docs: DataFrame, size: int) -> DataFrame:
@@ -209,12 +247,13 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, threshold: int) -> D
                 if last[0] != b[i]:
                     last = b[i], shingle_sets([normal(batch.column(3)[i].as_py())], size)[0]
                 mine = shingle_sets([normal(batch.column(2)[i].as_py())], size)[0]
-                common = len(np.intersect1d(mine, last[1], assume_unique=True))
-                if 100 * common >= threshold * (len(mine) + len(last[1]) - common):
+                if similar(mine, last[1], threshold):
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], ["a", "b"])
 
-    return stored(both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), "near-links")
+    links = stored(both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), "near-links")
+    drop_stored(pairs, texts)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -226,6 +265,7 @@ def components(links: DataFrame) -> DataFrame:
         lower = labels.join(near.withColumnRenamed("a", "id"), "id").select("id", "comp", F.least("comp", "near").alias("low"))
         jump = labels.select(F.col("id").alias("low"), F.col("comp").alias("far"))
         new = stored(lower.join(jump, "low", "left").select("id", F.least("low", "far").alias("comp"), (F.least("low", "far") < F.col("comp")).alias("moved")), "labels")
+        drop_stored(labels)
         if new.where("moved").isEmpty():
             return new.select("id", "comp")
         labels = new.select("id", "comp")
@@ -237,10 +277,13 @@ def classified(docs: DataFrame, size: int, threshold: int) -> DataFrame:
     usable = prints.where("doc_id is not null and seq is not null")
     reps = stored(usable.groupBy("seq").agg(F.min(F.struct("doc_id", "sig", "bands")).alias("r")).select("seq", F.col("r.doc_id").alias("id"), "r.sig", "r.bands").dropDuplicates(["id"]), "near-reps")
     keyed = reps.select("id", F.explode("bands").alias("key"))
-    buckets = stored(keyed.groupBy("key").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1"), "near-buckets")
+    prints_of = F.bit_xor(F.xxhash64("id")).alias("p"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("q")
+    buckets = keyed.groupBy("key").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("n"), *prints_of).where("n > 1")
+    buckets = stored(buckets.groupBy("pivot", "n", "p", "q").agg(F.min("key").alias("key")).select("key", "pivot", "n"), "near-buckets")
     members = stored(keyed.join(buckets, "key"), "near-members")
+    drop_stored(buckets)
     sigs = reps.select("id", "sig")
-    least, least_long = least_matches(threshold / 100, PERMUTATIONS), least_matches(threshold / 100, LONG)
+    least = least_matches(threshold / 100, PERMUTATIONS)
 
     def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -255,30 +298,29 @@ def classified(docs: DataFrame, size: int, threshold: int) -> DataFrame:
     # buckets with several components: members outside the least one's component against all others
     comp_of = lambda df, col, name: df.join(comps.select(F.col("id").alias(col), F.col("comp").alias(name)), col, "left").withColumn(name, F.coalesce(name, col))
     placed = stored(comp_of(comp_of(members, "id", "comp"), "pivot", "pivot_comp"), "near-placed")
+    drop_stored(members)
     outside = placed.where("comp <> pivot_comp")
     if not outside.isEmpty():
-        open_keys = outside.select("key").distinct()
-        chunk = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / CHUNK))
-        listed = lambda df: df.join(sigs, "id").join(longer, "id").groupBy("key", chunk.alias("chunk")).agg(F.collect_list(F.struct("id", "comp", "sig", "long")).alias("m"))
-        rest = placed.where("id <> pivot").join(open_keys, "key", "left_semi")
-        longer = stored(long_signatures(docs, rest.select("id").distinct(), size), "near-long")
-        meet = listed(outside).select("key", F.col("m").alias("x")).join(listed(rest).select("key", F.col("m").alias("y")), "key")
-
-        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = placed.where("id <> pivot").join(outside.select("key").distinct(), "key", "left_semi")
+        rest = rest.select("key", "n", "id", "comp", (F.col("comp") != F.col("pivot_comp")).alias("out"))
+        sets = stored(full_sets(docs, rest.select("id").distinct(), size), "near-sets")
+        filled = rest.join(sigs, "id").join(sets, "id")
+        member = F.collect_list(F.struct("id", "comp", "out", "sig", "shingles"))
+        whole = filled.where(F.col("n") <= CHUNK).groupBy("key").agg(member.alias("x")).select("x")
+        chunked = filled.where(F.col("n") > CHUNK).withColumn("chunk", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / CHUNK)))
+        blocks = lambda df, name: df.groupBy("key", "chunk").agg(member.alias(name)).select("key", name)
+        meet = blocks(chunked.where("out"), "x").join(blocks(chunked, "y"), "key").select("x", "y")
+
+        def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            let_go()
             for batch in batches:
                 for row in range(batch.num_rows):
-                    x, y = batch.column(0)[row].values, batch.column(1)[row].values
-                    (xi, xc), (yi, yc) = ((v.field(0).to_numpy(), v.field(1).to_numpy()) for v in (x, y))
-                    i, j = np.nonzero(xc[:, None] != yc[None, :])
-                    keep = surviving(_signatures(x.field(2))[i], _signatures(y.field(2))[j], least) if len(i) else np.empty(0, int)
-                    i, j = i[keep], j[keep]
-                    if len(i):
-                        keep = surviving(_signatures(x.field(3), LONG)[i], _signatures(y.field(3), LONG)[j], least_long)
-                        i, j = i[keep], j[keep]
-                    a, b = xi[i], yi[j]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b), pa.int64()), pa.array(np.minimum(a, b), pa.int64())], ["a", "b"])
-
-        more = confirmed(meet.select("x", "y").mapInArrow(compare, "a long, b long").distinct(), docs, size, threshold)
+                    found = block_links(batch.column(0)[row].values, batch.column(-1)[row].values, least, threshold)
+                    if found:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b"])
+
+        more = stored(whole.mapInArrow(linked, "a long, b long").union(meet.mapInArrow(linked, "a long, b long")).distinct(), "near-links")
+        drop_stored(sets)
         comps = components(links.union(more))
 
     classes = reps.select("seq", "id").join(comps, "id", "left").select("seq", F.coalesce("comp", "id").alias("component_id"))
