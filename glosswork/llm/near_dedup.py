@@ -36,6 +36,8 @@ BANDS, ROWS = 32, 6
 PERMUTATIONS = BANDS * ROWS
 BATCH, MISS = 32, 1e-5
 CHUNK = 256
+#: Bits of the map of ids whose texts are needed.
+SLOTS = 1 << 24
 #: Pairs of signatures compared at a time.
 PAIRS = 1 << 14
 #: Characters of text taken at a time, and bytes hashed at a time.
@@ -154,6 +156,17 @@ def _signatures(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, PERMUTATIONS)
 
 
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, text) of the documents in ids. A bitmap of SLOTS hashed ids, broadcast as at most SLOTS / 64 rows
+    whatever the input, keeps most other texts out of the join by id; what it lets through, the join drops."""
+    ids = stored(ids, "near-ids")
+    slot, bit = F.pmod(F.xxhash64("id"), F.lit(SLOTS)), F.expr("shiftleft(1L, cast(slot % 64 as int))")
+    words = ids.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), whole_text().alias("text")).withColumn("slot", slot).withColumn("word", F.shiftright("slot", 6))
+    texts = texts.join(F.broadcast(words), "word").where(F.col("bits").bitwiseAND(bit) != 0).select("id", "text")
+    return texts.join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+
+
 def full_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     """(id, shingles): the sorted hashes of the documents in ids."""
 
@@ -164,8 +177,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
                 found = [x.tobytes() for x in shingle_sets([normal(t) for t in texts], size)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), pa.array(found, pa.binary())], ["id", "shingles"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), whole_text().alias("text")).join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
-    return texts.mapInArrow(run, "id long, shingles binary")
+    return texts_of(docs, ids).mapInArrow(run, "id long, shingles binary")
 
 
 def similar(a: np.ndarray, b: np.ndarray, threshold: int) -> bool:
@@ -233,8 +245,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, threshold: int) -> D
     """Of pairs (a, b), those whose full sets meet 100 * intersection >= threshold * union. Only texts in pairs travel twice."""
     pairs = stored(pairs, "near-pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), whole_text().alias("text")).join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
-    texts = stored(texts, "near-texts")
+    texts = stored(texts_of(docs, ids), "near-texts")
     both = pairs.join(texts.withColumnRenamed("id", "a").withColumnRenamed("text", "text_a"), "a").join(texts.withColumnRenamed("id", "b").withColumnRenamed("text", "text_b"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
