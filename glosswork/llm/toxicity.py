@@ -1,12 +1,15 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-A linear classifier over the presence of words is trained in numpy from confirmed toxic documents and
+A linear classifier over the presence of words and of their beginnings is trained in numpy from confirmed toxic documents and
 unlabelled ones. The risk is prior * risk(toxic as toxic) + max(0, risk(unlabelled as clean) - prior *
 risk(toxic as clean)), with logistic loss; when the second term falls below zero, its own gradient is followed
 backwards. The class prior is the share of toxic rows among all labelled training rows.
 
 The training sample is bounded and documented: POSITIVES confirmed and UNLABELLED other documents of the
-training folds, least hash first, at most FEATURES words whose shares in the two samples differ by APART standard errors. Scores cover every whole text.
+training folds, least hash first, and at most FEATURES words or beginnings, those first whose shares in the two samples differ by
+the most standard errors. None is left out for differing by few; its presence counts less, by the square of its share
+of FULL standard errors. The beginnings of BEGINNINGS letters gather families of words that are rare each, such as
+inflected insults. Scores cover every whole text.
 
 Defined results: a null or empty text scores the bias alone; without confirmed toxic rows every score is
 the prior (0 without labels); repeated rows get equal scores; labels of null or unknown documents are left out.
@@ -26,7 +29,8 @@ from .common import slices, stored, table_of, whole_text
 
 #: Bounds of the training sample, and of the model.
 POSITIVES, UNLABELLED, FEATURES = 4000, 8000, 2000
-APART = 4.0  # standard errors by which a word's shares in the two samples must differ
+FULL = 4.0  # standard errors between a word's shares in the two samples from which its presence counts as 1
+BEGINNINGS = (5, 6, 7, 8)
 EPOCHS, BATCH, RATE, DECAY = 400, 8000, 0.05, 1e-4
 _STOPS = re.compile(r"[^\w\s]+")
 
@@ -36,6 +40,12 @@ def words_of(text: str) -> set[str]:
     return set(_STOPS.sub(" ", text.lower()).split())
 
 
+def features_of(text: str) -> set[str]:
+    """The words of a text, and the beginnings of longer ones, marked by a sign that no word holds."""
+    words = words_of(text)
+    return words.union([w[:n] + "*" for w in words for n in BEGINNINGS if len(w) > n])
+
+
 def _batch_risk(x: np.ndarray, w: np.ndarray, b: float, sign: float) -> tuple[float, np.ndarray, float]:
     """Mean logistic loss of calling rows `sign`, and its gradient."""
     z = -sign * (x @ w + b)
@@ -43,8 +53,8 @@ def _batch_risk(x: np.ndarray, w: np.ndarray, b: float, sign: float) -> tuple[fl
     return float(np.logaddexp(0, z).mean()) if len(x) else 0.0, x.T @ g, float(g.sum())
 
 
-def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int = 6) -> tuple[np.ndarray, float]:
-    """Weights and bias that minimise the non-negative risk; rows are 0/1 presence."""
+def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, scale: np.ndarray, seed: int = 6) -> tuple[np.ndarray, float]:
+    """Weights and bias that minimise the non-negative risk; rows are 0/1 presence, times the scale of each column."""
     rng = np.random.default_rng(seed)
     n = positive.shape[1]
     w, b = np.zeros(n), float(np.log(prior / (1 - prior)))
@@ -53,8 +63,8 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int
     for epoch in range(EPOCHS):
         ps, us = rng.permutation(len(positive)), rng.permutation(len(unlabelled))
         for k in range(steps):
-            p = positive[np.take(ps, np.arange(k * len(ps) // steps, max(k * len(ps) // steps + 1, (k + 1) * len(ps) // steps)), mode="wrap")].astype(np.float64)
-            u = unlabelled[us[k * BATCH:(k + 1) * BATCH]].astype(np.float64)
+            p = positive[np.take(ps, np.arange(k * len(ps) // steps, max(k * len(ps) // steps + 1, (k + 1) * len(ps) // steps)), mode="wrap")] * scale
+            u = unlabelled[us[k * BATCH:(k + 1) * BATCH]] * scale
             _, gp, bp = _batch_risk(p, w, b, 1.0)
             rpn, gpn, bpn = _batch_risk(p, w, b, -1.0)
             run, gun, bun = _batch_risk(u, w, b, -1.0)
@@ -75,7 +85,7 @@ def held_out() -> F.Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], float]:
-    """(weights by word, bias). The driver receives at most the sample's presence lists."""
+    """(weights by word or beginning, bias). The driver receives at most the sample's presence lists."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where(F.col("doc_id").isNotNull() & ~held_out())
     counts = known.agg(F.count("toxic").alias("n"), F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("p")).first()
     if not counts.p:
@@ -90,7 +100,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], float]:
         for batch in batches:
             for start, texts in slices(batch):
                 n = len(texts)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, n), batch.column(1).slice(start, n), pa.array([sorted(words_of(t)) for t in texts], pa.list_(pa.string()))], ["doc_id", "kind", "words"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, n), batch.column(1).slice(start, n), pa.array([sorted(features_of(t)) for t in texts], pa.list_(pa.string()))], ["doc_id", "kind", "words"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     sample = stored(texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "kind", "text").mapInArrow(parse, "doc_id long, kind int, words array<string>"), "toxicity-sample")
@@ -102,7 +112,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], float]:
     positives, rest = float(sizes[1]), float(sizes.get(0, 0) or 1)
     spread_of = F.sqrt((F.col("p") + 1 / positives) / positives + (F.col("u") + 1 / rest) / rest)
     gap = F.abs(F.col("p") - F.col("u")) / spread_of
-    vocabulary = [r.word for r in spread.where(gap >= APART).orderBy(gap.desc(), "word").limit(FEATURES).collect()]
+    ranked = spread.select("word", gap.alias("gap")).orderBy(F.desc("gap"), "word").limit(FEATURES).collect()
+    vocabulary, scale = [r.word for r in ranked], np.array([min(1.0, r.gap / FULL) ** 2 for r in ranked])
     if not vocabulary:
         return {}, float(np.log(prior / (1 - prior)))
     index = {w: i for i, w in enumerate(vocabulary)}
@@ -113,18 +124,18 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], float]:
         x[i, [index[w] for w in r.words]] = 1
         kinds.append(r.kind)
     kinds = np.array(kinds)
-    w, b = train(x[kinds == 1], x[kinds == 0] if (kinds == 0).any() else x, prior)
-    return dict(zip(vocabulary, w.tolist())), b
+    w, b = train(x[kinds == 1], x[kinds == 0] if (kinds == 0).any() else x, prior, scale)
+    return dict(zip(vocabulary, (w * scale).tolist())), b
 
 
 def scores(docs: DataFrame, weights: dict[str, float], bias: float) -> DataFrame:
-    """(doc_id, score) for every row; the model has at most FEATURES words."""
+    """(doc_id, score) for every row; the model has at most FEATURES words and beginnings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = weights.keys()
         for batch in batches:
             for start, texts in slices(batch):
-                z = np.array([bias + sum(map(weights.__getitem__, sorted(words_of(t) & names))) for t in texts])
+                z = np.array([bias + sum(map(weights.__getitem__, sorted(features_of(t) & names))) for t in texts])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), pa.array(1 / (1 + np.exp(-np.clip(z, -700, 700))))], ["key", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("key"), whole_text().alias("text")).mapInArrow(run, "key long, score double").withColumnRenamed("key", "doc_id")
@@ -140,7 +151,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
         names = weights.keys()
         for batch in batches:
             for start, texts in slices(batch):
-                z = [bias + sum(map(weights.__getitem__, sorted(words_of(t) & names))) for t in texts]
+                z = [bias + sum(map(weights.__getitem__, sorted(features_of(t) & names))) for t in texts]
                 part = batch.slice(start, len(texts)).filter(pa.array([s < 0 for s in z]))
                 row = part.column(0)
                 yield pa.RecordBatch.from_arrays(row.flatten(), [f.name for f in row.type])

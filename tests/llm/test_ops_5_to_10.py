@@ -167,6 +167,23 @@ def test_toxicity(spark):
     assert set(toxicity.scores(docs, *toxicity.fit(docs, labels.where("toxic = 0"))).agg(F.max("score")).first()) == {np.exp(-700.0) / (1 + np.exp(-700.0))}
 
 
+def test_toxicity_in_rare_words(spark):
+    """Six insults that share the toxic documents among them, and one family of which no word stands twice."""
+    rng = random.Random(4)
+    insults = ["vile", "filth", "scum", "swine", "dregs", "louse"]
+    kind = {i: "family" if i % 3 == 0 else "word" for i in range(0, 1200, 4)}
+    toxic = lambda i: f"grumpf{'abcdefghij'[i % 10]}{i}" if kind[i] == "family" else rng.choice(insults)
+    table = [(i, " ".join(words(rng, 40) + ([toxic(i)] if i in kind else []))) for i in range(1200)]
+    docs = spark.createDataFrame(table, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i in kind)) for i in range(1200)], "doc_id long, toxic int")
+    found = {r.doc_id: r.score for r in toxicity.scores(docs, *toxicity.fit(docs, labels)).collect()}
+    out = [i for i in range(1200) if zlib.crc32(str(i).encode()) % 5 == 0]
+    for k in ("family", "word"):
+        those = [i for i in out if kind.get(i) == k]
+        assert len(those) > 10 and sum(found[i] >= 0.5 for i in those) >= 0.8 * len(those), k
+    assert sum(found[i] >= 0.5 for i in out if i not in kind) <= 0.02 * len(out)
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(1)
     x = rng.standard_normal((1500, 24))
