@@ -2,8 +2,9 @@
 
 Lines are compared by their words (lower case, white space collapsed); the edit bound is one word inserted,
 deleted or replaced. A line is dropped if an equal line, or one within the bound, comes earlier in the
-order (doc_id, position in the document); the earliest stays. Lines of fewer than min_words words are
-left alone, as chance makes them alike. This is judged on the input, so it doesn't chain.
+order (doc_id, position in the document); the earliest stays. Lines of fewer than min_words words have
+no edit bound, as chance makes them alike; equal ones of at least equal_words words go all the same (the operator
+and the pipeline take every line that isn't blank). This is judged on the input, so it doesn't chain.
 
 Equal lines meet first, by hash. A line with an edit of one word keeps its first or its last half, so
 lines that share no half with another line are set aside exactly. Each that remains emits its sequence and
@@ -81,8 +82,13 @@ def within_one_word(a: Column, b: Column) -> Column:
     return (F.abs(F.size(a) - F.size(b)) <= 1) & ((prefix >= n) | (rest <= 0) | ((rest <= shorter) & (tail(a) == tail(b))))
 
 
-def exploded(docs: DataFrame, min_words: int) -> DataFrame:
-    """A row per line that is judged: document key, position, normal form, its hashes and those of its halves.
+def _has_words(norm: Column, least: int) -> Column:
+    return norm != "" if least <= 1 else F.call_function("substring_index", norm, F.lit(" "), F.lit(least - 1)) != norm
+
+
+def exploded(docs: DataFrame, min_words: int, equal_words: int) -> DataFrame:
+    """A row per line that is judged: document key, position, normal form, its hashes and those of its halves,
+    which are null for a line without edit bound.
 
     Case and white space are settled on the whole text, once, as a filter on lines would do it again.
     """
@@ -93,9 +99,8 @@ def exploded(docs: DataFrame, min_words: int) -> DataFrame:
     settled = F.when(wide, F.regexp_replace(lower, "[ \\t\\r\\x0b\\x0c]+", " ")).otherwise(lower)
     lines = docs.select("did", "th", F.posexplode(F.split(settled, "\n", -1)).alias("pos", "line"))
     norm = F.trim("line")
-    many = F.call_function("substring_index", norm, F.lit(" "), F.lit(min_words - 1)) != norm
-    lines = lines.where(many).select("did", "th", "pos", norm.alias("norm"))
-    return lines.select("*", F.xxhash64("norm").alias("h1"), F.hash("norm").alias("h2"), _halves().alias("halves"))
+    lines = lines.where(_has_words(norm, min(min_words, equal_words))).select("did", "th", "pos", norm.alias("norm"))
+    return lines.select("*", F.xxhash64("norm").alias("h1"), F.hash("norm").alias("h2"), F.when(_has_words(F.col("norm"), min_words), _halves()).alias("halves"))
 
 
 def _among(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
@@ -126,13 +131,13 @@ def near_earlier(lines: DataFrame) -> DataFrame:
     return pairs.where(within_one_word(_words(), _words("other_norm"))).select("h1", "h2").distinct()
 
 
-def judged(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def judged(docs: DataFrame, min_words: int = MIN_WORDS, equal_words: int = MIN_WORDS) -> DataFrame:
     """docs (any columns with doc_id and text) with kept_text, n_lines and n_dropped."""
     keyed = docs.withColumns({"did": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), "th": F.xxhash64(whole_text())})
     plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("did"), F.xxhash64(whole_text()).alias("th"), whole_text().alias("text"))
-    lines = stored(exploded(plain, min_words), "lines")
+    lines = stored(exploded(plain, min_words, equal_words), "lines")
     repeated = lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2", F.lit(False).alias("near"))
-    near = near_earlier(lines).withColumn("near", F.lit(True))
+    near = near_earlier(lines.where("halves is not null")).withColumn("near", F.lit(True))
     marks = stored(repeated.union(near).groupBy("h1", "h2").agg(F.max("near").alias("near")), "lines-marked")
     placed = lines.select("did", "th", "pos", "h1", "h2").join(F.broadcast(marks) if marks.count() <= BROADCAST_KEYS else marks, ["h1", "h2"])
     placed = stored(placed, "lines-placed")
@@ -152,7 +157,7 @@ def judged(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The documents with the lines that stay; those that lose every line go. Columns as before."""
     names = docs.columns
-    kept = judged(docs, min_words).where("n_dropped < n_lines")
+    kept = judged(docs, min_words, 1).where("n_dropped < n_lines")
     changed = F.when(F.col("n_dropped") == 0, F.col("text")).otherwise(F.col("kept_text"))
     return kept.withColumn("text", changed).withColumn("n_chars", F.length("text").cast("long")).select(*names) if "n_chars" in names else kept.withColumn("text", changed).select(*names)
 
@@ -160,4 +165,4 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the number of its lines, of those dropped, and the digest of what is left."""
     docs = table_of(spark, sf_dir, "documents").select("doc_id", "text")
-    return judged(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+    return judged(docs, equal_words=1).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))

@@ -81,6 +81,29 @@ def test_lines(docs, rows):
     assert left.columns == docs.columns
 
 
+def test_short_lines_that_repeat(spark, docs, rows, tmp_path):
+    """Every equal line but the earliest goes, however short; blank lines stay."""
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    earlier, seen, gone = [], set(), set()
+    for i, t, *_ in sorted(rows, key=lambda r: -(2**63) if r[0] is None else r[0]):
+        for pos, line in enumerate((t or "").split("\n")):
+            ws = line.lower().split()
+            if tuple(ws) in seen or len(ws) >= 5 and any(near(ws, o) for o in earlier):
+                gone.add((i, pos))
+            if ws:
+                seen.add(tuple(ws))
+            if len(ws) >= 5:
+                earlier.append(ws)
+    want = Counter()
+    for i, t, *_ in rows:
+        lines = (t or "").split("\n")
+        kept = [x for pos, x in enumerate(lines) if (i, pos) not in gone]
+        want[i, len(lines), len(lines) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()] += 1
+    assert Counter(map(tuple, line_dedup.op5_line_dedup(spark, str(tmp_path)).collect())) == want
+    few = spark.createDataFrame([(1, "All rights reserved.\nx"), (2, "\nall  RIGHTS reserved."), (3, "X")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in line_dedup.without_repeats(few).collect()) == [(1, "All rights reserved.\nx"), (2, "")]
+
+
 def shingles(text, k):
     ws = [w for w in (text or "").translate({c: c + 32 for c in range(65, 91)} | {c: 32 for c in (9, 10, 11, 12, 13)}).split(" ") if w]
     return {tuple(ws[i:i + min(k, len(ws))]) for i in range(len(ws) - min(k, len(ws)) + 1)} if ws else set()
