@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .functions.text import MODES, normalize_chars
+from .functions.text import MODES, hyphen_cuts, normalize_chars, page_text
 from .operators import layout, search
 from .sources import pages as src
 
@@ -50,7 +50,7 @@ class Session:
         return replace(self, phrases=(*self.phrases, replace(phrase, mode=MODES[key])))
 
     def _normal(self) -> DataFrame:
-        return self.pages.select("doc_id", "page_index", normalize_chars(F.col("text")).alias("text_norm"))
+        return self.pages.select("doc_id", "page_index", page_text(F.col("text")).alias("text_norm"))
 
     def _queries(self) -> DataFrame:
         return self.pages.sparkSession.createDataFrame([(i, p.text) for i, p in enumerate(self.phrases)], "query_id int, text string")
@@ -69,7 +69,7 @@ class Session:
         if not self.phrases:
             raise ValueError("no phrases")
         found = reduce(DataFrame.unionByName, (self._matches_of(i, p) for i, p in enumerate(self.phrases)))
-        lined = self.pages.select("doc_id", "page_index", normalize_chars(F.col("text"), keep_lines=True).alias("text_lines"))
+        lined = self.pages.select("doc_id", "page_index", normalize_chars(F.col("text"), keep_lines=True).alias("text_lines"), hyphen_cuts(normalize_chars(F.col("text"))).alias("cuts"))
         return layout.hit_rects(found, lined)
 
     def outcomes(self) -> DataFrame:

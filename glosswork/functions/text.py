@@ -34,20 +34,44 @@ def normalize_chars(text: Column, keep_lines: bool = False) -> Column:
     return F.regexp_replace(plain, SPACES.replace(r"\x09-\x0d", r"\x09\x0b-\x0d") if keep_lines else SPACES, " ")
 
 
-def join_hyphens(text: Column) -> Column:
-    """Removes a hyphen and the spaces after it between letters, if its word has no hyphen yet.
+#: Texts without this keep all their hyphens.
+_SOFT = r"\p{L} *- +\p{L}"
+_CUTS = "array<struct<at:int,n:int>>"
+
+
+def _folded(text: Column) -> Column:
+    """The joined text, and where how many characters were taken out of it, by places in the joined text.
 
     A fold over the parts between hyphens: what stands before decides by its last word, the next part by its first letter.
     """
     parts = F.split(text, "-", -1)
+    start = F.struct(F.element_at(parts, 1).alias("out"), F.array().cast(_CUTS).alias("cuts"))
 
-    def step(before: Column, part: Column) -> Column:
+    def step(a: Column, part: Column) -> Column:
+        before, bare = a.out, F.ltrim(part)
         stem = F.rtrim(before)
         word = F.substring_index(stem, " ", -1)
         soft = part.rlike(r"^ +\p{L}") & stem.rlike(r"\p{L}$") & ~F.contains(word, F.lit("-"))
-        return F.when(soft, F.concat(before, F.ltrim(part))).otherwise(F.concat(before, F.lit("-"), part))
+        cut = F.struct(F.length(before).alias("at"), (F.length(part) - F.length(bare) + 1).alias("n"))
+        joined = F.struct(F.concat(before, bare).alias("out"), F.concat(a.cuts, F.array(cut)).alias("cuts"))
+        return F.when(soft, joined).otherwise(F.struct(F.concat(before, F.lit("-"), part).alias("out"), a.cuts.alias("cuts")))
+
+    return F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), start, step)
+
+
+def join_hyphens(text: Column) -> Column:
+    """Removes a hyphen and the spaces after it between letters, if its word has no hyphen yet."""
+    return F.when(text.rlike(_SOFT), _folded(text).out).otherwise(text)
+
+
+def hyphen_cuts(text: Column) -> Column:
+    """What join_hyphens takes out: (at in the joined text, n characters), in order."""
+    return F.when(text.rlike(_SOFT), _folded(text).cuts).otherwise(F.array().cast(_CUTS))
+
 
-    return F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), F.element_at(parts, 1), step)
+def page_text(text: Column) -> Column:
+    """The form of a page that is searched."""
+    return join_hyphens(normalize_chars(text))
 
 
 def tokens(text: Column) -> Column:

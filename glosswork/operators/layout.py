@@ -31,14 +31,18 @@ def text_of(glyphs: DataFrame, key: str) -> DataFrame:
 def hit_rects(hits: DataFrame, pages: DataFrame) -> DataFrame:
     """hits with rects: on the grid of 6 by 12, one rectangle a line that a range (start, end) meets.
 
-    pages (doc_id, page_index, text_lines) holds the normal form with line feeds in place of the spaces for them.
+    pages (doc_id, page_index, text_lines, cuts) holds the normal form with line feeds in place of the spaces for them,
+    and what joining hyphens took out of it, by which ranges are led back to the grid.
     """
     lines = F.split("text_lines", "\n", -1)
     empty = F.expr("cast(array() as array<struct<s:int,e:int>>)")
     step = lambda a, n: F.struct((a.at + n + 1).alias("at"), F.concat(a.out, F.array(F.struct(a.at.alias("s"), (a.at + n).alias("e")))).alias("out"))
     bounds = F.aggregate(F.transform(lines, lambda x: F.length(x)), F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda a: a.out)
-    met = lambda b: (b.s < F.col("end")) & (b.e > F.col("start"))
-    joined = hits.join(pages.select("doc_id", "page_index", bounds.alias("b")), ["doc_id", "page_index"])
+    back = lambda at: at + F.aggregate(F.filter("cuts", lambda c: c.at <= at), F.lit(0), lambda n, c: n + c.n)
+    first, last = F.col("grid_start"), F.col("grid_end")
+    met = lambda b: (b.s < last) & (b.e > first)
+    joined = hits.join(pages.select("doc_id", "page_index", bounds.alias("b"), "cuts"), ["doc_id", "page_index"])
+    joined = joined.withColumns({"grid_start": back(F.col("start")), "grid_end": back(F.col("end") - 1) + 1})
     place = F.transform("b", lambda b, i: F.struct(b.s.alias("s"), b.e.alias("e"), i.alias("i")))
-    rect = lambda b: F.struct(((F.greatest(b.s, F.col("start")) - b.s) * 6.0).alias("x0"), (b.i * 12.0).alias("y0"), ((F.least(b.e, F.col("end")) - b.s) * 6.0).alias("x1"), (b.i * 12.0 + 12.0).alias("y1"))
-    return joined.withColumn("rects", F.transform(F.filter(place, met), rect)).drop("b")
+    rect = lambda b: F.struct(((F.greatest(b.s, first) - b.s) * 6.0).alias("x0"), (b.i * 12.0).alias("y0"), ((F.least(b.e, last) - b.s) * 6.0).alias("x1"), (b.i * 12.0 + 12.0).alias("y1"))
+    return joined.withColumn("rects", F.transform(F.filter(place, met), rect)).drop("b", "cuts", "grid_start", "grid_end")

@@ -11,11 +11,11 @@ from ..sources import pages as src
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.lit(0).alias("page_index"), t.normalize_chars(F.col("text")).alias("text_norm"))
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.lit(0).alias("page_index"), t.page_text(F.col("text")).alias("text_norm"))
 
 
 def _talks(spark, d):
-    return spark.read.parquet(f"{d}/conversations.parquet").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_index"), t.normalize_chars(F.col("text")).alias("text_norm"))
+    return spark.read.parquet(f"{d}/conversations.parquet").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_index"), t.page_text(F.col("text")).alias("text_norm"))
 
 
 def _bench(spark, d):
@@ -23,7 +23,8 @@ def _bench(spark, d):
 
 
 def norm_char(spark, d):
-    return _docs(spark, d).select("doc_id", F.md5("text_norm").alias("digest"), F.length("text_norm").alias("n"))
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", t.normalize_chars(F.col("text")).alias("text_norm"))
+    return docs.select("doc_id", F.md5("text_norm").alias("digest"), F.length("text_norm").alias("n"))
 
 
 def norm_hyphen(spark, d):
@@ -124,7 +125,7 @@ def filter_case(spark, d):
 
 def filter_page(spark, d):
     talks = spark.read.parquet(f"{d}/conversations.parquet").where("role = 'user'")
-    pages = talks.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_index"), t.normalize_chars(F.col("text")).alias("text_norm"))
+    pages = talks.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_index"), t.page_text(F.col("text")).alias("text_norm"))
     return search.literal_matches(pages, _bench(spark, d)).select("query_id", "doc_id", "page_index", "start", "end")
 
 
@@ -177,7 +178,7 @@ def rect_sort(spark, d):
 
 
 def sink_annotations(spark, d):
-    pages = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.lit(0).alias("page_index"), t.normalize_chars(F.col("text"), keep_lines=True).alias("text_lines"))
+    pages = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.lit(0).alias("page_index"), t.normalize_chars(F.col("text"), keep_lines=True).alias("text_lines"), t.hyphen_cuts(t.normalize_chars(F.col("text"))).alias("cuts"))
     hits = layout.hit_rects(search.literal_matches(_docs(spark, d), _bench(spark, d)), pages)
     return src.annotations(hits).select("query_id", "doc_id", "start", F.size("quads").alias("n_lines"), F.get(F.get("quads", F.lit(0)), F.lit(0)).alias("x0"), F.get(F.get("quads", F.lit(0)), F.lit(1)).alias("y0"))
 

@@ -43,3 +43,20 @@ def test_command_line(spark, pages, tmp_path, capsys):
     with pytest.raises(SystemExit) as stop:
         parser().parse_args([where, "--text", "a", "--recipe", "b"])
     assert stop.value.code == 2
+
+
+def test_hyphens_at_line_ends(spark):
+    pages = spark.createDataFrame([(1, 0, "so differ-\nent words of state-of-the- art\nand differ- ent ends")], "doc_id long, page_index int, text string")
+    hits = sorted((r.start, r.end, [tuple(x) for x in r.rects]) for r in Session(pages).find("different", progressive=False, mode="all").hits().collect())
+    assert hits == [(3, 12, [(18.0, 0.0, 60.0, 12.0), (0.0, 12.0, 18.0, 24.0)]), (44, 53, [(24.0, 24.0, 90.0, 36.0)])]
+    assert Session(pages).find("so different words").outcomes().first().exit_code == 0
+    assert Session(pages).find("state-of-the- art", progressive=False).outcomes().first().exit_code == 0
+
+
+def test_hyphens_in_tables(spark, tmp_path):
+    from glosswork.plans import queries
+
+    spark.createDataFrame([(1, "a differ-\nent one")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, "Different one")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert [tuple(r) for r in queries.match_pattern_all(spark, str(tmp_path)).collect()] == [(7, 1, 2, 15)]
+    assert queries.snippet(spark, str(tmp_path)).first().text_snippet == "different one"
