@@ -34,6 +34,10 @@ ENCODED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
 HEX_ANY = re.compile(r"(?:[0-9a-f]{2}){20,}|(?:[0-9A-F]{2}){20,}")
 TOKEN = re.compile(r"(?<![A-Za-z0-9_.-])ey[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
 ARMOUR = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+#: Runs over line ends, real or written as backslash and letter, and what DER and SSH keys start with in them.
+BREAK = re.compile(r"(?:\\r|\\n|\r|\n[ \t]*)+")
+WRAPPED = re.compile(rf"[A-Za-z0-9+/_-]+(?:{BREAK.pattern}[A-Za-z0-9+/_-]+)*")
+START = re.compile(r"M[A-I]|AAAA|b3BlbnNzaC1rZXktdjE")
 #: Texts without such a run hold nothing to decode.
 LONG_RUN = re.compile(r"[A-Za-z0-9+/_-]{40}")
 
@@ -86,6 +90,8 @@ def is_der_key(data: bytes) -> bool:
         if tags[1] == 0x30 and len(tags) >= 3 and tags[2] == 0x04:
             return algorithm(items[1])
         return tags[1] == 0x04 and items[1][2] - items[1][1] >= 16
+    if tags == [0x30, 0x04]:  # encrypted PKCS#8
+        return items[1][2] - items[1][1] >= 16 and algorithm(items[0])
     return tags[:2] == [0x30, 0x03] and algorithm(items[0])
 
 
@@ -122,6 +128,50 @@ def decoded(run: str) -> bytes | None:
         return None
 
 
+def key_length(data: bytes) -> tuple[str, int] | None:
+    """(kind, bytes) of the key that data begins with, whatever follows it."""
+    if data[:1] == b"\x30":
+        outer = der_length(data, 1)
+        end = outer[0] + outer[1] if outer else 0
+        return ("der", end) if 0 < end <= len(data) and is_der_key(data[:end]) else None
+    if data.startswith(b"openssh-key-v1\0"):
+        return ("ssh", len(data)) if is_ssh_key(data) else None
+    at, found = 0, None
+    while at + 4 <= len(data) and at + 4 + (n := int.from_bytes(data[at:at + 4], "big")) <= len(data):
+        at += 4 + n
+        if is_ssh_key(data[:at]):
+            found = at
+        elif found or at == 4 + n and not re.match(rb"ssh-|ecdsa-|sk-", data[4:12]):
+            break
+    return ("ssh", found) if found else None
+
+
+def keys_inside(text: str) -> Iterator[tuple[str, int, int]]:
+    """Keys that begin anywhere in a run, or go on over line ends."""
+    for m in WRAPPED.finditer(text):
+        if m.end() - m.start() < 40:
+            continue
+        places, at = [], m.start()
+        for b in [*BREAK.finditer(text, m.start(), m.end()), None]:
+            places += range(at, b.start() if b else m.end())
+            at = b.end() if b else at
+        run, done = "".join([text[i] for i in places]), 0
+        for s in START.finditer(run):
+            if s.start() < done:
+                continue
+            head = decoded(run[s.start():s.start() + 12])
+            if not head or head[0] == 0x30 and ((size := der_length(head, 1)) is None or size[0] + size[1] > (len(run) - s.start()) * 3 // 4):
+                continue
+            if head[0] == 0 and not re.match(rb"ssh-|ecds|sk-", head[4:8]):
+                continue
+            need = -(-(size[0] + size[1]) // 3) * 4 if head[0] == 0x30 else len(run)
+            rest = run[s.start():s.start() + need]
+            data = decoded(rest[:len(rest) - (len(rest) % 4 == 1)])
+            if data and (found := key_length(data)):
+                done = s.start() + -(-found[1] * 4 // 3)
+                yield found[0], places[s.start()], places[min(done, len(run)) - 1] + 1
+
+
 def token_header(run: str) -> bool:
     """Whether the first part of a dotted run is a JSON object that names an algorithm, and the second decodes."""
     head, body, sign = run.split(".")
@@ -160,6 +210,8 @@ def spans_of(text: str) -> list[tuple[str, int, int]]:
             data = bytes.fromhex(m[0])
             if kind := "der" if is_der_key(data) else "ssh" if is_ssh_key(data) else None:
                 out.append((kind, m.start(), m.end()))
+        taken = [s for s in out if s[0] in ("der", "ssh", "armour")]
+        out += [s for s in keys_inside(text) if not any(a < s[2] and s[1] < b for _, a, b in taken)]
     rank = {k: i for i, k in enumerate(KINDS)}
     return sorted(set(out), key=lambda x: (x[1], rank[x[0]], x[2]))
 

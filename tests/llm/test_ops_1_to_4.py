@@ -98,6 +98,19 @@ def test_secrets(spark):
         assert (got[i].n_assign, got[i].n_access, got[i].n_hex, got[i].base_sha256) == (len(assign), len(access), len(hexes), hashlib.sha256(text.encode()).hexdigest())
 
 
+def test_keys_in_wrapped_and_joined_runs():
+    der = rsa_like()
+    body = base64.b64encode(der).decode()
+    tlv = lambda tag, b: bytes([tag]) + (bytes([len(b)]) if len(b) < 128 else b"\x82" + len(b).to_bytes(2, "big")) + b
+    locked = base64.b64encode(tlv(0x30, tlv(0x30, tlv(6, b"\x2a\x86\x48")) + tlv(4, bytes(300)))).decode()
+    lines = [body[i:i + 64] for i in range(0, len(body), 64)]
+    ssh = base64.b64encode(struct.pack(">I", 7) + b"ssh-rsa" + struct.pack(">I", 3) + b"\1\0\1" + struct.pack(">I", 64) + bytes(range(64))).decode()
+    kinds = lambda t: [s[0] for s in secret_scans.spans_of(t) if s[0] in ("der", "ssh", "armour")]
+    for text in ("\n".join(lines), "\r\n".join(lines), '"-----BEGIN PRIVATE KEY-----' + "".join("\\n" + x for x in lines) + '\\n-----END PRIVATE KEY-----"', locked, *(c + body for c in ("/", "-", "_", "ab_"))):
+        assert kinds(text) == ["der"], text[:50]
+    assert kinds("/" + ssh) == ["ssh"] and kinds("\n".join(["x" * 64] * 9)) == kinds("M" + "A" * 500) == []
+
+
 def reference_encoding():
     ranks = byte_bpe.load_ranks(public_tokenizers.path(byte_bpe.VOCABULARY))
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
