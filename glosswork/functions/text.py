@@ -26,47 +26,80 @@ def _nfkc_by_character(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else "".join(unicodedata.normalize("NFKC", c) for c in t))
 
 
+def _plain(text: Column, keep_lines: bool = False) -> Column:
+    plain = F.translate(text, DASHES + SINGLE_QUOTES + DOUBLE_QUOTES + "\u00ad", "-" * len(DASHES) + "'" * len(SINGLE_QUOTES) + '"' * len(DOUBLE_QUOTES))
+    return F.regexp_replace(plain, SPACES.replace(r"\x09-\x0d", r"\x09\x0b-\x0d") if keep_lines else SPACES, " ")
+
+
 def normalize_chars(text: Column, keep_lines: bool = False) -> Column:
     """Character by character: compatibility form, no soft hyphens, one space for each white space, plain dashes and
     quotes. Only texts with an affected character leave the JVM."""
-    text = F.coalesce(_nfkc_by_character(F.when(text.rlike(_COMPATIBLE), text)), text)
-    plain = F.translate(text, DASHES + SINGLE_QUOTES + DOUBLE_QUOTES + "\u00ad", "-" * len(DASHES) + "'" * len(SINGLE_QUOTES) + '"' * len(DOUBLE_QUOTES))
-    return F.regexp_replace(plain, SPACES.replace(r"\x09-\x0d", r"\x09\x0b-\x0d") if keep_lines else SPACES, " ")
+    return _plain(F.coalesce(_nfkc_by_character(F.when(text.rlike(_COMPATIBLE), text)), text), keep_lines)
 
 
 #: Texts without this keep all their hyphens.
 _SOFT = r"\p{L} *- +\p{L}"
 _CUTS = "array<struct<at:int,n:int>>"
+#: Members of a run that are summed one after another; runs are summed among themselves.
+_RUN = 512
 
 
-def _folded(text: Column) -> Column:
-    """The joined text, and where how many characters were taken out of it, by places in the joined text.
+def running(values: Column) -> Column:
+    """Sums of all members before each one. Members go by runs, so that no list grows member by member."""
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / _RUN).cast("int")), lambda r: F.slice(values, r * _RUN + 1, _RUN))
+    none = F.array().cast("array<long>")
+    grown = lambda xs: F.aggregate(xs, F.struct(F.lit(0).cast("long").alias("sum"), none.alias("out")), lambda a, x: F.struct((a.sum + x).alias("sum"), F.concat(a.out, F.array(a.sum)).alias("out")))
+    inside = F.transform(runs, grown)
+    before = grown(F.transform(inside, lambda x: x.sum)).out
+    listed = F.flatten(F.zip_with(inside, before, lambda x, b: F.transform(x.out, lambda v: v + b)))
+    return F.when(F.size(values) > 0, listed).otherwise(none)
 
-    A fold over the parts between hyphens: what stands before decides by its last word, the next part by its first letter.
-    """
-    parts = F.split(text, "-", -1)
-    start = F.struct(F.element_at(parts, 1).alias("out"), F.array().cast(_CUTS).alias("cuts"))
+
+def _joints(parts: Column) -> Column:
+    """For each part after the first, whether the hyphen before it goes. What is carried along is the last word alone."""
+    first = F.substring_index(F.rtrim(F.element_at(parts, 1)), " ", -1)
+    ends = F.element_at(parts, 1).endswith(" ")
+    start = F.struct(F.when(ends, F.concat(first, F.lit(" "))).otherwise(first).alias("tail"), F.array().cast("array<boolean>").alias("soft"))
 
     def step(a: Column, part: Column) -> Column:
-        before, bare = a.out, F.ltrim(part)
-        stem = F.rtrim(before)
-        word = F.substring_index(stem, " ", -1)
-        soft = part.rlike(r"^ +\p{L}") & stem.rlike(r"\p{L}$") & ~F.contains(word, F.lit("-"))
-        cut = F.struct(F.length(before).alias("at"), (F.length(part) - F.length(bare) + 1).alias("n"))
-        joined = F.struct(F.concat(before, bare).alias("out"), F.concat(a.cuts, F.array(cut)).alias("cuts"))
-        return F.when(soft, joined).otherwise(F.struct(F.concat(before, F.lit("-"), part).alias("out"), a.cuts.alias("cuts")))
+        word = F.rtrim(a.tail)
+        soft = part.rlike(r"^ +\p{L}") & word.rlike(r"\p{L}$") & ~F.contains(word, F.lit("-"))
+        grown = F.concat(a.tail, F.when(soft, F.ltrim(part)).otherwise(F.concat(F.lit("-"), part)))
+        last = F.substring_index(F.rtrim(grown), " ", -1)
+        return F.struct(F.when(grown.endswith(" "), F.concat(last, F.lit(" "))).otherwise(last).alias("tail"), F.concat(a.soft, F.array(soft)).alias("soft"))
+
+    return F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), start, step).soft
+
 
-    return F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), start, step)
+def _pieces(text: Column) -> tuple[Column, Column]:
+    """Parts between hyphens, and whether the hyphen before each goes (the first has none)."""
+    parts = F.split(text, "-", -1)
+    return parts, F.concat(F.array(F.lit(False)), _joints(parts))
 
 
 def join_hyphens(text: Column) -> Column:
     """Removes a hyphen and the spaces after it between letters, if its word has no hyphen yet."""
-    return F.when(text.rlike(_SOFT), _folded(text).out).otherwise(text)
+    parts, soft = _pieces(text)
+    kept = F.zip_with(parts, soft, lambda p, s: F.when(s, F.ltrim(p)).otherwise(F.concat(F.lit("-"), p)))
+    return F.when(text.rlike(_SOFT), F.substring(F.array_join(kept, ""), 2, 2**31 - 1)).otherwise(text)
 
 
 def hyphen_cuts(text: Column) -> Column:
     """What join_hyphens takes out: (at in the joined text, n characters), in order."""
-    return F.when(text.rlike(_SOFT), _folded(text).cuts).otherwise(F.array().cast(_CUTS))
+    parts, soft = _pieces(text)
+    gone = F.zip_with(parts, soft, lambda p, s: F.when(s, F.length(p) - F.length(F.ltrim(p)) + 1).otherwise(0))
+    sizes = F.zip_with(parts, gone, lambda p, n: F.length(p) + 1 - n)
+    places = F.zip_with(running(sizes), gone, lambda at, n: F.struct((at - 1).cast("int").alias("at"), n.cast("int").alias("n")))
+    return F.when(text.rlike(_SOFT), F.filter(places, lambda c: c.n > 0).cast(_CUTS)).otherwise(F.array().cast(_CUTS))
+
+
+def normal_string(text: str) -> str:
+    """The same normal form in Python, of a whole string."""
+    plain = unicodedata.normalize("NFKC", text)
+    for group, one in ((DASHES, "-"), (SINGLE_QUOTES, "'"), (DOUBLE_QUOTES, '"'), ("\u00ad", "")):
+        for c in group:
+            plain = plain.replace(c, one)
+    return "".join(" " if c.isspace() else c for c in plain)
 
 
 def page_text(text: Column) -> Column:
@@ -79,15 +112,41 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(text, SPACES + "+"), lambda w: w != "")
 
 
+@F.pandas_udf(T.StringType())
+def _nfkc_by_line(s: pd.Series) -> pd.Series:
+    return s.map(lambda t: None if t is None else "\n".join(unicodedata.normalize("NFKC", w) for w in t.split("\n")))
+
+
+def query_tokens(text: Column) -> Column:
+    """A query's words, each normalized after the cut and as a whole, so that combining marks compose."""
+    words = tokens(text)
+    composed = F.coalesce(F.split(_nfkc_by_line(F.when(text.rlike(_COMPATIBLE), F.array_join(words, "\n"))), "\n", -1), words)
+    return F.transform(composed, lambda w: _plain(w))
+
+
 def escaped(text: Column) -> Column:
     return F.regexp_replace(text, r"([\\.^$|?*+()\[\]{}\-#&~])", r"\\$1")
 
 
-def literal_pattern(query: Column, literal_whitespace: bool = False, ignore_case: bool = True) -> Column:
-    """Pattern of a query: its words with any white space between, or the whole escaped."""
+def literal_pattern(query: Column, literal_whitespace: bool | Column = False, ignore_case: bool | Column = True) -> Column:
+    """Pattern of a query: its words with any white space between, or the whole escaped. Options may be columns."""
     norm = normalize_chars(query)
-    body = escaped(norm) if literal_whitespace else F.array_join(F.transform(F.split(norm, " +"), escaped), r"\s+")
-    return F.concat(F.lit("(?iu)"), body) if ignore_case else body
+    flag, whole = (x if isinstance(x, Column) else F.lit(x) for x in (ignore_case, literal_whitespace))
+    words = F.array_join(F.transform(tokens(norm), escaped), r"\s+")
+    return F.concat(F.when(flag, "(?iu)").otherwise(""), F.when(whole, escaped(norm)).otherwise(words))
+
+
+def rarest_word(words: Column) -> Column:
+    """Of a query's words the longest, in lower case, for a test whether a text can match at all; none if it isn't plain."""
+    plain = F.filter(words, lambda w: w.rlike("^[\\x21-\\x7e]+$"))
+    longest = F.array_max(F.transform(plain, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
+    return F.lower(longest.w)
+
+
+def folded(text: Column) -> Column:
+    """A form in which plain words stand wherever the text matches them with case ignored (and perhaps elsewhere)."""
+    other = F.translate(F.lower(F.upper(text)), "\u0307", "")
+    return F.when(text.rlike("[^\\x00-\\x7f]"), other).otherwise(F.lower(text))
 
 
 def chunk_pattern(words: Column, start, k) -> Column:
@@ -96,8 +155,8 @@ def chunk_pattern(words: Column, start, k) -> Column:
 
 
 def parse_color(value: Column) -> Column:
-    """#RRGGBB, r,g,b or a palette name; anything else is yellow. No range check."""
-    s = F.trim(value)
+    """#RRGGBB, r,g,b (also as a JSON list) or a palette name; anything else is yellow. No range check."""
+    s = F.regexp_replace(F.trim(value), r"^\[|\]$", "")
     rgb = lambda r, g, b: F.struct(r.cast("double").alias("r"), g.cast("double").alias("g"), b.cast("double").alias("b"))
     named = reduce(lambda e, kv: F.when(F.lower(s) == kv[0], rgb(*map(F.lit, kv[1]))).otherwise(e), PALETTE.items(), rgb(*map(F.lit, PALETTE["yellow"])))
     channel = lambda at: F.conv(F.substring(s, at, 2), 16, 10).cast("double") / 255.0
@@ -106,11 +165,26 @@ def parse_color(value: Column) -> Column:
     return F.when(s.rlike("^#[0-9A-Fa-f]{6}$"), rgb(channel(2), channel(4), channel(6))).when(listed, rgb(F.get(parts, F.lit(0)), F.get(parts, F.lit(1)), F.get(parts, F.lit(2)))).otherwise(named)
 
 
-def parse_mode(value: Column) -> Column:
-    """Selection mode by its names; null is best, an unknown name is null."""
-    key = F.regexp_replace(F.lower(F.trim(value)), "[ -]", "_")
+def mode_of(value: str | None) -> str:
+    """Selection mode by its names; none is best, an unknown name is an error."""
+    key = "best" if value is None else str(value).lower().replace(" ", "_").replace("-", "_")
+    if key not in MODES:
+        raise ValueError(f"unknown selection mode: {value}")
+    return MODES[key]
+
+
+def parse_mode(value: Column, strict: bool = True) -> Column:
+    """Selection mode by its names; null is best. An unknown name is an error, or null if not strict."""
+    key = F.regexp_replace(F.lower(value), "[ -]", "_")
     names = F.create_map(*(F.lit(x) for kv in MODES.items() for x in kv))
-    return F.when(value.isNull(), F.lit("best")).otherwise(F.try_element_at(names, key))
+    known = F.try_element_at(names, key)
+    wrong = F.raise_error(F.concat(F.lit("unknown selection mode: "), value)) if strict else F.lit(None).cast("string")
+    return F.when(value.isNull(), F.lit("best")).when(known.isNull(), wrong).otherwise(known)
+
+
+def tenths(value: Column) -> Column:
+    """A double rounded to one place: by its exact value, halves to even."""
+    return F.replace(F.format_number(value, 1), F.lit(","), F.lit("")).cast("double")
 
 
 def sanitized(r: Column, eps: float = 0.25) -> Column:

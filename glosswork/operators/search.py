@@ -2,22 +2,44 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import chunk_pattern, literal_pattern, normalize_chars, tokens
+from ..functions.text import chunk_pattern, folded, literal_pattern, normalize_chars, query_tokens, rarest_word, running, tokens
+from .phrases import Page, Phrase
 
-#: Queries are broadcast up to this many rows; beyond it Spark chooses.
-BROADCAST_QUERIES = 10_000
+#: Characters of query words that go to the workers with one pass over the pages.
+BLOCK_CHARS = 4_000_000
+#: Candidates that a worker holds before it hands them on.
+HELD = 50_000
 SEGMENTS = "array<struct<s:int,e:int,k:int>>"
+OPTIONS = {"kmax": 3, "ignore_case": True, "max_gap": 200, "min_words": 3}
 
 
-def _small(queries: DataFrame) -> DataFrame:
-    return F.broadcast(queries) if queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES else queries
+def spread(pages: DataFrame) -> DataFrame:
+    """Pages over all cores, if their files give fewer partitions than there are cores."""
+    if pages.isStreaming:
+        return pages
+    cores = pages.sparkSession.sparkContext.defaultParallelism
+    parts = pages._jdf.queryExecution().toRdd().getNumPartitions()
+    return pages.repartition(cores, "doc_id", "page_index") if parts < cores else pages
+
+
+def _pattern_spans(pages: DataFrame, patterns: DataFrame, keys: list[str]) -> DataFrame:
+    """Every match of patterns (keys, pattern, word) in pages, whose text must hold the word, if any.
+
+    The word is looked for first, without a pattern; whether patterns are broadcast is left to Spark's check of their size.
+    """
+    shaped = spread(pages).withColumn("shape", folded(F.col("text_norm")))
+    there = F.coalesce(F.contains("shape", F.col("word")), F.lit(True)) & F.expr("regexp_like(text_norm, pattern)")
+    hit = shaped.join(patterns.where("pattern not in ('', '(?iu)')"), there)
+    spans = hit.select(*keys, "doc_id", "page_index", F.inline_outer(match_spans("text_norm", "pattern")))
+    return spans.where("start is not null")
 
 
 def literal_matches(pages: DataFrame, queries: DataFrame, literal_whitespace: bool = False, ignore_case: bool = True) -> DataFrame:
@@ -25,39 +47,34 @@ def literal_matches(pages: DataFrame, queries: DataFrame, literal_whitespace: bo
 
     Offsets come from the lengths of the parts between matches and of the matches.
     """
-    patterns = queries.select("query_id", literal_pattern(F.col("text"), literal_whitespace, ignore_case).alias("pattern")).where("pattern not in ('', '(?iu)')")
-    hit = pages.join(_small(patterns), F.expr("regexp_like(text_norm, pattern)"))
-    return hit.select("query_id", "doc_id", "page_index", F.inline(match_spans("text_norm", "pattern")))
+    text = F.col("text")
+    patterns = queries.select("query_id", literal_pattern(text, literal_whitespace, ignore_case).alias("pattern"), rarest_word(tokens(normalize_chars(text))).alias("word"))
+    return _pattern_spans(pages, patterns, ["query_id"])
 
 
 def match_spans(text: str, pattern: str) -> Column:
     """array<struct<start,end>> of all matches of a pattern column, from the lengths of matches and of the parts between."""
     gaps, found = F.split(text, F.col(pattern), -1), F.regexp_extract_all(text, pattern, F.lit(0))
     sizes = F.zip_with(F.transform(gaps, lambda g: F.length(g)), F.transform(found, lambda m: F.length(m)), lambda g, m: F.struct(g.alias("g"), m.alias("m")))
-    empty = F.expr("cast(array() as array<struct<start:int,end:int>>)")
-
-    def step(a: Column, x: Column) -> Column:
-        start = a.at + x.g
-        return F.struct((start + x.m).alias("at"), F.concat(a.spans, F.array(F.struct(start.alias("start"), (start + x.m).alias("end")))).alias("spans"))
-
-    return F.aggregate(F.filter(sizes, lambda x: x.m.isNotNull()), F.struct(F.lit(0).alias("at"), empty.alias("spans")), step, lambda a: a.spans)
+    sizes = F.filter(sizes, lambda x: x.m.isNotNull())
+    before = running(F.transform(sizes, lambda x: x.g + x.m))
+    return F.zip_with(sizes, before, lambda x, b: F.struct((b + x.g).cast("int").alias("start"), (b + x.g + x.m).cast("int").alias("end")))
 
 
 def regex_matches(pages: DataFrame, queries: DataFrame, ignore_case: bool = True) -> DataFrame:
     """Every match of raw patterns (query_id, pattern); patterns should not match the empty string."""
     flag = "(?iu)" if ignore_case else ""
-    patterns = queries.select("query_id", F.concat(F.lit(flag), "pattern").alias("pattern")).where(F.col("pattern") != flag)
-    hit = pages.join(_small(patterns), F.expr("regexp_like(text_norm, pattern)"))
-    return hit.select("query_id", "doc_id", "page_index", F.inline(match_spans("text_norm", "pattern")))
+    patterns = queries.select("query_id", F.concat(F.lit(flag), "pattern").alias("pattern"), F.lit(None).cast("string").alias("word"))
+    return _pattern_spans(pages, patterns, ["query_id"])
 
 
 def starters(pages: DataFrame, queries: DataFrame, kmax: int = 3, ignore_case: bool = True) -> DataFrame:
     """Every match of a query's first k0 words, for k0 from kmax down: query_id, doc_id, page_index, k0, start, end."""
-    words = queries.select("query_id", tokens(normalize_chars(F.col("text"))).alias("words")).where(F.size("words") > 0)
+    words = queries.select("query_id", query_tokens(F.col("text")).alias("words")).where(F.size("words") > 0)
     sized = words.select("query_id", "words", F.explode(F.sequence(F.lit(1), F.least(F.lit(kmax), F.size("words")))).alias("k0"))
-    patterns = sized.select("query_id", "k0", F.concat(F.lit("(?iu)" if ignore_case else ""), chunk_pattern(F.col("words"), F.lit(0), F.col("k0"))).alias("pattern"))
-    hit = pages.join(_small(patterns), F.expr("regexp_like(text_norm, pattern)"))
-    return hit.select("query_id", "doc_id", "page_index", "k0", F.inline(match_spans("text_norm", "pattern")))
+    pattern = F.concat(F.lit("(?iu)" if ignore_case else ""), chunk_pattern(F.col("words"), F.lit(0), F.col("k0")))
+    patterns = sized.select("query_id", "k0", pattern.alias("pattern"), rarest_word(F.slice("words", F.lit(1), F.col("k0"))).alias("word"))
+    return _pattern_spans(pages, patterns, ["query_id", "k0"])
 
 
 def merged(segs: str) -> Column:
@@ -80,7 +97,7 @@ def first_segments(candidates: DataFrame) -> DataFrame:
 
 def chosen(matches: DataFrame, mode: str) -> DataFrame:
     """Literal matches under a mode: all; the first in page order and whether there are more (best, blocked); or all,
-    with an error where there are several (single)."""
+    with an error where there are several, of which none is to be kept (single)."""
     at = Window.partitionBy("query_id", "doc_id")
     many = F.count(F.lit(1)).over(at) > 1
     if mode == "best":
@@ -92,8 +109,10 @@ def chosen(matches: DataFrame, mode: str) -> DataFrame:
 
 
 def ordered(matches: DataFrame) -> DataFrame:
-    """Matches with their place, by page and then by offset, in each query and document."""
-    return matches.withColumn("place", F.row_number().over(Window.partitionBy("query_id", "doc_id").orderBy("page_index", "start", "end")))
+    """Matches with their place in each query and document: by page; within it by discovery, which is the longest first
+    k0 (where there is one) and then the offset."""
+    within = [F.desc("k0")] if "k0" in matches.columns else [F.asc("seq")] if "seq" in matches.columns else []
+    return matches.withColumn("place", F.row_number().over(Window.partitionBy("query_id", "doc_id").orderBy("page_index", *within, "start", "end")))
 
 
 def session_totals(matches: DataFrame) -> DataFrame:
@@ -102,62 +121,78 @@ def session_totals(matches: DataFrame) -> DataFrame:
     return one.groupBy("doc_id").agg(F.sum("n").alias("segment_matches"), F.sum("d").alias("highlight_count"))
 
 
-class PhraseProgram:
-    """One query's chunk patterns, compiled when first needed."""
-
-    def __init__(self, words: list[str], kmax: int, ignore_case: bool):
-        self.words, self.kmax, self.flags = words, max(1, kmax), re.IGNORECASE if ignore_case else 0
-        self._compiled: dict[tuple[int, int], re.Pattern] = {}
-
-    def chunk(self, i: int, k: int) -> re.Pattern:
-        if (i, k) not in self._compiled:
-            self._compiled[i, k] = re.compile(r"\s*".join(map(re.escape, self.words[i:i + k])), self.flags)
-        return self._compiled[i, k]
-
-    def candidates(self, text: str, max_gap: int, min_words: int) -> Iterator[list[tuple[int, int, int]]]:
-        """From each match of the first k0 words, longest k0 first: always the most words found next, words without a match skipped."""
-        n, widths = len(self.words), range(min(self.kmax, len(self.words)), 0, -1)
-        for k0 in widths:
-            for m in self.chunk(0, k0).finditer(text):
-                segments, i = [(m.start(), m.end(), k0)], k0
-                while i < n:
-                    tries = ((k, self.chunk(i, k).search(text, segments[-1][1])) for k in widths if k <= n - i)
-                    k, hit = next(((k, x) for k, x in tries if x), (1, None))
-                    if hit:
-                        segments.append((hit.start(), hit.end(), k))
-                    i += k
-                near = all(b[0] - a[1] <= max_gap for a, b in zip(segments, segments[1:]))
-                if near and sum(s[2] for s in segments) >= max(1, min_words):
-                    yield segments
-
-
-def progressive_candidates(pages: DataFrame, queries: DataFrame, kmax: int = 3, ignore_case: bool = True, max_gap: int = 200, min_words: int = 3) -> DataFrame:
-    """All candidates: query_id, doc_id, page_index, seq (order of discovery), segs, n_tokens.
-
-    Queries with fewer words than min_words can't match and go first; pages without the first word never
-    reach Python.
+def _query_blocks(queries: DataFrame) -> Iterator[list[tuple]]:
+    """(query_id, words, kmax, ignore_case, max_gap, min_words) in lists of about BLOCK_CHARS characters."""
+    block, chars = [], 0
+    for row in queries.toLocalIterator():
+        block.append(tuple(row))
+        chars += sum(map(len, row.words)) + 50
+        if chars >= BLOCK_CHARS:
+            yield block
+            block, chars = [], 0
+    if block:
+        yield block
+
+
+def progressive_candidates(pages: DataFrame, queries: DataFrame, kmax: int = 3, ignore_case: bool = True, max_gap: int = 200, min_words: int = 3, subwords=None) -> DataFrame:
+    """All candidates: query_id, doc_id, page_index, seq (order of discovery), segs, n_tokens, start, end.
+
+    Queries may carry columns kmax, ignore_case, max_gap and min_words of their own. The set of queries is read by the
+    driver, in blocks of a fixed size; a block goes to the workers once and meets every page in one pass, so a page's
+    text is shipped once a block, and what is looked up in it is shared by all queries. Queries with fewer words than
+    min_words can't match. subwords: a function from a text to its parts, in place of white space.
     """
-    words = queries.select("query_id", tokens(normalize_chars(F.col("text"))).alias("words"))
-    words = words.where(F.size("words") >= max(1, min_words))
-    first = F.element_at("words", 1)
-    there = F.contains(F.lower("text_norm"), F.lower(first)) | ~first.rlike("^[\\x00-\\x7f]*$") if ignore_case else F.contains("text_norm", first)
-    pairs = pages.join(_small(words), there).select("query_id", "doc_id", "page_index", "text_norm", "words")
+    options = {"kmax": kmax, "ignore_case": ignore_case, "max_gap": max_gap, "min_words": min_words}
+    asked = [F.coalesce(F.col(c), F.lit(v)).alias(c) if c in queries.columns else F.lit(v).alias(c) for c, v in options.items()]
+    words = F.udf(subwords, "array<string>")(F.col("text")) if subwords else query_tokens(F.col("text"))
+    listed = queries.select("query_id", words.alias("words"), *asked).where("size(words) >= greatest(1, min_words)")
+    kinds = dict(pages.dtypes) | dict(queries.select("query_id").dtypes)
+    schema = f"query_id {kinds['query_id']}, doc_id {kinds['doc_id']}, page_index {kinds['page_index']}, seq int, segs {SEGMENTS}, n_tokens int"
+    source = spread(pages.select("doc_id", "page_index", "text_norm"))
+    parts = [source.mapInArrow(_searcher(block, queries.schema["query_id"].dataType), schema) for block in _query_blocks(listed)]
+    found = reduce(DataFrame.unionByName, parts) if parts else pages.sparkSession.createDataFrame([], schema)
+    return found.withColumns({"start": F.element_at("segs", 1)["s"], "end": F.element_at("segs", -1)["e"]})
+
+
+def _searcher(block: list[tuple], id_type):
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    id_kind = to_arrow_type(id_type)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        programs: dict[tuple, PhraseProgram] = {}
-        kind = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32()), ("k", pa.int32())]))
+        phrases = [(q, Phrase(list(words), kmax, case, gap, least)) for q, words, kmax, case, gap, least in block]
+        starts: dict[tuple[bool, str], list] = {}
+        for q, phrase in phrases:
+            starts.setdefault((phrase.ignore_case, phrase.shapes[0] if phrase.plain else ""), []).append((q, phrase))
         for batch in batches:
-            out: list[list] = [[], [], [], [], [], []]
-            for q, d, p, text, ws in zip(*(c.to_pylist() for c in batch.columns)):
-                program = programs.get(tuple(ws)) or programs.setdefault(tuple(ws), PhraseProgram(ws, kmax, ignore_case))
-                for seq, segments in enumerate(program.candidates(text, max_gap, min_words)):
-                    for column, value in zip(out, (q, d, p, seq, [{"s": s, "e": e, "k": k} for s, e, k in segments], len(ws))):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], batch.column(0).type), pa.array(out[1], batch.column(1).type), pa.array(out[2], batch.column(2).type), pa.array(out[3], pa.int32()), pa.array(out[4], kind), pa.array(out[5], pa.int32())], ["query_id", "doc_id", "page_index", "seq", "segs", "n_tokens"])
-
-    kinds = dict(pairs.dtypes)
-    found = pairs.mapInArrow(run, f"query_id {kinds['query_id']}, doc_id {kinds['doc_id']}, page_index {kinds['page_index']}, seq int, segs {SEGMENTS}, n_tokens int")
-    return found.withColumns({"start": F.element_at("segs", 1)["s"], "end": F.element_at("segs", -1)["e"]})
+            rows, ids, seqs, sizes, counts, flat = [], [], [], [], [], []
+
+            def table():
+                s, e, k = np.array(flat, np.int32).reshape(-1, 3).T
+                segs = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(x)) for x in (s, e, k)], ["s", "e", "k"]))
+                at = pa.array(rows, pa.int64())
+                return pa.RecordBatch.from_arrays([pa.array(ids, id_kind), batch.column(0).take(at), batch.column(1).take(at), pa.array(seqs, pa.int32()), segs, pa.array(sizes, pa.int32())], ["query_id", "doc_id", "page_index", "seq", "segs", "n_tokens"])
+
+            for row in range(batch.num_rows):
+                text = batch.column(2)[row].as_py()
+                if text is None:
+                    continue
+                page = Page(text)
+                for (case, first), those in starts.items():
+                    if first not in page.form(case)[0]:
+                        continue
+                    for q, phrase in those:
+                        for seq, segments in enumerate(phrase.candidates(page)):
+                            rows.append(row), ids.append(q), seqs.append(seq), sizes.append(len(phrase.words)), counts.append(len(segments))
+                            for x in segments:
+                                flat.extend(x)
+                        if len(rows) >= HELD:
+                            yield table()
+                            rows, ids, seqs, sizes, counts, flat = [], [], [], [], [], []
+            if rows:
+                yield table()
+
+    return run
 
 
 def scored(candidates: DataFrame) -> DataFrame:
@@ -176,10 +211,35 @@ def select_best(candidates: DataFrame) -> DataFrame:
     return candidates.groupBy("query_id", "doc_id").agg(F.max_by(F.struct("page_index", "start", "end", "score"), rank).alias("w")).select("query_id", "doc_id", "w.*")
 
 
+def select_all(candidates: DataFrame) -> DataFrame:
+    """Every candidate's range, repeats included, with its place in discovery order: pages ascending, then as found."""
+    return ordered(candidates.select("query_id", "doc_id", "page_index", "seq", "start", "end"))
+
+
+def exit_code(missing: Column, several: Column) -> Column:
+    """A phrase that isn't found (1) outweighs one that is found too often (2)."""
+    return F.when(missing, 1).when(several, 2).otherwise(0)
+
+
 def outcomes(matches: DataFrame, queries: DataFrame, mode: str = "best") -> DataFrame:
-    """A row per query, found or not: counts of ranges and of distinct ranges, flags and exit code."""
-    counted = matches.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id", "page_index", "start", "end").alias("d"), F.max("in_doc").alias("most")) if "in_doc" in matches.columns else matches.withColumn("in_doc", F.count(F.lit(1)).over(Window.partitionBy("query_id", "doc_id"))).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id", "page_index", "start", "end").alias("d"), F.max("in_doc").alias("most"))
-    out = queries.select("query_id").join(counted, "query_id", "left")
-    many = F.coalesce(F.col("most") > 1, F.lit(False)) & F.lit(mode == "single")
-    missing = F.col("n").isNull()
-    return out.select("query_id", F.coalesce("n", F.lit(0)).alias("segment_matches"), F.coalesce("d", F.lit(0)).alias("highlight_count"), missing.alias("not_found"), many.alias("multiple"), F.when(missing, 1).when(many, 2).otherwise(0).alias("exit_code"))
+    """A row per query, found or not: counts of ranges kept and of distinct ones, flags and exit code.
+
+    Of literal matches, best keeps the first of a document (the query is then blocked if there are more), single none
+    where there are several (an error), all every one.
+    """
+    at = ["query_id", "doc_id"]
+    each = matches.groupBy(*at).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("page_index", "start", "end").alias("d"))
+    many = F.col("n") > 1
+    kept = {"best": lambda c: F.least(F.lit(1), F.col(c)), "single": lambda c: F.when(many, 0).otherwise(F.col(c)), "all": F.col}[mode]
+    each = each.select("query_id", kept("n").alias("n"), kept("d").alias("d"), many.alias("many"))
+    return summed(each, queries, F.lit(mode == "best"), F.lit(mode == "single"))
+
+
+def summed(each: DataFrame, queries: DataFrame, best: Column, single: Column) -> DataFrame:
+    """A row per query from rows per query and document (n, d: ranges kept and distinct; many: more than were asked for)."""
+    total = each.groupBy("query_id").agg(F.sum("n").alias("n"), F.sum("d").alias("d"), F.bool_or("many").alias("many"))
+    joined = queries.join(total, "query_id", "left")
+    many = F.coalesce("many", F.lit(False))
+    missing = F.coalesce("n", F.lit(0)) == 0
+    found = joined.select("query_id", F.coalesce("n", F.lit(0)).cast("long").alias("segment_matches"), F.coalesce("d", F.lit(0)).cast("long").alias("highlight_count"), (missing & ~(many & single)).alias("not_found"), (many & best).alias("blocked"), F.when(many & single, "multiple_matches").alias("error"))
+    return found.withColumn("exit_code", exit_code(F.col("not_found"), F.col("blocked") | F.col("error").isNotNull()))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,11 +29,6 @@ def norm_char(spark, d):
     return docs.select("doc_id", F.md5("text_norm").alias("digest"), F.length("text_norm").alias("n"))
 
 
-def norm_hyphen(spark, d):
-    cases = spark.createDataFrame([(1, "differ- ent"), (2, "state-of-the-art"), (3, "foo - bar"), (4, "foo- bar"), (5, "a-b - c"), (6, "-x y-"), (7, "")], "case_id int, s string")
-    return cases.select("case_id", t.join_hyphens(F.col("s")).alias("joined"))
-
-
 def tok_whitespace(spark, d):
     return _bench(spark, d).select("query_id", F.array_join(t.tokens(F.col("text")), "|").alias("words"), F.size(t.tokens(F.col("text"))).alias("n"))
 
@@ -50,196 +47,433 @@ def select_best_literal(spark, d):
     return m.groupBy("query_id", "doc_id").agg(F.min("start").alias("start"), (F.count(F.lit(1)) > 1).alias("blocked"))
 
 
-def agg_outcomes(spark, d):
-    return search.outcomes(search.literal_matches(_docs(spark, d), _bench(spark, d)), _bench(spark, d), "single")
+def rect_lines(spark, d):
+    docs = spark.read.parquet(f"{d}/conversations.parquet").select(F.concat_ws("/", "conv_id", "turn").alias("key"), "text")
+    return layout.line_rects(layout.glyph_grid(docs, "key"), ["key"]).select("key", "line", "x0", "y0", "x1", "y1")
 
 
-def prog_candidates(spark, d):
-    found = search.scored(search.progressive_candidates(_docs(spark, d), _bench(spark, d)))
-    return found.select("query_id", "doc_id", "seq", "start", "end", "words", F.round("score", 6).alias("score"), F.to_json("segs").alias("segs"))
+def tok_normalize(spark, d):
+    return _bench(spark, d).select("query_id", F.array_join(t.query_tokens(F.col("text")), " ").alias("words"))
 
 
-def select_best(spark, d):
-    return search.select_best(search.scored(search.progressive_candidates(_talks(spark, d), _bench(spark, d)))).withColumn("score", F.round("score", 6))
+def regex_compile_raw(spark, d):
+    q = spark.createDataFrame([(1, "[0-9]{4}"), (2, "[a-z]+@[a-z]+")], "query_id int, pattern string")
+    return search.regex_matches(_docs(spark, d), q, ignore_case=False).groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("start").alias("first"), F.max("end").alias("last"))
 
 
-def select_all(spark, d):
-    found = search.progressive_candidates(_docs(spark, d), _bench(spark, d))
-    return found.groupBy("query_id").agg(F.count(F.lit(1)).alias("segment_matches"), F.count_distinct("doc_id", "page_index", "start", "end").alias("highlight_count"))
+def filter_case(spark, d):
+    return search.literal_matches(_docs(spark, d), _bench(spark, d), ignore_case=False).select("query_id", "doc_id", "start", "end")
 
 
-def rect_lines(spark, d):
-    docs = spark.read.parquet(f"{d}/conversations.parquet").select(F.concat_ws("/", "conv_id", "turn").alias("key"), "text")
-    return layout.line_rects(layout.glyph_grid(docs, "key"), ["key"]).select("key", "line", "x0", "y0", "x1", "y1")
+def join_query_page(spark, d):
+    return search.literal_matches(_docs(spark, d), _bench(spark, d)).select("query_id", "doc_id").distinct()
+
+
+def prog_starters(spark, d):
+    return search.starters(_docs(spark, d), _bench(spark, d)).select("query_id", "doc_id", "k0", "start", "end")
+
+
+def select_single(spark, d):
+    return search.chosen(search.literal_matches(_docs(spark, d), _bench(spark, d)), "single").select("query_id", "doc_id", "start", "error")
+
+
+def agg_session_totals(spark, d):
+    return search.session_totals(search.literal_matches(_docs(spark, d), _bench(spark, d)))
+
+
+def _openers(spark, d, n):
+    """The first n words of each conversation, as queries."""
+    first = spark.read.parquet(f"{d}/conversations.parquet").where("turn = 0")
+    return first.select(F.col("conv_id").alias("query_id"), F.array_join(F.slice(t.tokens(F.col("text")), 1, n), " ").alias("text"))
+
+
+def _written(d: str, table: str, spark: SparkSession, *columns) -> DataFrame:
+    return spark.read.parquet(f"{d}/{table}.parquet").selectExpr(*columns)
+
+
+def norm_hyphen(spark, d):
+    """Documents into which hyphens have been set, at some ends of words and inside others."""
+    set_in = F.replace(F.replace(F.col("text_norm"), F.lit("n "), F.lit("n- ")), F.lit("ti"), F.lit("t-i"))
+    docs = _docs(spark, d).select("doc_id", set_in.alias("s"))
+    out = docs.select("doc_id", t.join_hyphens(F.col("s")).alias("joined"), t.hyphen_cuts(F.col("s")).alias("cuts"))
+    return out.select("doc_id", F.md5("joined").alias("digest"), F.length("joined").alias("n"), F.aggregate("cuts", F.lit(0), lambda a, c: a + c.n).alias("taken_out"))
 
 
 def parse_color(spark, d):
-    cases = spark.createDataFrame([(1, "#FF0080"), (2, "0.1, 0.2,0.3"), (3, "Mint"), (4, "no such"), (5, "#12"), (6, "1,2"), (7, "a,b,c"), (8, "violet")], "case_id int, s string")
-    return cases.select("case_id", t.parse_color(F.col("s")).alias("c")).select("case_id", F.round("c.r", 6).alias("r"), F.round("c.g", 6).alias("g"), F.round("c.b", 6).alias("b"))
+    """Colours of four kinds written out for each part: hexadecimal, by name, listed, and none."""
+    names = "array('yellow','Mint','VIOLET','red','green','blue','no such')"
+    text = f"""CASE p_partkey % 4 WHEN 0 THEN concat('#', lpad(hex(p_partkey * 7919 % 16777216), 6, '0')) WHEN 1 THEN element_at({names}, cast(p_partkey % 7 as int) + 1)
+    WHEN 2 THEN concat(p_size / 50.0D, ', ', p_size / 100.0D, ',0.5') ELSE element_at(array('#12', '1,2', 'a,b,c', ''), cast(p_size % 4 as int) + 1) END AS s"""
+    return _written(d, "part", spark, "p_partkey", text).select("p_partkey", t.parse_color(F.col("s")).alias("c")).select("p_partkey", *(F.round(f"c.{x}", 6).alias(x) for x in "rgb"))
 
 
 def parse_selection_mode(spark, d):
-    cases = spark.createDataFrame([(1, "Single"), (2, "stop on multiple"), (3, "best-only"), (4, None), (5, "all matches"), (6, "none")], "case_id int, s string")
-    return cases.select("case_id", t.parse_mode(F.col("s")).alias("mode"))
+    names = "array('Single','error','ERROR on multiple','stop-on-multiple','best','Shortest','best only','all','All-Matches','none such',' best')"
+    text = f"IF(c_custkey % 12 = 11, null, element_at({names}, cast(c_custkey % 12 as int) + 1)) AS s"
+    return _written(d, "customer", spark, "c_custkey", text).select("c_custkey", t.parse_mode(F.col("s"), strict=False).alias("mode"))
 
 
-def rect_to_quad(spark, d):
-    boxes = spark.createDataFrame([(1, 0.0, 1.0, 2.0, 3.0), (2, 2.0, 3.0, 0.0, 1.0), (3, 1.0, 1.0, 1.0, 5.0)], "case_id int, x0 double, y0 double, x1 double, y1 double")
-    r = t.sanitized(F.struct("x0", "y0", "x1", "y1"))
-    return boxes.select("case_id", F.array_join(F.transform(t.quad(r), lambda v: F.round(v * 100).cast("int").cast("string")), ",").alias("quad"))
+def _boxes(spark, d):
+    corners = "l_quantity as x0", "l_linenumber * 8.0D as y0", "l_discount * 400.0D as x1", "floor(l_tax * 100 + 0.5D) * 8.0D as y1"
+    return _written(d, "lineitem", spark, "l_orderkey", "l_linenumber", *corners)
 
 
-def page_split(spark, d):
-    md = spark.createDataFrame([(1, "{0}----\nfirst\n![x](y)\nline  \n{1}------\n{2}----\nlast\n"), (2, "no marks\nat all")], "key int, text string")
-    return src.split_pages(md, "key")
+def sanitize_rect(spark, d):
+    r = t.sanitized(F.struct("x0", "y0", "x1", "y1"))
+    return _boxes(spark, d).select("l_orderkey", "l_linenumber", r.alias("r")).select("l_orderkey", "l_linenumber", *(F.round(f"r.{x}", 6).alias(x) for x in ("x0", "y0", "x1", "y1")))
 
 
-def sink_report_recipe(spark, d):
-    q = _bench(spark, d)
-    return src.report(search.outcomes(search.literal_matches(_docs(spark, d), q), q), q).select("exit_code", "n_items")
+def rect_to_quad(spark, d):
+    quad = t.quad(F.struct("x0", "y0", "x1", "y1"))
+    return _boxes(spark, d).select("l_orderkey", "l_linenumber", F.array_join(F.transform(quad, lambda v: F.round(v * 100).cast("long").cast("string")), ",").alias("quad"))
 
 
-def tok_normalize(spark, d):
-    return _bench(spark, d).select("query_id", F.array_join(t.tokens(t.normalize_chars(F.col("text"))), " ").alias("words"))
+def page_split(spark, d):
+    """Conversations written as paginated Markdown, with blank lines, images and trailing space, split again."""
+    turns = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", F.format_string("{%d}------\n%s\n\n  ![i](p)\ntail %d  \n\n", "turn", "text", "turn").alias("md"))
+    whole = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "md"))).alias("m")).select("conv_id", F.array_join("m.md", "").alias("text"))
+    return src.split_pages(whole, "conv_id").select("conv_id", "page_index", F.md5("page").alias("digest"))
 
 
 def regex_compile_literal(spark, d):
+    """Whether each query's patterns find it, and how many documents they match."""
     q = _bench(spark, d).withColumns({"norm": t.normalize_chars(F.col("text")), "pattern": t.literal_pattern(F.col("text"))})
-    return q.select("query_id", F.expr("regexp_like(norm, pattern)").alias("finds_itself"))
+    itself = q.select("query_id", F.expr("regexp_like(concat('x ', norm), pattern)").alias("finds_itself"))
+    loose = search.literal_matches(_docs(spark, d), _bench(spark, d)).groupBy("query_id").agg(F.count_distinct("doc_id").alias("loose"))
+    strict = search.literal_matches(_docs(spark, d), _bench(spark, d), literal_whitespace=True).groupBy("query_id").agg(F.count_distinct("doc_id").alias("strict"))
+    return itself.join(loose, "query_id", "left").join(strict, "query_id", "left").fillna(0, ["loose", "strict"])
 
 
 def chunk_pattern(spark, d):
-    q = _bench(spark, d).select("query_id", F.concat(F.lit("(?iu)"), t.chunk_pattern(t.tokens(F.col("text")), F.lit(0), F.lit(3))).alias("pattern"))
-    pages = _talks(spark, d)
-    return pages.join(F.broadcast(q), F.expr("regexp_like(text_norm, pattern)")).select("query_id", "doc_id", "page_index")
+    return search.starters(_talks(spark, d), _openers(spark, d, 3)).where("k0 = 3").select("query_id", "doc_id", "page_index", "start", "end")
 
 
-def regex_compile_raw(spark, d):
-    q = spark.createDataFrame([(1, "[0-9]{4}"), (2, "[a-z]+@[a-z]+")], "query_id int, pattern string")
-    return search.regex_matches(_docs(spark, d), q, ignore_case=False).groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("start").alias("first"), F.max("end").alias("last"))
+def filter_page(spark, d):
+    talks = spark.read.parquet(f"{d}/conversations.parquet").where("role = 'user'")
+    pages = talks.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_index"), t.page_text(F.col("text")).alias("text_norm"))
+    return search.literal_matches(pages, _openers(spark, d, 2)).select("query_id", "doc_id", "page_index", "start", "end")
 
 
-def filter_case(spark, d):
-    return search.literal_matches(_docs(spark, d), _bench(spark, d), ignore_case=False).select("query_id", "doc_id", "start", "end")
+def order_hits(spark, d):
+    return search.ordered(search.literal_matches(_talks(spark, d), _openers(spark, d, 1))).select("query_id", "doc_id", "page_index", "start", "place")
 
 
-def filter_page(spark, d):
-    talks = spark.read.parquet(f"{d}/conversations.parquet").where("role = 'user'")
-    pages = talks.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_index"), t.page_text(F.col("text")).alias("text_norm"))
-    return search.literal_matches(pages, _bench(spark, d)).select("query_id", "doc_id", "page_index", "start", "end")
+def seg_merge(spark, d):
+    """The lines of an order as segments, of which some touch the next."""
+    seg = F.struct((F.col("l_linenumber") * 10).alias("s"), (F.col("l_linenumber") * 10 + F.when(F.col("l_quantity") % 2 == 0, 10).otherwise(7)).alias("e"), F.lit(1).alias("k"))
+    orders = spark.read.parquet(f"{d}/lineitem.parquet").groupBy("l_orderkey").agg(F.array_sort(F.collect_set(seg)).cast(search.SEGMENTS).alias("segs"))
+    return orders.select("l_orderkey", F.array_join(F.transform(search.merged("segs"), lambda x: F.concat_ws("-", x.s, x.e, x.k)), ",").alias("segs"))
 
 
-def join_query_page(spark, d):
-    return search.literal_matches(_docs(spark, d), _bench(spark, d)).select("query_id", "doc_id").distinct()
+def _found(pages, queries, **options):
+    return search.progressive_candidates(pages, queries, **options)
 
 
-def prog_starters(spark, d):
-    return search.starters(_docs(spark, d), _bench(spark, d)).select("query_id", "doc_id", "k0", "start", "end")
+def prog_candidates(spark, d):
+    found = search.scored(_found(_docs(spark, d), _bench(spark, d)))
+    return found.select("query_id", "doc_id", "seq", "start", "end", "words", (F.round("score", 6) + 0.0).alias("score"), F.to_json("segs").alias("segs"))
+
+
+def prog_chain(spark, d):
+    """Chains from all starters, however wide their gaps and few their words."""
+    found = _found(_talks(spark, d), _bench(spark, d), max_gap=1_000_000, min_words=1)
+    return found.select("query_id", "doc_id", "page_index", "seq", "start", "end", F.md5(F.to_json("segs")).alias("segs"))
+
+
+def filter_gap(spark, d):
+    return _found(_talks(spark, d), _bench(spark, d), max_gap=5).select("query_id", "doc_id", "page_index", "seq", "start", "end")
+
+
+def filter_coverage(spark, d):
+    return _found(_talks(spark, d), _bench(spark, d), min_words=6).select("query_id", "doc_id", "page_index", "seq", "start", "end")
 
 
 def prog_first_segments(spark, d):
-    found = search.first_segments(search.progressive_candidates(_talks(spark, d), _bench(spark, d)))
+    found = search.first_segments(_found(_talks(spark, d), _bench(spark, d)))
     return found.select("query_id", "doc_id", "page_index", F.to_json("segs").alias("segs"))
 
 
-def seg_merge(spark, d):
-    cases = spark.createDataFrame([(1, [(0, 3, 1), (3, 5, 2), (7, 9, 1)]), (2, [(0, 3, 1)]), (3, []), (4, [(1, 2, 1), (2, 3, 1), (3, 4, 1)])], f"case_id int, segs {search.SEGMENTS}")
-    flat = F.array_join(F.transform(search.merged("segs"), lambda x: F.concat_ws("-", x.s, x.e, x.k)), ",")
-    return cases.select("case_id", flat.alias("segs"))
+def score(spark, d):
+    found = search.scored(_found(_talks(spark, d), _bench(spark, d)))
+    return found.select("query_id", "doc_id", "page_index", "seq", "words", (F.round("score", 6) + 0.0).alias("score"))
 
 
-def filter_gap_coverage(spark, d):
-    """Candidates of a narrow gap and full coverage of at least four words."""
-    found = search.progressive_candidates(_talks(spark, d), _bench(spark, d), max_gap=5, min_words=4)
-    return found.select("query_id", "doc_id", "page_index", "seq", "start", "end")
+def select_best(spark, d):
+    return search.select_best(search.scored(_found(_talks(spark, d), _bench(spark, d)))).withColumn("score", F.round("score", 6) + 0.0)
 
 
-def select_single(spark, d):
-    return search.chosen(search.literal_matches(_docs(spark, d), _bench(spark, d)), "single").select("query_id", "doc_id", "start", "error")
+def select_all(spark, d):
+    return search.select_all(_found(_talks(spark, d), _bench(spark, d))).select("query_id", "doc_id", "page_index", "start", "end", "place")
 
 
-def order_hits(spark, d):
-    return search.ordered(search.literal_matches(_talks(spark, d), _bench(spark, d))).select("query_id", "doc_id", "page_index", "start", "place")
+def _literal(spark, d):
+    return search.literal_matches(_docs(spark, d), _bench(spark, d))
 
 
-def agg_session_totals(spark, d):
-    return search.session_totals(search.literal_matches(_docs(spark, d), _bench(spark, d)))
+def agg_outcomes(spark, d):
+    return search.outcomes(_literal(spark, d), _bench(spark, d), "single")
+
+
+def agg_segment_matches(spark, d):
+    return search.outcomes(_found(_talks(spark, d), _bench(spark, d)), _bench(spark, d), "all").select("query_id", "segment_matches")
+
+
+def agg_highlight_count(spark, d):
+    return search.outcomes(_found(_talks(spark, d), _bench(spark, d)), _bench(spark, d), "all").select("query_id", "highlight_count")
+
+
+def agg_exit_code(spark, d):
+    """The exit code of a recipe of all queries, and of one of those found, in each mode."""
+    found = _literal(spark, d)
+    hit = _bench(spark, d).join(found.select("query_id").distinct(), "query_id", "left_semi")
+    codes = lambda q, name, mode: search.outcomes(found, q, mode).agg(src.whole_code(F.col("exit_code")).alias("exit_code")).select(F.lit(name).alias("recipe"), F.lit(mode).alias("mode"), "exit_code")
+    rows = [codes(q, name, mode) for q, name in ((_bench(spark, d), "whole"), (hit, "found")) for mode in ("best", "single", "all")]
+    return reduce(DataFrame.unionByName, rows)
+
+
+def filter_empty_query(spark, d):
+    q = _bench(spark, d).withColumn("text", F.when(F.col("query_id") % 2 == 0, F.col("text")).otherwise(F.lit(" \n ")))
+    return search.outcomes(search.literal_matches(_docs(spark, d), q), q, "all").select("query_id", "segment_matches", "not_found")
+
+
+def filter_range_valid(spark, d):
+    """Ranges moved by a hundred characters to and fro, of which those within their page are drawn."""
+    found = _literal(spark, d).join(_docs(spark, d).select("doc_id", F.length("text_norm").alias("n_chars")), "doc_id")
+    moved = reduce(DataFrame.unionByName, (found.withColumns({"start": F.col("start") + by, "end": F.col("end") + by + turn}) for by, turn in ((-100, 0), (100, 0), (0, -300))))
+    return src.annotations(moved.withColumn("rects", F.array().cast(f"array<{layout.RECT}>"))).select("query_id", "doc_id", "start", "end")
+
+
+def _cut_words(spark, d):
+    """The glyphs of conversations whose words are cut at line ends after every e before an n."""
+    talks = spark.read.parquet(f"{d}/conversations.parquet")
+    pages = talks.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_index"), F.replace(F.col("text"), F.lit("en"), F.lit("e-\nn")).alias("text"))
+    return layout.page_maps(layout.glyph_grid(pages, ["doc_id", "page_index"]))
 
 
 def scan_glyphs(spark, d):
-    talks = spark.read.parquet(f"{d}/conversations.parquet").select(F.concat_ws("/", "conv_id", "turn").alias("key"), "text")
-    return layout.text_of(layout.glyph_grid(talks, "key"), "key").select("key", F.md5("text").alias("digest"))
+    """Text and boxes of glyphs: words cut at line ends are joined by their boxes."""
+    boxes = F.aggregate("char_map", F.lit(0.0), lambda a, b: a + b.x1 - b.x0)
+    return _cut_words(spark, d).select("doc_id", "page_index", F.md5("text_norm").alias("digest"), F.size("char_map").alias("n"), boxes.alias("width"))
+
+
+def norm_hyphen_boxes(spark, d):
+    """Words that line ends cut are found whole, and highlighted on each line."""
+    maps = _cut_words(spark, d)
+    found = layout.hit_rects(search.literal_matches(maps, _openers(spark, d, 2)), maps)
+    return found.select("query_id", "doc_id", "page_index", "start", "end", F.aggregate("rects", F.lit(0.0), lambda a, b: a + b.x1 - b.x0).alias("width"))
 
 
 def rect_sort(spark, d):
     glyphs = layout.glyph_grid(spark.read.parquet(f"{d}/benchmark.parquet"), "item_id")
-    order = Window.partitionBy("item_id").orderBy(F.round("y0", 1), "x0", "pos")
+    order = Window.partitionBy("item_id").orderBy(t.tenths(F.col("y0")), "x0", "pos")
     return glyphs.select("item_id", "c", F.row_number().over(order).alias("place"))
 
 
+def _hits(spark, d):
+    pages = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.lit(0).alias("page_index"), "text")
+    return layout.hit_rects(_literal(spark, d), layout.grid_lines(pages))
+
+
 def sink_annotations(spark, d):
-    pages = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.lit(0).alias("page_index"), t.normalize_chars(F.col("text"), keep_lines=True).alias("text_lines"), t.hyphen_cuts(t.normalize_chars(F.col("text"))).alias("cuts"))
-    hits = layout.hit_rects(search.literal_matches(_docs(spark, d), _bench(spark, d)), pages)
-    return src.annotations(hits).select("query_id", "doc_id", "start", F.size("quads").alias("n_lines"), F.get(F.get("quads", F.lit(0)), F.lit(0)).alias("x0"), F.get(F.get("quads", F.lit(0)), F.lit(1)).alias("y0"))
+    first = F.get("quads", F.lit(0))
+    return src.annotations(_hits(spark, d)).select("query_id", "doc_id", "start", F.size("quads").alias("n_lines"), F.get(first, F.lit(0)).alias("x0"), F.get(first, F.lit(1)).alias("y0"))
+
+
+def _recipe(spark, d):
+    """The benchmark as a recipe whose items set, leave out and contradict options."""
+    i = F.col("item_id")
+    fields = {"text": F.when(i % 5 < 3, F.col("text")).when(i % 5 == 3, ""), "pattern": F.when(i % 5 > 1, F.concat(F.lit("p"), i)).when(i % 2 == 0, ""), "color": F.when(i % 3 == 0, "mint"), "opacity": F.when(i % 4 == 0, i / 100), "ignore_case": F.when(i % 7 == 0, F.lit(False)), "select_shortest": F.when(i % 3 == 1, i % 2 == 0), "allow_multiple": F.when(i % 2 == 0, i % 4 == 0), "selection_mode": F.when(i % 6 == 5, "Stop on multiple"), "progressive": F.when(i % 2 == 0, F.lit(False)), "progressive_kmax": F.when(i % 9 == 0, 2)}
+    gone = (i % 10 == 9)
+    item = F.struct("item_id", F.struct(*(F.when(gone & F.lit(n in ("text", "pattern")), None).otherwise(c).alias(n) for n, c in fields.items())).alias("v"))
+    listed = spark.read.parquet(f"{d}/benchmark.parquet").agg(F.array_sort(F.collect_list(F.struct("item_id", F.to_json(item["v"]).alias("v")))).alias("l"))
+    return src.with_defaults(src.parse_recipe(listed.select(F.concat(F.lit('{"items": ['), F.array_join("l.v", ", "), F.lit("]}")).alias("value"))))
 
 
 def scan_recipe(spark, d):
-    texts = spark.createDataFrame([('{"items": [{"text": "a b c", "allow_multiple": true}, {"pattern": "x+", "regex": true, "progressive": false}, {"label": "none"}, {"text": "d", "select_shortest": false, "opacity": 0.5}]}',)], "value string")
-    return src.with_defaults(src.parse_recipe(texts)).select("query_id", "text", "color", "opacity", "progressive", "regex", "selection_mode", "skipped")
+    return _recipe(spark, d).select("query_id", "text", "color", F.round("opacity", 6).alias("opacity"), "ignore_case", "progressive", "kmax", "max_gap", "skipped")
+
+
+def recipe_defaults(spark, d):
+    return _recipe(spark, d).select("query_id", "mode")
+
+
+def filter_skip_item(spark, d):
+    return _recipe(spark, d).where("skipped").select("query_id")
+
+
+def _items(spark, d):
+    """A recipe's items: the benchmark, literal, of mode best."""
+    plain = {"progressive": F.lit(False), "regex": F.lit(False), "literal_whitespace": F.lit(False), "ignore_case": F.lit(True), "kmax": F.lit(3), "max_gap": F.lit(200), "min_words": F.lit(3), "mode": F.lit("best"), "skipped": F.col("query_id") % 7 == 6, "allow_multiple": F.lit(False), "select_shortest": F.lit(None).cast("boolean")}
+    q = _bench(spark, d).withColumns(plain)
+    kept = _hits(spark, d).withColumn("place", F.row_number().over(Window.partitionBy("query_id", "doc_id").orderBy("start"))).where("place = 1")
+    kept = kept.withColumns({"label": F.lit("x"), "color": t.parse_color(F.lit("mint"))})
+    return src.report_items(search.outcomes(_literal(spark, d), q, "best"), q, kept)
+
+
+def concat_items(spark, d):
+    """Place and fields of each item in the report, read back from its JSON."""
+    body = src.report(_items(spark, d), "documents", None).select("exit_code", "n_items", "report")
+    kind = "input string, output string, items array<struct<index:int,skipped:boolean,query:string,matches:long,highlight_count:long,selection_mode:string,allow_multiple:boolean,hits:array<struct<doc_id:long,page_number:int,start:int,`end`:int,rects:array<string>,label:string,color:struct<r:double,g:double,b:double>>>>>"
+    read = body.select("exit_code", "n_items", F.from_json("report", kind).alias("r"))
+    return read.select("exit_code", "n_items", F.posexplode("r.items").alias("place", "i")).select("exit_code", "n_items", "place", F.col("i.index").alias("query_id"), F.coalesce("i.skipped", F.lit(False)).alias("skipped"), F.col("i.query").alias("query"), F.col("i.matches").alias("matches"), F.col("i.highlight_count").alias("highlight_count"), F.col("i.selection_mode").alias("mode"), F.col("i.allow_multiple").alias("allow_multiple"), F.coalesce(F.array_join(F.transform("i.hits", lambda h: F.concat_ws(":", h.doc_id, h.page_number, h.start, h.end, F.size(h.rects), h.label, h.color.g)), ","), F.lit("")).alias("hits"))
+
+
+def sink_report_recipe(spark, d):
+    """The report itself, without hits."""
+    q = _bench(spark, d).withColumns({"progressive": F.col("query_id") % 2 == 0, "regex": F.lit(False), "literal_whitespace": F.lit(False), "ignore_case": F.lit(True), "kmax": F.lit(3), "max_gap": F.lit(200), "min_words": F.lit(3), "mode": F.lit("single"), "skipped": F.lit(False), "allow_multiple": F.lit(None).cast("boolean"), "select_shortest": F.lit(None).cast("boolean")})
+    return src.report(src.report_items(search.outcomes(_literal(spark, d), q, "single"), q), "documents", None)
 
 
 def sink_report_single(spark, d):
     q = _bench(spark, d)
-    return src.single_report(search.outcomes(search.literal_matches(_docs(spark, d), q), q), "documents", None)
+    return src.single_report(search.outcomes(_literal(spark, d), q, "all"), "documents", None, "all")
 
 
 _NORM = r"regexp_replace(text, '\s', ' ', 'g')"
 _WORDS = r"list_filter(string_split_regex({}, '\s+'), lambda w: w <> '')"
-_MATCH = rf"""
-WITH q AS (SELECT item_id AS query_id, '(?i)' || array_to_string(list_transform({{words}}, lambda w: regexp_escape(w)), '\s+') AS p FROM benchmark),
-d AS (SELECT doc_id, {_NORM} AS t FROM documents),
-h AS (SELECT query_id, doc_id, t, string_split_regex(t, p) AS g, regexp_extract_all(t, p) AS m FROM d, q WHERE regexp_matches(t, p)),
-x AS (SELECT query_id, doc_id, t, g, m, unnest(range(1, len(m) + 1)) AS i FROM h),
-r AS (SELECT query_id, doc_id, t, CAST(list_sum(list_transform(g[1:i], lambda s: length(s))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda s: length(s))), 0) AS INT) AS start, CAST(length(m[i]) AS INT) AS n FROM x)
+_ESCAPED = "list_transform({}, lambda w: regexp_escape(w))"
+_DOCS = f"SELECT doc_id, 0 AS page_index, {_NORM} AS t FROM documents"
+_TALKS = f"SELECT conv_id AS doc_id, turn AS page_index, {_NORM} AS t FROM conversations"
+_BENCH = rf"SELECT item_id AS query_id, '(?i)' || array_to_string({_ESCAPED.format(_WORDS.format('text'))}, '\s+') AS p FROM benchmark"
+_ASKED = "SELECT item_id AS query_id FROM benchmark"
+
+
+def _opening(n: int, between: str = r"\s+") -> str:
+    return rf"SELECT conv_id AS query_id, '(?i)' || array_to_string({_ESCAPED.format(_WORDS.format('text') + f'[1:{n}]')}, '{between}') AS p FROM conversations WHERE turn = 0"
+
+
+def _spans(queries: str = _BENCH, pages: str = _DOCS) -> str:
+    """r: every match (query_id, doc_id, page_index, t, start, n), from the lengths of what is between and of matches."""
+    return f"""WITH q AS ({queries}), d AS ({pages}),
+h AS (SELECT query_id, doc_id, page_index, t, string_split_regex(t, p) AS g, regexp_extract_all(t, p) AS m FROM d, q WHERE regexp_matches(t, p)),
+x AS (SELECT query_id, doc_id, page_index, t, g, m, unnest(range(1, len(m) + 1)) AS i FROM h),
+r AS (SELECT query_id, doc_id, page_index, t, CAST(list_sum(list_transform(g[1:i], lambda s: length(s))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda s: length(s))), 0) AS INT) AS start, CAST(length(m[i]) AS INT) AS n FROM x)
+"""
+
+
+def _chains(pages: str, kmax: int = 3, gap: int = 200, least: int = 3) -> str:
+    """c: every candidate (query_id, doc_id, page_index, k0, segs, words, n_tokens, start, "end", seq, score), by a
+    recursion over the query's words: each step looks for the first match of the next three, two or one words after
+    the last segment."""
+    squeezed = "lower(replace({}, ' ', ''))"
+    found = lambda k: f"CASE WHEN i + {k} <= n AND contains(u, w{k}) AND regexp_matches(s, p{k}) THEN length(string_split_regex(s, p{k})[1]) END AS o{k}"
+    ks = range(kmax, 0, -1)
+    joined = " ".join(f"LEFT JOIN chunk c{k} ON c{k}.query_id = y.query_id AND c{k}.i = y.i AND c{k}.k = {k}" for k in ks)
+    off = "coalesce(" + ", ".join(f"o{k}" for k in ks) + ")"
+    size = "CASE " + " ".join(f"WHEN o{k} IS NOT NULL THEN {k}" for k in ks) + " END"
+    long = "CASE " + " ".join(f"WHEN o{k} IS NOT NULL THEN length(regexp_extract(s, p{k}))" for k in ks) + " END"
+    return rf"""WITH RECURSIVE words AS (SELECT item_id AS query_id, {_WORDS.format(_NORM)} AS w FROM benchmark), d AS ({pages}),
+chunk AS (SELECT query_id, i, k, '(?i)' || array_to_string({_ESCAPED.format('w[i + 1:i + k]')}, '\s*') AS p, lower(array_to_string(w[i + 1:i + k], '')) AS bare
+ FROM (SELECT query_id, w, unnest(range(0, len(w))) AS i FROM words), (SELECT unnest(range(1, {kmax + 1})) AS k) WHERE i + k <= len(w)),
+h AS (SELECT query_id, doc_id, page_index, k AS k0, string_split_regex(t, p) AS g, regexp_extract_all(t, p) AS m FROM chunk JOIN words USING (query_id), d WHERE i = 0 AND len(w) >= {max(1, least)} AND contains({squeezed.format('t')}, bare) AND regexp_matches(t, p)),
+x AS (SELECT query_id, doc_id, page_index, k0, g, m, unnest(range(1, len(m) + 1)) AS j FROM h),
+st AS (SELECT query_id, doc_id, page_index, k0, CAST(list_sum(list_transform(g[1:j], lambda s: length(s))) + coalesce(list_sum(list_transform(m[1:j - 1], lambda s: length(s))), 0) AS INT) AS s0, CAST(length(m[j]) AS INT) AS e0 FROM x),
+chain AS (SELECT query_id, doc_id, page_index, CAST(k0 AS BIGINT) AS k0, CAST(k0 AS BIGINT) AS i, CAST(s0 + e0 AS BIGINT) AS pos, [{{'s': CAST(s0 AS BIGINT), 'e': CAST(s0 + e0 AS BIGINT), 'k': CAST(k0 AS BIGINT)}}] AS segs FROM st
+UNION ALL
+SELECT query_id, doc_id, page_index, k0, i + coalesce(z, 1), coalesce(pos + o + l, pos), CASE WHEN z IS NULL THEN segs ELSE list_append(segs, {{'s': pos + o, 'e': pos + o + l, 'k': CAST(z AS BIGINT)}}) END
+ FROM (SELECT *, {off} AS o, {size} AS z, {long} AS l FROM (SELECT *, {', '.join(map(found, ks))} FROM
+  (SELECT y.*, {', '.join(f'c{k}.p AS p{k}, c{k}.bare AS w{k}' for k in ks)}, {squeezed.format('y.s')} AS u FROM (SELECT chain.*, len(w) AS n, substring(t, pos + 1) AS s FROM chain JOIN words USING (query_id) JOIN d USING (doc_id, page_index) WHERE i < len(w)) y {joined})))
+ WHERE coalesce(o, 0) <= {gap}),
+whole AS (SELECT chain.*, len(w) AS n_tokens, segs[1].s AS start, segs[-1].e AS "end", list_sum(list_transform(segs, lambda x: x.k)) AS words FROM chain JOIN words USING (query_id) WHERE i >= len(w)),
+c AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id, page_index ORDER BY k0 DESC, start) - 1 AS seq,
+ 2.0::DOUBLE * (words::DOUBLE / n_tokens) + list_sum(list_transform(segs, lambda x: x.e - x.s))::DOUBLE / len - 0.5::DOUBLE * (coalesce(list_sum(list_transform(range(2, len(segs) + 1), lambda j: greatest(0, segs[j].s - segs[j - 1].e))), 0)::DOUBLE / len) - 0.25::DOUBLE * least(1.0::DOUBLE, len::DOUBLE / 800.0) AS score
+ FROM (SELECT *, greatest(1, "end" - start) AS len FROM whole WHERE words >= {max(1, least)}))
 """
-_FULL = _MATCH.format(words=_WORDS.format("text"))
-_SPANS = "WITH q AS ({queries}),\n" + _MATCH.split("\n", 2)[2].replace("{{words}}", "")
-_TALKS = _FULL.replace("SELECT doc_id, ", "SELECT conv_id || '/' || turn AS doc_id, ", 1).replace("FROM documents", "FROM conversations")
+
+
+_SEGS = """'[' || array_to_string(list_transform({}, lambda x: '{{"s":' || x.s || ',"e":' || x.e || ',"k":' || x.k || '}}'), ',') || ']'"""
+_AT = 'CAST(seq AS INT) AS seq, CAST(start AS INT) AS start, CAST("end" AS INT) AS "end"'
+_ONE = 'start, start + n AS "end"'
+_COUNTS = "c AS (SELECT query_id, doc_id, count(*) AS n, count(DISTINCT start) AS d FROM r GROUP BY ALL)"
+_PLANTED = f"replace(replace({_NORM}, 'n ', 'n- '), 'ti', 't-i')"
+#: A hyphen between two parts goes if the word so far ends in a letter and has none, and the next part begins with spaces and a letter.
+_JOINED = r"""list_reduce(string_split(s, '-'), lambda a, x: CASE WHEN regexp_matches(x, '^ +\p{L}') AND regexp_matches(rtrim(a, ' '), '\p{L}$') AND NOT contains(string_split(rtrim(a, ' '), ' ')[-1], '-') THEN a || ltrim(x, ' ') ELSE a || '-' || x END)"""
+_WHOLE_LINE = "replace(text, chr(10), '')"
+_LINES = "string_split(substring(text, start + 1, n), chr(10))"
+_ORDERED = "SELECT query_id, doc_id, count(*) AS n, count(DISTINCT start) AS d FROM r GROUP BY ALL"
+
+
+def _codes(recipe: str, among: str) -> str:
+    rows = [f"SELECT '{recipe}' AS recipe, '{mode}' AS mode, CAST(CASE WHEN max(CAST(n IS NULL AS INT)) = 1 THEN 1 WHEN max(CAST(coalesce(most, 0) > 1 AS INT)) = 1 AND '{mode}' <> 'all' THEN 2 ELSE 0 END AS INT) AS exit_code FROM {among}" for mode in ("best", "single", "all")]
+    return " UNION ALL ".join(rows)
+
+
+_I = "item_id"
+_TEXT = f"CASE WHEN {_I} % 10 <> 9 THEN coalesce(CASE WHEN {_I} % 5 < 3 THEN text END, CASE WHEN {_I} % 5 > 1 THEN 'p' || {_I} END) END"
 
 ORACLES = {
-    "tok_normalize": f"SELECT item_id AS query_id, array_to_string({_WORDS.format(_NORM)}, ' ') AS words FROM benchmark",
-    "regex_compile_literal": "SELECT item_id AS query_id, true AS finds_itself FROM benchmark",
-    "chunk_pattern": rf"""WITH q AS (SELECT item_id AS query_id, '(?i)' || array_to_string(list_transform({_WORDS.format('text')}[1:3], lambda w: regexp_escape(w)), '\s*') AS p FROM benchmark)
-SELECT query_id, conv_id AS doc_id, turn AS page_index FROM conversations, q WHERE regexp_matches({_NORM}, p)""",
-    "regex_compile_raw": _SPANS.format(queries="SELECT unnest([1, 2]) AS query_id, unnest(['[0-9]{4}', '[a-z]+@[a-z]+']) AS p") + "SELECT query_id, doc_id, count(*) AS n, min(start) AS first, max(start + n) AS last FROM r GROUP BY ALL",
-    "filter_case": _FULL.replace("'(?i)' || ", "") + 'SELECT query_id, doc_id, start, start + n AS "end" FROM r',
-    "join_query_page": _FULL + "SELECT DISTINCT query_id, doc_id FROM r",
-    "seg_merge": "SELECT * FROM (VALUES (1, '0-5-3,7-9-1'), (2, '0-3-1'), (3, ''), (4, '1-4-3')) v(case_id, segs)",
-    "select_single": _FULL + "SELECT query_id, doc_id, start, CASE WHEN count(*) OVER (PARTITION BY query_id, doc_id) > 1 THEN 'multiple_matches' END AS error FROM r",
-    "order_hits": _TALKS + "SELECT query_id, CAST(split_part(doc_id, '/', 1) AS BIGINT) AS doc_id, CAST(split_part(doc_id, '/', 2) AS BIGINT) AS page_index, start, CAST(row_number() OVER (PARTITION BY query_id, split_part(doc_id, '/', 1) ORDER BY CAST(split_part(doc_id, '/', 2) AS BIGINT), start) AS INT) AS place FROM r",
-    "filter_page": _TALKS.replace("FROM conversations", "FROM conversations WHERE role = 'user'") + "SELECT query_id, CAST(split_part(doc_id, '/', 1) AS BIGINT) AS doc_id, CAST(split_part(doc_id, '/', 2) AS BIGINT) AS page_index, start, start + n AS \"end\" FROM r",
-    "agg_session_totals": _FULL + "SELECT doc_id, CAST(count(*) AS BIGINT) AS segment_matches, CAST(count(DISTINCT (query_id, start)) AS BIGINT) AS highlight_count FROM r GROUP BY doc_id",
-    "scan_glyphs": "SELECT conv_id || '/' || turn AS key, md5(replace(text, chr(10), '')) AS digest FROM conversations WHERE replace(text, chr(10), '') <> ''",
-    "rect_sort": "WITH c AS (SELECT item_id, unnest(string_split(replace(text, chr(10), ''), '')) AS c, generate_subscripts(string_split(replace(text, chr(10), ''), ''), 1) AS i FROM benchmark) SELECT item_id, c, CAST(i AS INT) AS place FROM c WHERE c <> ''",
-    "prog_starters": _SPANS.format(queries=rf"""SELECT query_id * 10 + k AS query_id, '(?i)' || array_to_string(list_transform(w[1:k], lambda x: regexp_escape(x)), '\s*') AS p FROM (SELECT item_id AS query_id, {_WORDS.format('text')} AS w, unnest(range(1, least(3, len({_WORDS.format('text')})) + 1)) AS k FROM benchmark)""") + 'SELECT query_id // 10 AS query_id, doc_id, CAST(query_id % 10 AS INT) AS k0, start, start + n AS "end" FROM r',
-    "scan_recipe": "SELECT * FROM (VALUES (0, 'a b c', 'yellow', 0.3::DOUBLE, true, false, 'all', false), (1, 'x+', 'yellow', 0.3, false, true, 'best', false), (2, NULL, 'yellow', 0.3, true, false, 'best', true), (3, 'd', 'yellow', 0.5, true, false, 'all', false)) v(query_id, text, color, opacity, progressive, regex, selection_mode, skipped)",
-    "sink_report_single": _FULL + """, c AS (SELECT query_id, count(*) AS n, count(DISTINCT (doc_id, start)) AS d FROM r GROUP BY ALL)
-SELECT query_id, '{"input":"documents","output":null,"matches":' || coalesce(n, 0) || ',"highlight_count":' || coalesce(d, 0) || ',"exit_code":' || CASE WHEN n IS NULL THEN 1 ELSE 0 END || ',"selection_mode":"best","dry_run":false}' AS report FROM q LEFT JOIN c USING (query_id)""",
     "norm_char": f"SELECT doc_id, md5({_NORM}) AS digest, CAST(length({_NORM}) AS INT) AS n FROM documents",
-    "norm_hyphen": "SELECT * FROM (VALUES (1, 'different'), (2, 'state-of-the-art'), (3, 'foo bar'), (4, 'foobar'), (5, 'a-b - c'), (6, '-x y-'), (7, '')) v(case_id, joined)",
+    "norm_hyphen": f"SELECT doc_id, md5(j) AS digest, CAST(length(j) AS INT) AS n, CAST(length(s) - length(j) AS INT) AS taken_out FROM (SELECT doc_id, s, {_JOINED} AS j FROM (SELECT doc_id, {_PLANTED} AS s FROM documents))",
     "tok_whitespace": f"SELECT item_id AS query_id, array_to_string({_WORDS.format('text')}, '|') AS words, CAST(len({_WORDS.format('text')}) AS INT) AS n FROM benchmark",
-    "match_pattern_all": _FULL + 'SELECT query_id, doc_id, start, start + n AS "end" FROM r',
-    "snippet": _FULL + "SELECT query_id, doc_id, start, substring(t, start + 1, n) AS text_snippet FROM r",
-    "select_best_literal": _FULL + "SELECT query_id, doc_id, min(start) AS start, count(*) > 1 AS blocked FROM r GROUP BY ALL",
-    "agg_outcomes": _FULL + """, c AS (SELECT query_id, doc_id, count(*) AS n, count(DISTINCT start) AS d FROM r GROUP BY ALL), o AS (SELECT query_id, sum(n) AS n, sum(d) AS d, max(n) AS most FROM c GROUP BY ALL)
-SELECT q.query_id, CAST(coalesce(n, 0) AS BIGINT) AS segment_matches, CAST(coalesce(d, 0) AS BIGINT) AS highlight_count, n IS NULL AS not_found, coalesce(most > 1, false) AS multiple, CAST(CASE WHEN n IS NULL THEN 1 WHEN most > 1 THEN 2 ELSE 0 END AS INT) AS exit_code FROM q LEFT JOIN o USING (query_id)""",
+    "tok_normalize": f"SELECT item_id AS query_id, array_to_string({_WORDS.format(_NORM)}, ' ') AS words FROM benchmark",
+    "regex_compile_literal": _spans() + rf""", k AS (SELECT item_id AS query_id, {_NORM} AS norm FROM benchmark), l AS (SELECT query_id, count(DISTINCT doc_id) AS loose FROM r GROUP BY 1), e AS (SELECT query_id, count(*) AS strict FROM k, d WHERE contains(lower(t), lower(norm)) GROUP BY 1)
+SELECT query_id, regexp_matches('x ' || norm, p) AS finds_itself, coalesce(loose, 0) AS loose, coalesce(strict, 0) AS strict FROM k JOIN q USING (query_id) LEFT JOIN l USING (query_id) LEFT JOIN e USING (query_id)""",
+    "regex_compile_raw": _spans("SELECT unnest([1, 2]) AS query_id, unnest(['[0-9]{4}', '[a-z]+@[a-z]+']) AS p") + "SELECT query_id, doc_id, count(*) AS n, min(start) AS first, max(start + n) AS last FROM r GROUP BY ALL",
+    "chunk_pattern": _spans(_opening(3, r"\s*").replace("turn = 0", f"turn = 0 AND len({_WORDS.format('text')}) >= 3"), _TALKS) + f"SELECT query_id, doc_id, page_index, {_ONE} FROM r",
+    "filter_case": _spans(_BENCH.replace("'(?i)' || ", "")) + f"SELECT query_id, doc_id, {_ONE} FROM r",
+    "filter_page": _spans(_opening(2), _TALKS + " WHERE role = 'user'") + f"SELECT query_id, doc_id, page_index, {_ONE} FROM r",
+    "join_query_page": _spans() + "SELECT DISTINCT query_id, doc_id FROM r",
+    "match_pattern_all": _spans() + f"SELECT query_id, doc_id, {_ONE} FROM r",
+    "snippet": _spans() + "SELECT query_id, doc_id, start, substring(t, start + 1, n) AS text_snippet FROM r",
+    "select_best_literal": _spans() + "SELECT query_id, doc_id, min(start) AS start, count(*) > 1 AS blocked FROM r GROUP BY ALL",
+    "select_single": _spans() + "SELECT query_id, doc_id, start, CASE WHEN count(*) OVER (PARTITION BY query_id, doc_id) > 1 THEN 'multiple_matches' END AS error FROM r",
+    "order_hits": _spans(_opening(1), _TALKS) + "SELECT query_id, doc_id, page_index, start, CAST(row_number() OVER (PARTITION BY query_id, doc_id ORDER BY page_index, start) AS INT) AS place FROM r",
+    "agg_session_totals": _spans() + "SELECT doc_id, CAST(count(*) AS BIGINT) AS segment_matches, CAST(count(DISTINCT (query_id, start)) AS BIGINT) AS highlight_count FROM r GROUP BY doc_id",
+    "agg_outcomes": _spans() + f""", {_COUNTS}, o AS (SELECT query_id, sum(CASE WHEN n = 1 THEN 1 ELSE 0 END) AS kept, max(n) AS most FROM c GROUP BY ALL)
+SELECT query_id, CAST(coalesce(kept, 0) AS BIGINT) AS segment_matches, CAST(coalesce(kept, 0) AS BIGINT) AS highlight_count, most IS NULL AS not_found, false AS blocked, CASE WHEN most > 1 THEN 'multiple_matches' END AS error, CAST(CASE WHEN most IS NULL THEN 1 WHEN most > 1 THEN 2 ELSE 0 END AS INT) AS exit_code FROM q LEFT JOIN o USING (query_id)""",
+    "agg_exit_code": _spans() + f", {_COUNTS}, o AS (SELECT query_id, sum(n) AS n, max(n) AS most FROM c GROUP BY ALL), a AS (SELECT query_id, n, most FROM q LEFT JOIN o USING (query_id)) " + _codes("whole", "a") + " UNION ALL " + _codes("found", "o"),
+    "filter_empty_query": _spans(_BENCH + " WHERE item_id % 2 = 0") + f", o AS (SELECT query_id, count(*) AS n FROM r GROUP BY ALL) SELECT query_id, coalesce(n, 0) AS segment_matches, n IS NULL AS not_found FROM ({_ASKED}) LEFT JOIN o USING (query_id)",
+    "filter_range_valid": _spans() + """, v AS (SELECT query_id, doc_id, length(t) AS size, unnest([start - 100, start + 100, start]) AS a, unnest([start + n - 100, start + n + 100, start + n - 300]) AS b FROM r)
+SELECT query_id, doc_id, CAST(a AS INT) AS start, CAST(b AS INT) AS "end" FROM v WHERE a >= 0 AND a < b AND b <= size""",
+    "prog_starters": _spans(rf"""SELECT query_id * 10 + k AS query_id, '(?i)' || array_to_string({_ESCAPED.format('w[1:k]')}, '\s*') AS p FROM (SELECT item_id AS query_id, {_WORDS.format('text')} AS w, unnest(range(1, least(3, len({_WORDS.format('text')})) + 1)) AS k FROM benchmark)""") + f"SELECT query_id // 10 AS query_id, doc_id, CAST(query_id % 10 AS INT) AS k0, {_ONE} FROM r",
+    "prog_candidates": _chains(_DOCS) + f"SELECT query_id, doc_id, {_AT}, CAST(words AS INT) AS words, round(score, 6) + 0.0 AS score, {_SEGS.format('segs')} AS segs FROM c",
+    "prog_chain": _chains(_TALKS, gap=1_000_000, least=1) + f"SELECT query_id, doc_id, page_index, {_AT}, md5({_SEGS.format('segs')}) AS segs FROM c",
+    "filter_gap": _chains(_TALKS, gap=5) + f"SELECT query_id, doc_id, page_index, {_AT} FROM c",
+    "filter_coverage": _chains(_TALKS, least=6) + f"SELECT query_id, doc_id, page_index, {_AT} FROM c",
+    "prog_first_segments": _chains(_TALKS) + f""", f AS (SELECT query_id, doc_id, page_index, unnest(segs) AS g, generate_subscripts(segs, 1) AS j FROM c WHERE seq = 0),
+m AS (SELECT *, sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (PARTITION BY query_id, doc_id, page_index ORDER BY j) AS part FROM (SELECT *, coalesce(g.s <> lag(g.e) OVER (PARTITION BY query_id, doc_id, page_index ORDER BY j), true) AS new FROM f)),
+l AS (SELECT query_id, doc_id, page_index, part, min(g.s) AS s, max(g.e) AS e, sum(g.k) AS k FROM m GROUP BY ALL)
+SELECT query_id, doc_id, page_index, {_SEGS.format("list({'s': s, 'e': e, 'k': k} ORDER BY part)")} AS segs FROM l GROUP BY ALL""",
+    "score": _chains(_TALKS) + "SELECT query_id, doc_id, page_index, CAST(seq AS INT) AS seq, CAST(words AS INT) AS words, round(score, 6) + 0.0 AS score FROM c",
+    "select_best": _chains(_TALKS) + """SELECT query_id, doc_id, page_index, CAST(start AS INT) AS start, CAST("end" AS INT) AS "end", round(score, 6) + 0.0 AS score FROM c QUALIFY row_number() OVER (PARTITION BY query_id, doc_id ORDER BY score DESC, "end" - start, start, page_index, seq) = 1""",
+    "select_all": _chains(_TALKS) + """SELECT query_id, doc_id, page_index, CAST(start AS INT) AS start, CAST("end" AS INT) AS "end", CAST(row_number() OVER (PARTITION BY query_id, doc_id ORDER BY page_index, seq) AS INT) AS place FROM c""",
+    "agg_segment_matches": _chains(_TALKS) + f"SELECT query_id, count(doc_id) AS segment_matches FROM ({_ASKED}) LEFT JOIN c USING (query_id) GROUP BY ALL",
+    "agg_highlight_count": _chains(_TALKS) + f"""SELECT query_id, count(DISTINCT CASE WHEN doc_id IS NOT NULL THEN (doc_id, page_index, start, "end") END) AS highlight_count FROM ({_ASKED}) LEFT JOIN c USING (query_id) GROUP BY ALL""",
+    "seg_merge": """WITH s AS (SELECT DISTINCT l_orderkey, l_linenumber * 10 AS s, l_linenumber * 10 + CASE WHEN l_quantity % 2 = 0 THEN 10 ELSE 7 END AS e FROM lineitem),
+m AS (SELECT *, sum(new) OVER (PARTITION BY l_orderkey ORDER BY s, e) AS part FROM (SELECT *, CASE WHEN lag(e) OVER (PARTITION BY l_orderkey ORDER BY s, e) = s THEN 0 ELSE 1 END AS new FROM s)),
+g AS (SELECT l_orderkey, part, min(s) AS a, max(e) AS b, count(*) AS k FROM m GROUP BY ALL) SELECT l_orderkey, string_agg(a || '-' || b || '-' || k, ',' ORDER BY part) AS segs FROM g GROUP BY ALL""",
+    "scan_glyphs": f"SELECT conv_id AS doc_id, turn AS page_index, md5({_WHOLE_LINE}) AS digest, CAST(length({_WHOLE_LINE}) AS INT) AS n, length({_WHOLE_LINE}) * 6.0::DOUBLE AS width FROM conversations WHERE {_WHOLE_LINE} <> ''",
+    "norm_hyphen_boxes": _spans(_opening(2), f"SELECT conv_id AS doc_id, turn AS page_index, {_WHOLE_LINE} AS t FROM conversations") + f"SELECT query_id, doc_id, page_index, {_ONE}, n * 6.0::DOUBLE AS width FROM r",
+    "rect_sort": "WITH c AS (SELECT item_id, unnest(string_split(replace(text, chr(10), ''), '')) AS c, generate_subscripts(string_split(replace(text, chr(10), ''), ''), 1) AS i FROM benchmark) SELECT item_id, c, CAST(i AS INT) AS place FROM c WHERE c <> ''",
     "rect_lines": """WITH l AS (SELECT conv_id || '/' || turn AS key, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS r FROM conversations)
 SELECT key, row_number() OVER (PARTITION BY key ORDER BY r) - 1 AS line, 0.0::DOUBLE AS x0, (r * 12)::DOUBLE AS y0, (length(s) * 6)::DOUBLE AS x1, (r * 12 + 12)::DOUBLE AS y1 FROM l WHERE s <> ''""",
-    "parse_color": "SELECT case_id, r::DOUBLE AS r, g::DOUBLE AS g, b::DOUBLE AS b FROM (VALUES (1, 1.0, 0.0, 0.501961), (2, 0.1, 0.2, 0.3), (3, 0.31, 0.86, 0.71), (4, 1.0, 0.97, 0.0), (5, 1.0, 0.97, 0.0), (6, 1.0, 0.97, 0.0), (7, 1.0, 0.97, 0.0), (8, 0.55, 0.47, 1.0)) v(case_id, r, g, b)",
-    "parse_selection_mode": "SELECT * FROM (VALUES (1, 'single'), (2, 'single'), (3, 'best'), (4, 'best'), (5, 'all'), (6, NULL)) v(case_id, mode)",
-    "rect_to_quad": "SELECT * FROM (VALUES (1, '0,100,200,100,0,300,200,300'), (2, '0,100,200,100,0,300,200,300'), (3, '100,100,125,100,100,125,125,125')) v(case_id, quad)",
-    "page_split": "SELECT * FROM (VALUES (1, 0, 'first' || chr(10) || 'line' || chr(10)), (1, 1, 'last' || chr(10)), (2, 0, 'no marks' || chr(10) || 'at all' || chr(10))) v(key, page_index, page)",
-    "sink_report_recipe": _FULL + "SELECT CAST(CASE WHEN (SELECT count(DISTINCT query_id) FROM r) < count(*) THEN 1 ELSE 0 END AS INT) AS exit_code, CAST(count(*) AS INT) AS n_items FROM q",
+    "sink_annotations": _spans() + f"""SELECT query_id, doc_id, start, CAST(len(list_filter({_LINES}, lambda s: s <> '')) AS INT) AS n_lines, length(string_split(before, chr(10))[-1]) * 6.0::DOUBLE AS x0, (len(string_split(before, chr(10))) - 1) * 12.0::DOUBLE AS y0 FROM (SELECT r.*, text, substring(text, 1, start) AS before FROM r JOIN documents USING (doc_id))""",
+    "sanitize_rect": """WITH b AS (SELECT l_orderkey, l_linenumber, least(l_quantity, l_discount * 400.0) AS x0, greatest(l_quantity, l_discount * 400.0) AS x1, least(l_linenumber * 8.0, floor(l_tax * 100 + 0.5) * 8.0) AS y0, greatest(l_linenumber * 8.0, floor(l_tax * 100 + 0.5) * 8.0) AS y1 FROM lineitem)
+SELECT l_orderkey, l_linenumber, round(x0, 6) AS x0, round(y0::DOUBLE, 6) AS y0, round(CASE WHEN x1 <= x0 OR y1 <= y0 THEN x0 + 0.25 ELSE x1 END, 6) AS x1, round((CASE WHEN x1 <= x0 OR y1 <= y0 THEN y0 + 0.25 ELSE y1 END)::DOUBLE, 6) AS y1 FROM b""",
+    "rect_to_quad": """WITH b AS (SELECT l_orderkey, l_linenumber, CAST(round(l_quantity * 100) AS BIGINT) AS x0, l_linenumber * 800 AS y0, CAST(round(l_discount * 40000) AS BIGINT) AS x1, CAST(floor(l_tax * 100 + 0.5) * 800 AS BIGINT) AS y1 FROM lineitem)
+SELECT l_orderkey, l_linenumber, concat_ws(',', x0, y0, x1, y0, x0, y1, x1, y1) AS quad FROM b""",
+    "parse_color": """WITH p AS (SELECT p_partkey, p_partkey % 4 AS kind, p_partkey * 7919 % 16777216 AS v, p_size / 50.0::DOUBLE AS x, p_size / 100.0::DOUBLE AS y, [1.0, 0.31, 0.55, 1.0, 0.2, 0.2, 1.0][p_partkey % 7 + 1] AS nr, [0.97, 0.86, 0.47, 0.2, 0.8, 0.5, 0.97][p_partkey % 7 + 1] AS ng, [0.0, 0.71, 1.0, 0.2, 0.2, 1.0, 0.0][p_partkey % 7 + 1] AS nb FROM part)
+SELECT p_partkey, round((CASE kind WHEN 0 THEN (v >> 16) / 255.0 WHEN 1 THEN nr WHEN 2 THEN x ELSE 1.0 END)::DOUBLE, 6) AS r, round((CASE kind WHEN 0 THEN ((v >> 8) & 255) / 255.0 WHEN 1 THEN ng WHEN 2 THEN y ELSE 0.97 END)::DOUBLE, 6) AS g, round((CASE kind WHEN 0 THEN (v & 255) / 255.0 WHEN 1 THEN nb WHEN 2 THEN 0.5 ELSE 0.0 END)::DOUBLE, 6) AS b FROM p""",
+    "parse_selection_mode": "SELECT c_custkey, CASE WHEN c_custkey % 12 < 4 THEN 'single' WHEN c_custkey % 12 < 7 OR c_custkey % 12 = 11 THEN 'best' WHEN c_custkey % 12 < 9 THEN 'all' END AS mode FROM customer",
+    "page_split": r"SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS page_index, md5(text || chr(10) || chr(10) || 'tail ' || turn || chr(10)) AS digest FROM conversations",
+    "scan_recipe": f"""SELECT CAST(row_number() OVER (ORDER BY {_I}) - 1 AS INT) AS query_id, {_TEXT} AS text, CASE WHEN {_I} % 3 = 0 THEN 'mint' ELSE 'yellow' END AS color, round(CASE WHEN {_I} % 4 = 0 THEN {_I} / 100.0 ELSE 0.3 END::DOUBLE, 6) AS opacity, {_I} % 7 <> 0 AS ignore_case, {_I} % 2 = 1 AS progressive, CAST(CASE WHEN {_I} % 9 = 0 THEN 2 ELSE 3 END AS INT) AS kmax, CAST(200 AS INT) AS max_gap, {_TEXT} IS NULL AS skipped FROM benchmark""",
+    "recipe_defaults": f"""SELECT CAST(row_number() OVER (ORDER BY {_I}) - 1 AS INT) AS query_id, CASE WHEN {_I} % 6 = 5 AND {_TEXT} IS NOT NULL THEN 'single' WHEN {_I} % 3 = 1 THEN CASE WHEN {_I} % 2 = 0 THEN 'best' ELSE 'all' END WHEN {_I} % 4 = 0 THEN 'all' ELSE 'best' END AS mode FROM benchmark""",
+    "filter_skip_item": f"SELECT query_id FROM (SELECT CAST(row_number() OVER (ORDER BY {_I}) - 1 AS INT) AS query_id, {_TEXT} AS t FROM benchmark) WHERE t IS NULL",
+    "concat_items": _spans() + """, f AS (SELECT query_id, doc_id, t, start, n, count(*) OVER w AS many, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY start) AS place FROM r WINDOW w AS (PARTITION BY query_id, doc_id)),
+o AS (SELECT query_id, count(*) AS matches, max(many) AS most, string_agg(doc_id || ':1:' || start || ':' || (start + n) || ':' || len(list_filter(string_split(substring(text, start + 1, n), chr(10)), lambda s: s <> '')) || ':x:0.86', ',' ORDER BY place, doc_id) AS hits FROM f JOIN documents USING (doc_id) WHERE place = 1 GROUP BY ALL),
+a AS (SELECT item_id AS query_id, text, matches, most, hits, item_id % 7 = 6 AS skipped FROM benchmark LEFT JOIN o ON query_id = item_id),
+e AS (SELECT CAST(CASE WHEN bool_or(matches IS NULL AND NOT skipped) THEN 1 WHEN bool_or(coalesce(most, 0) > 1 AND NOT skipped) THEN 2 ELSE 0 END AS INT) AS exit_code, CAST(count(*) AS INT) AS n_items FROM a)
+SELECT exit_code, n_items, CAST(row_number() OVER (ORDER BY query_id) - 1 AS INT) AS place, CAST(query_id AS INT) AS query_id, skipped, CASE WHEN NOT skipped THEN text END AS query, CASE WHEN skipped THEN 0 ELSE coalesce(matches, 0) END AS matches, CASE WHEN NOT skipped THEN coalesce(matches, 0) END AS highlight_count, CASE WHEN NOT skipped THEN 'best' END AS mode, CASE WHEN NOT skipped THEN false END AS allow_multiple, CASE WHEN skipped THEN '' ELSE coalesce(hits, '') END AS hits FROM a, e""",
+    "sink_report_recipe": _spans() + f""", {_COUNTS}, o AS (SELECT query_id, sum(CASE WHEN n = 1 THEN 1 ELSE 0 END) AS kept, max(n) AS most FROM c GROUP BY ALL), a AS (SELECT item_id, text, coalesce(kept, 0) AS kept, most FROM benchmark LEFT JOIN o ON query_id = item_id)
+SELECT CAST(CASE WHEN bool_or(most IS NULL) THEN 1 WHEN bool_or(most > 1) THEN 2 ELSE 0 END AS INT) AS exit_code, CAST(count(*) AS INT) AS n_items, '{{"input":"documents","output":null,"items":[' || string_agg('{{"index":' || item_id || ',"query":' || to_json(text) || ',"pattern":null,"regex":false,"ignore_case":true,"literal_whitespace":false,"matches":' || CAST(kept AS BIGINT) || ',"highlight_count":' || CAST(kept AS BIGINT) || ',"selection_mode":"single","hits":[]' || CASE WHEN most > 1 THEN ',"error":"multiple_matches"' WHEN item_id % 2 = 0 THEN ',"progressive_search":true,"progressive_kmax":3,"progressive_max_gap_chars":200,"progressive_min_total_words":3' ELSE '' END || '}}', ',' ORDER BY item_id) || ']}}' AS report FROM a""",
+    "sink_report_single": _spans() + """, c AS (SELECT query_id, count(*) AS n, count(DISTINCT (doc_id, start)) AS d FROM r GROUP BY ALL)
+SELECT query_id, '{"input":"documents","output":null,"matches":' || coalesce(n, 0) || ',"highlight_count":' || coalesce(d, 0) || ',"exit_code":' || CASE WHEN n IS NULL THEN 1 ELSE 0 END || ',"allow_multiple":true,"selection_mode":"all","dry_run":false,"hits":[]}' AS report FROM q LEFT JOIN c USING (query_id)""",
 }
 
-QUERIES = {f.__name__: f for f in (norm_char, norm_hyphen, tok_whitespace, match_pattern_all, snippet, select_best_literal, agg_outcomes, prog_candidates, select_best, select_all, rect_lines, tok_normalize, regex_compile_literal, chunk_pattern, regex_compile_raw, filter_case, filter_page, join_query_page, prog_starters, prog_first_segments, seg_merge, filter_gap_coverage, select_single, order_hits, agg_session_totals, scan_glyphs, rect_sort, sink_annotations, scan_recipe, sink_report_single, parse_color, parse_selection_mode, rect_to_quad, page_split, sink_report_recipe)}
+_LISTED = (
+    norm_char, norm_hyphen, norm_hyphen_boxes, tok_whitespace, tok_normalize, regex_compile_literal, regex_compile_raw, chunk_pattern, snippet, parse_color, parse_selection_mode, sanitize_rect, rect_to_quad,
+    scan_glyphs, scan_recipe, recipe_defaults, page_split, filter_page, filter_case, filter_gap, filter_coverage, filter_empty_query, filter_skip_item, filter_range_valid,
+    join_query_page, match_pattern_all, prog_starters, prog_chain, prog_candidates, prog_first_segments, seg_merge, score, select_best, select_all, select_single, select_best_literal, order_hits,
+    rect_sort, rect_lines, agg_segment_matches, agg_highlight_count, agg_outcomes, agg_session_totals, agg_exit_code, concat_items, sink_annotations, sink_report_single, sink_report_recipe,
+)
+QUERIES = {f.__name__: f for f in _LISTED}
