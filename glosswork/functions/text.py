@@ -145,8 +145,8 @@ def rarest_word(words: Column) -> Column:
 
 def folded(text: Column) -> Column:
     """A form in which plain words stand wherever the text matches them with case ignored (and perhaps elsewhere)."""
-    other = F.translate(F.lower(F.upper(text)), "\u0307", "")
-    return F.when(text.rlike("[^\\x00-\\x7f]"), other).otherwise(F.lower(text))
+    # beyond ASCII only dotted and dotless i, long s and the Kelvin sign match plain letters
+    return F.translate(F.lower(text), "\u0131\u017f\u0307", "is")
 
 
 def chunk_pattern(words: Column, start, k) -> Column:
