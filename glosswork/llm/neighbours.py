@@ -1,22 +1,24 @@
 """Approximate nearest neighbours by multi-index hashing.
 
 Vectors are centred and turned by a rotation learned on a bounded sample (alternating sign codes and
-orthogonal Procrustes), and their signs are 64-bit codes. A code is four substrings of 16 bits, each
-indexed by a direct table. By the pigeonhole principle a code within Hamming radius 4s + 3 of a query agrees
-with it in some substring up to s bits: probing these buckets of each table retrieves every code within the
-radius. Retrieved vectors are reranked by exact inner products in double precision.
-
-Where so many buckets are due that probing would touch most of a block, its codes are read through instead.
-
-The radius of a query grows until a vector as near as its present 20th would lie outside with small
-chance only, as bits differ with the probability angle / pi. Vectors of unequal length get one more
+orthogonal Procrustes), and their signs are 64-bit codes. A code is eight substrings of eight bits, each
+indexed by a direct table. By the pigeonhole principle a code within Hamming radius 8 s + a of a query agrees
+with it in one of the first a + 1 substrings up to s bits, or in one of the others up to s - 1: probing
+these buckets of each table retrieves every code within the radius, and nothing is found any other way.
+Retrieved vectors within the radius are reranked by exact inner products in double precision.
+
+The radius of a query grows until its present 20th is so near that, of true neighbours as near, the share LEFT_OUT
+lies outside. How many standard deviations of the Hamming distance (bits differ with the probability angle / pi)
+that takes is measured on the sample, where true neighbours are known. Vectors of unequal length get one more
 coordinate first, which makes the largest inner product the smallest angle.
 
-All rows are indexed, in blocks of a bounded size; the stated queries, in blocks too, meet each block once.
+All rows are indexed, in blocks of a bounded size; the stated queries, in blocks too, meet each block once. Where
+vectors are near none in particular, as random ones in many dimensions, the radius is wide: probes then touch most
+buckets, and it is the Hamming distance that keeps most rows from being scored (share_scored tells how many).
 
 Defined results: vectors that are null, zero, of another length than the sample's, or hold null or
 non-finite components take no part; ties go to the smaller vec_id; with fewer candidates all are ranked;
-an empty table gives no rows.
+rows with equal vec_id and vector are one; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,10 +32,16 @@ from pyspark.sql import functions as F
 
 from .common import table_of
 
-SAMPLE, BLOCK_ROWS, QUERY_ROWS, BITS, PARTS, TOP = 10_000, 16_384, 1024, 64, 4, 20
-SLACK = 1.5  # standard deviations of a neighbour's Hamming distance
-_POP16 = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
-_MASKS = [np.flatnonzero(_POP16 == s).astype(np.uint16) for s in range(3)]
+SAMPLE, BLOCK_ROWS, QUERY_ROWS, BITS, TOP = 10_000, 16_384, 1024, 64, 20
+WIDTH = 8  # bits of a substring
+PARTS = BITS // WIDTH
+#: Share of true neighbours that the radius may miss on the sample, and sample rows that are taken for queries there.
+LEFT_OUT, TRIALS = 0.12, 256
+STEP = 2  # greatest growth of a radius before its 20th is looked at again
+_POP = np.array([bin(i).count("1") for i in range(1 << WIDTH)], np.uint8)
+#: Differences of a substring by their number of bits, fewest first, and how many have at most s.
+_BY_BITS = np.argsort(_POP, kind="stable").astype(np.uint8)
+_UP_TO = np.cumsum(np.bincount(_POP))
 
 
 def learn_rotation(sample: np.ndarray, rounds: int = 30, seed: int = 10) -> tuple[np.ndarray, np.ndarray]:
@@ -55,8 +63,8 @@ def learn_rotation(sample: np.ndarray, rounds: int = 30, seed: int = 10) -> tupl
 
 
 def codes_of(x: np.ndarray, mean: np.ndarray, projection: np.ndarray) -> np.ndarray:
-    """(rows, 4) substrings of the codes."""
-    return np.packbits((x - mean) @ projection >= 0, axis=1, bitorder="little").view(np.uint16)
+    """(rows, PARTS) substrings of the codes."""
+    return np.packbits((x - mean) @ projection >= 0, axis=1, bitorder="little")
 
 
 class Index:
@@ -65,48 +73,82 @@ class Index:
     def __init__(self, codes: np.ndarray):
         self.codes = codes
         self.order = [np.argsort(codes[:, j], kind="stable") for j in range(PARTS)]
-        self.starts = [np.searchsorted(codes[o, j], np.arange((1 << 16) + 1)) for j, o in enumerate(self.order)]
+        self.starts = [np.searchsorted(codes[o, j], np.arange((1 << WIDTH) + 1)) for j, o in enumerate(self.order)]
 
-    def within(self, code: np.ndarray, s: int) -> np.ndarray:
-        """Rows of all codes within Hamming radius 4 s + 3."""
-        if s >= len(_MASKS):  # the probes would touch most buckets: the same rows, in one reading of the codes
-            return np.flatnonzero(_POP16[self.codes ^ code].sum(axis=1, dtype=np.uint8) <= PARTS * s + PARTS - 1)
-        found = []
-        for j in range(PARTS):
-            buckets = np.concatenate(_MASKS[:s + 1]) ^ code[j]
-            a, b = self.starts[j][buckets], self.starts[j][buckets.astype(np.int64) + 1]
-            full = b > a
-            a, n = a[full], (b - a)[full]
-            if len(n):
-                at = np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                found.append(self.order[j][at])
-        if not found:
-            return np.empty(0, np.int64)
+    def probed(self, code: np.ndarray, radius: int) -> np.ndarray:
+        """Rows in the buckets that are due for a radius, without repeats."""
+        bits, more = divmod(radius, PARTS)
         seen = np.zeros(len(self.codes), bool)
-        seen[np.concatenate(found)] = True
-        rows = np.flatnonzero(seen)
-        distance = _POP16[self.codes[rows] ^ code].sum(axis=1, dtype=np.int64)
-        return rows[distance <= PARTS * s + PARTS - 1]
-
-
-def nearest(query: np.ndarray, own: int, code: np.ndarray, index: Index, ids: np.ndarray, x: np.ndarray, reach: float, top: int) -> tuple[np.ndarray, np.ndarray]:
-    """(vec_ids, scores) of the nearest found in a block. reach: length of query times the greatest of all vectors."""
-    seen, rows, scores = np.zeros(len(ids), bool), np.empty(0, np.int64), np.empty(0)
-    s, last = 0, BITS // PARTS
+        for j in range(PARTS):
+            within = bits if j <= more else bits - 1
+            if within >= 0:
+                buckets = _BY_BITS[:_UP_TO[min(within, WIDTH)]] ^ code[j]
+                order, starts = self.order[j], self.starts[j]
+                for a, b in zip(starts[buckets].tolist(), starts[buckets.astype(np.int64) + 1].tolist()):
+                    seen[order[a:b]] = True
+        return np.flatnonzero(seen)
+
+    def within(self, code: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of all codes within a Hamming radius, and their distances."""
+        rows = self.probed(code, radius)
+        distance = _POP[self.codes[rows] ^ code].sum(axis=1, dtype=np.uint8)
+        near = distance <= radius
+        return rows[near], distance[near]
+
+
+def radius_for(score: float, reach: float, slack: float) -> int:
+    """Hamming radius due for neighbours of a score. reach: length of the query times the greatest of all vectors."""
+    p = np.arccos(np.clip(score / reach, -1, 1)) / np.pi
+    return int(np.clip(np.ceil(BITS * p + slack * np.sqrt(BITS * p * (1 - p))), 0, BITS))
+
+
+def measured(sample: np.ndarray, most: float, mean: np.ndarray, projection: np.ndarray, top: int) -> tuple[float, int]:
+    """(slack in standard deviations, radius to probe first): what holds all but LEFT_OUT of the true neighbours of TRIALS
+    rows of the sample among the rest of it. With all rows they are nearer, and fewer are missed."""
+    at = np.unique(np.linspace(0, len(sample) - 1, TRIALS).astype(np.int64))
+    lengths = np.sqrt((sample[at] ** 2).sum(axis=1))
+    codes, asked = codes_of(lift(sample, most), mean, projection), codes_of(lift_query(sample[at], most), mean, projection)
+    apart, angles = [], []
+    for i, code, length in zip(at, asked, lengths):
+        scores = sample @ sample[i]
+        scores[i] = -np.inf
+        near = np.argsort(-scores, kind="stable")[:min(top, len(sample) - 1)]
+        if not len(near):
+            continue
+        p = np.arccos(np.clip(scores[near[-1]] / (length * np.sqrt(most)), -1, 1)) / np.pi
+        distance = _POP[codes[near] ^ code].sum(axis=1, dtype=np.int64)
+        apart.append((distance - BITS * p) / max(np.sqrt(BITS * p * (1 - p)), 1e-9))
+        angles.append(p)
+    if not apart:
+        return 0.0, 0
+    slack, p = float(np.quantile(np.concatenate(apart), 1 - LEFT_OUT)), float(np.median(angles))
+    return slack, int(np.clip(np.ceil(BITS * p + slack * np.sqrt(BITS * p * (1 - p))), 0, BITS))
+
+
+def lift(x: np.ndarray, most: float) -> np.ndarray:
+    return np.column_stack([x, np.sqrt(np.maximum(0, most - (x * x).sum(axis=1)))])
+
+
+def lift_query(q: np.ndarray, most: float) -> np.ndarray:
+    return np.column_stack([q, np.zeros(len(q))]) * np.sqrt(most) / np.linalg.norm(q, axis=1)[:, None]
+
+
+def nearest(query: np.ndarray, own: int, code: np.ndarray, index: Index, ids: np.ndarray, x: np.ndarray, reach: float, top: int, slack: float, radius: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(vec_ids, scores) of the nearest found in a block, and how many rows were scored."""
+    rows, scores, at, below = np.empty(0, np.int64), np.empty(0), radius - 2 * STEP, -1
+    found, distance = index.within(code, radius)
     while True:
-        new = index.within(code, s)
-        new = new[~seen[new] & (ids[new] != own)]
-        seen[new] = True
+        if at > radius:  # wider than what has been probed
+            radius = min(BITS, at + STEP)
+            found, distance = index.within(code, radius)
+        new = found[(distance <= at) & (distance > below) & (ids[found] != own)]
         rows, scores = np.concatenate([rows, new]), np.concatenate([scores, (x[new] * query).sum(axis=1)])
-        need = last
-        if len(rows) >= top:
-            p = np.arccos(np.clip(np.partition(scores, -top)[-top] / reach, -1, 1)) / np.pi
-            need = min(last, int(np.ceil((BITS * p + SLACK * np.sqrt(BITS * p * (1 - p)) - PARTS + 1) / PARTS)))
-        if s >= need:
+        need = radius_for(np.partition(scores, -top)[-top], reach, slack) if len(rows) >= top else BITS
+        if at >= need:
             break
-        s = min(s + 2, need)
+        below, at = at, min(need, at + STEP)
     best = np.lexsort((ids[rows], -scores))[:top]
-    return ids[rows[best]], scores[best]
+    return ids[rows[best]], scores[best], len(rows)
 
 
 def valid_vectors(table: DataFrame, key: str, vector: str) -> DataFrame:
@@ -115,11 +157,12 @@ def valid_vectors(table: DataFrame, key: str, vector: str) -> DataFrame:
     return x.where(~bad).withColumn("squares", F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v)).where("squares > 0")
 
 
-def search(table: DataFrame, queries: DataFrame, top: int = TOP, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """Each query's nearest rows of table but itself: query_id, rank, vec_id, score."""
+def search(table: DataFrame, queries: DataFrame, top: int = TOP, key: str = "vec_id", vector: str = "embedding", scored: bool = False) -> DataFrame:
+    """Each query's nearest rows of table but itself: query_id, rank, vec_id, score. If scored, instead
+    (query_id, n_scored, n_rows): how many rows of how many were reranked for each."""
     spark = table.sparkSession
     data, asked = valid_vectors(table, key, vector), valid_vectors(queries, key, vector)
-    out = "query_id long, rank int, vec_id long, score double"
+    out = "query_id long, rank int, vec_id long, score double" if not scored else "query_id long, n_scored long, n_rows long"
     sample = data.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("x").collect()
     if not sample:
         return spark.createDataFrame([], out)
@@ -127,10 +170,10 @@ def search(table: DataFrame, queries: DataFrame, top: int = TOP, key: str = "vec
     dim = max(set(lengths), key=lambda n: (lengths.count(n), n))
     data, asked = data.where(F.size("x") == dim), asked.where(F.size("x") == dim)
     facts = data.agg(F.count(F.lit(1)).alias("n"), F.max("squares").alias("most")).first()
-    n_asked = asked.count()
-    most = float(facts.most)
-    lifted = lambda x: np.column_stack([x, np.sqrt(np.maximum(0, most - (x * x).sum(axis=1)))])
-    mean, projection = learn_rotation(lifted(np.array([r.x for r in sample if len(r.x) == dim])))
+    n_asked, most = asked.count(), float(facts.most)
+    known = np.array([r.x for r in sample if len(r.x) == dim])
+    mean, projection = learn_rotation(lift(known, most))
+    slack, radius = measured(known, most, mean, projection, top)
     blocks, groups = -(-facts.n // BLOCK_ROWS), max(1, -(-n_asked // QUERY_ROWS))
     packed = lambda df, n, name: df.withColumn(name, F.pmod(F.xxhash64("vec_id"), F.lit(n))).groupBy(name).agg(F.collect_list("vec_id").alias(f"{name}_ids"), F.flatten(F.collect_list("x")).alias(f"{name}_x"))
     spread = packed(asked, groups, "q").withColumn("d", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
@@ -141,12 +184,17 @@ def search(table: DataFrame, queries: DataFrame, top: int = TOP, key: str = "vec
             for row in range(batch.num_rows):
                 d_ids, d_x, q_ids, q_x = (batch.column(i)[row].values.to_numpy(zero_copy_only=False) for i in range(4))
                 x, q = d_x.reshape(-1, dim), q_x.reshape(-1, dim)
-                index = Index(codes_of(lifted(x), mean, projection))
-                codes = codes_of(np.column_stack([q, np.zeros(len(q))]) * np.sqrt(most) / np.linalg.norm(q, axis=1)[:, None], mean, projection)
-                found = [nearest(q[i], q_ids[i], codes[i], index, d_ids, x, np.linalg.norm(q[i]) * np.sqrt(most), top) for i in range(len(q))]
+                index = Index(codes_of(lift(x, most), mean, projection))
+                codes, reach = codes_of(lift_query(q, most), mean, projection), np.linalg.norm(q, axis=1) * np.sqrt(most)
+                found = [nearest(q[i], q_ids[i], codes[i], index, d_ids, x, reach[i], top, slack, radius) for i in range(len(q))]
+                if scored:
+                    yield pa.RecordBatch.from_arrays([pa.array(q_ids), pa.array([f[2] for f in found], pa.int64()), pa.array([len(x)] * len(q), pa.int64())], ["query_id", "n_scored", "n_rows"])
+                    continue
                 sizes = [len(f[0]) for f in found]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, sizes)), pa.array(np.concatenate([f[0] for f in found]).astype(np.int64)), pa.array(np.concatenate([f[1] for f in found]))], ["query_id", "vec_id", "score"])
 
+    if scored:
+        return pairs.mapInArrow(run, out).groupBy("query_id").agg(F.sum("n_scored").alias("n_scored"), F.sum("n_rows").alias("n_rows"))
     best = pairs.mapInArrow(run, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")  # top rows a block at most
     return best.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")

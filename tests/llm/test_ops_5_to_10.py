@@ -239,3 +239,22 @@ def test_recall_on_the_embeddings(spark):
         s = (x * x[at[r.query_id]]).sum(axis=1)
         hits += len(set(r.v) & {v for v in ids[np.lexsort((ids, -s))] [:21] if v != r.query_id})
     assert hits >= 0.9 * 20 * len(found)
+    shares = neighbours.search(df, df.where("vec_id % 20 = 0"), scored=True).agg(F.sum("n_scored").alias("n"), F.sum("n_rows").alias("all")).first()
+    print("share scored", shares.n / shares["all"], "recall", hits / 20 / len(found))
+    assert shares.n < 0.4 * shares["all"]  # random vectors in 64 dimensions are near none in particular
+
+
+def test_probes_retrieve_all_within_a_radius_and_rows_come_from_probes(monkeypatch):
+    rng = np.random.default_rng(3)
+    codes = rng.integers(0, 256, (3000, 8), dtype=np.uint8)
+    codes[:200] = codes[0] ^ (1 << rng.integers(0, 8, (200, 8))).astype(np.uint8) * (rng.random((200, 8)) < 0.4)
+    index = neighbours.Index(codes)
+    bits = np.unpackbits(codes[:, None] ^ codes[None, :5], axis=2).sum(axis=2)
+    for q in range(5):
+        for radius in (0, 1, 5, 7, 8, 15, 20, 27, 40, 64):
+            assert index.within(codes[q], radius)[0].tolist() == np.flatnonzero(bits[:, q] <= radius).tolist()
+        assert len(index.probed(codes[q], 7)) < 0.1 * len(codes)
+    x = rng.standard_normal((3000, 16))
+    monkeypatch.setattr(neighbours.Index, "probed", lambda self, code, radius: np.arange(30, 60))
+    found = neighbours.nearest(x[0], 0, codes[0], index, np.arange(3000), x, 100.0, 20, 1.0, 30)
+    assert set(found[0]) <= set(range(30, 60))
