@@ -8,8 +8,11 @@ neighbour, the round also merges the row's later pairs of the same rank that don
 would be the very next rounds. Else it merges one.
 
 A text is cut where a space follows a character that isn't white space. No match crosses such a cut
-and no lookahead sees past it, so each stretch between cuts is encoded once and remembered by its text.
-What is remembered is bounded.
+and no lookahead sees past it, so each stretch between cuts is encoded once and its ids are remembered by its text.
+What is remembered is bounded. This holds for the default pattern; by any other, texts are encoded whole.
+
+Decoding starts from a document's ids alone: their tokens lie one after another in one array of bytes, from
+which a gather by starts and lengths takes all bytes of many documents at once.
 
 Defined results: a null or empty text has no ids, and the digests of the empty string. Decoding gives
 back the UTF-8 bytes of every text exactly.
@@ -99,6 +102,9 @@ class ByteBPE:
         self.tokens = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
+        self.lengths = np.fromiter(map(len, self.tokens), np.int64, len(self.tokens))
+        self.begins = np.cumsum(self.lengths) - self.lengths
+        self.bytes = np.frombuffer(b"".join(self.tokens), np.uint8)
 
     def encode_pieces(self, pieces: Iterable[bytes]) -> dict[bytes, list[int]]:
         """Ids of each distinct match."""
@@ -172,8 +178,18 @@ class ByteBPE:
         known = self.encode_pieces(pieces)
         return [i for p in pieces for i in known[p]]
 
-    def decode(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+    def decode(self, ids: np.ndarray) -> bytes:
+        return self.decode_many(ids, [len(ids)])[0]
+
+    def decode_many(self, ids: np.ndarray, counts: list[int]) -> list[bytes]:
+        """The bytes of documents whose ids stand one after another, so many each."""
+        sizes = self.lengths[ids]
+        ends = np.cumsum(sizes)
+        at = np.repeat(self.begins[ids] - ends + sizes, sizes)
+        at += np.arange(len(at))
+        raw = self.bytes[at].tobytes()
+        stops = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])].tolist()
+        return [raw[a:b] for a, b in zip(stops, stops[1:])]
 
 
 def stretches(text: str) -> list[str]:
@@ -185,10 +201,10 @@ def stretches(text: str) -> list[str]:
 
 
 class Memo:
-    """Ids (as decimal text) and decoded bytes by stretch: of first stretches, and of those led by a space."""
+    """Ids by stretch, as decimal text and as 32-bit numbers: of first stretches, and of those led by a space."""
 
-    def __init__(self, bpe: ByteBPE):
-        self.bpe = bpe
+    def __init__(self, bpe: ByteBPE, cuts: bool = True):
+        self.bpe, self.cut = bpe, stretches if cuts else lambda text: [text]
         self.first, self.others = Remembered(50_000), Remembered(400_000)
 
     def learn(self, firsts: set[str], others: set[str]) -> None:
@@ -197,18 +213,24 @@ class Memo:
         known = self.bpe.encode_pieces(chain.from_iterable(split))
         for (memory, x, _), pieces in zip(new, split):
             ids = list(chain.from_iterable(map(known.__getitem__, pieces)))
-            memory[x] = ",".join(map(str, ids)), self.bpe.decode(ids)
+            memory[x] = ",".join(map(str, ids)), np.array(ids, "<i4").tobytes()
 
-    def both(self, parts: list[str]) -> tuple[str, bytes]:
+    def ids(self, parts: list[str]) -> tuple[str, bytes]:
+        """(decimal ids joined by commas, the ids) of a text cut into stretches that are known."""
         found = [self.first[parts[0]]] if parts[0] else []
         found += map(self.others.__getitem__, parts[1:])
-        ids, raw = zip(*found) if found else ((), ())
-        return ",".join(ids), b"".join(raw)
+        listed, raw = zip(*found) if found else ((), ())
+        return ",".join(listed), b"".join(raw)
+
+    def encode_many(self, texts: list[str]) -> list[tuple[str, bytes]]:
+        cut = [self.cut(x) for x in texts]
+        self.learn({c[0] for c in cut if c[0]}, set(chain.from_iterable(c[1:] for c in cut)))
+        return [self.ids(parts) for parts in cut]
 
 
 def loaded(path: str, pattern: str) -> Memo:
     """One per worker process."""
-    return held((Memo, path, pattern), lambda: Memo(ByteBPE(load_ranks(path), pattern)))
+    return held((Memo, path, pattern), lambda: Memo(ByteBPE(load_ranks(path), pattern), pattern == public_tokenizers.PATTERN))
 
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -222,15 +244,11 @@ def encode_decode(docs: DataFrame, vocabulary: str | None = None, pattern: str =
         memo = loaded(path, pattern)
         for batch in batches:
             for start, texts in slices(batch):
-                cut = [stretches(x) for x in texts]
-                memo.learn({c[0] for c in cut if c[0]}, set(chain.from_iterable(c[1:] for c in cut)))
-                counts, ids_sums, decoded_sums = [], [], []
-                for parts in cut:
-                    ids, raw = memo.both(parts)
-                    counts.append(ids.count(",") + 1 if ids else 0)
-                    ids_sums.append(hashlib.sha256(ids.encode()).hexdigest())
-                    decoded_sums.append(hashlib.sha256(raw).hexdigest())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), pa.array(counts, pa.int64()), pa.array(ids_sums), pa.array(decoded_sums)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                known = memo.encode_many(texts)
+                counts = [len(raw) // 4 for _, raw in known]
+                decoded = memo.bpe.decode_many(np.frombuffer(b"".join(raw for _, raw in known), "<i4"), counts)
+                sums = [[hashlib.sha256(x).hexdigest() for x in xs] for xs in ((listed.encode() for listed, _ in known), decoded)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), pa.array(counts, pa.int64()), *map(pa.array, sums)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(run, SCHEMA)
 

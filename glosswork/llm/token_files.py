@@ -70,7 +70,9 @@ class WordEncoder:
     stop or comma, so stretches between these can be encoded alone. ASCII texts are lower-cased first, as
     the vocabulary does itself. New stretches go to the library together: those of Latin letters only are
     one word each, whose last id ends a word; the others are parted by a sign whose id nothing else yields,
-    and stretches that hold the sign go one by one.
+    and stretches that hold the sign go one by one. So do, as they hold it, those in which one of the vocabulary's
+    special tokens is spelt out, which the library takes for that token; no such token holds white space, a full stop or
+    a comma, so none is cut, and case is left to the library where a text may hold one.
     """
 
     SIGN = "|"
@@ -81,8 +83,11 @@ class WordEncoder:
 
         self.known = Remembered()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         size = self.tokenizer.get_vocab_size()
+        special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        if any(self.SIGN not in x or self._cut(x) != [x] for x in special):
+            raise ValueError("the vocabulary has special tokens that stretches would cut")
+        self.opening = [x[:x.index(self.SIGN) + 1].lower() for x in special]
         self.bits = max(1, (size - 1).bit_length())
         self.sign_id = self.tokenizer.encode(self.SIGN, add_special_tokens=False).ids[0]
         self.ends = np.zeros(size, bool)
@@ -116,8 +121,12 @@ class WordEncoder:
     def _cut(self, text: str) -> list[str]:
         return self._STOP.sub(r" \g<0>", text.replace("\n", " ").replace("\r", " ").replace("\t", " ")).split(" ")
 
+    def _lowered(self, text: str) -> str:
+        lower = text.lower()
+        return text if any(x in lower for x in self.opening) else lower
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self._cut(x.lower() if x.isascii() else x) for x in texts]
+        cut = [self._cut(self._lowered(x) if x.isascii() else x) for x in texts]
         self.learn(set(chain.from_iterable(cut)))
         return [b"".join(map(self.known.__getitem__, c)) for c in cut]
 
@@ -127,27 +136,30 @@ def loaded(path: str) -> WordEncoder:
     return held((WordEncoder, path), lambda: WordEncoder(path))
 
 
-BLOCK = "shard long, block long, bits int, n_ids long, doc_ids array<long>, offsets array<long>, packed binary"
-_BLOCK = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("bits", pa.int32()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64())), ("packed", pa.binary())])
+BLOCK = "shard long, block long, before long, bits int, n_ids long, doc_ids array<long>, offsets array<long>, packed binary"
+_BLOCK = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("before", pa.int64()), ("bits", pa.int32()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64())), ("packed", pa.binary())])
 
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = END_ID) -> None:
     """Encodes every text and writes its ids, ended by end_id, in ascending doc_id order.
 
-    The order comes from one range exchange of (doc_id, text); a shard is one of its partitions.
+    The order comes from one range exchange of (doc_id, text), in which rows of one doc_id, or of none, may be dealt
+    by how their texts begin; a shard is one of its partitions. A block knows how many ids lie before it in its shard.
     """
     words = vocabulary or public_tokenizers.path(VOCABULARY)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard, number = loaded(words), TaskContext.get().partitionId(), 0
+        encoder, shard, number, before = loaded(words), TaskContext.get().partitionId(), 0, 0
+        if not 0 <= end_id < 1 << encoder.bits:
+            raise ValueError(f"the end id {end_id} takes more than {encoder.bits} bits")
         end = np.array([end_id], "<u4").tobytes()
         doc_ids, parts, offsets = [], [], [0]
 
         def close():
-            nonlocal number
+            nonlocal number, before
             packed = pack(np.frombuffer(b"".join(parts), "<u4"), encoder.bits)
-            row = [shard, number, encoder.bits, offsets[-1], list(doc_ids), list(offsets), packed]
-            number += 1
+            row = [shard, number, before, encoder.bits, offsets[-1], list(doc_ids), list(offsets), packed]
+            number, before = number + 1, before + offsets[-1]
             doc_ids.clear(), parts.clear()
             offsets[:] = [0]
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _BLOCK)], schema=_BLOCK)
@@ -165,22 +177,21 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end_
             yield close()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = rows.repartitionByRange("doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
     rows.mapInArrow(blocks, BLOCK).write.option("compression", "zstd").parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """The blocks of a folder of token files, each with `base`: how many ids lie before it.
 
-    Totals of shards, one row each, are summed in shard order; blocks are summed within their shard.
+    Blocks are read where they are; what is broadcast is one total for each shard, of which there are no more than the
+    writing exchange has partitions. Their sums in shard order are taken in one task.
     """
     files = spark.read.schema(BLOCK).parquet(path)
     totals = files.groupBy("shard").agg(F.sum("n_ids").alias("ids"))
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    shards = totals.select("shard", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("shard_base"))
-    inside = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = files.select("shard", "block", F.coalesce(F.sum("n_ids").over(inside), F.lit(0)).alias("in_shard")).join(shards, "shard")
-    return files.join(starts.select("shard", "block", (F.col("shard_base") + F.col("in_shard")).alias("base")), ["shard", "block"])
+    earlier = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    shards = totals.select("shard", F.coalesce(F.sum("ids").over(earlier), F.lit(0)).alias("shard_base"))
+    return files.join(F.broadcast(shards), "shard").withColumn("base", F.col("shard_base") + F.col("before")).drop("shard_base")
 
 
 FACTS = "doc_id long, start long, n_tokens long, ids_crc32 long"

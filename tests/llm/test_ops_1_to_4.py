@@ -131,11 +131,9 @@ def test_bpe_on_odd_characters():
     texts = ["".join(rng.choice("ab 's \n\t\r\x0b\x1c\x85  　é1٣二Ⅷ!?\U0001f600́") for _ in range(rng.randrange(60))) for _ in range(400)]
     texts += [f"a{chr(c)}b {chr(c)} " for c in [*range(0xD800), *range(0xE000, 0x3400)]]
     for text in texts:
-        parts = byte_bpe.stretches(text)
-        memo.learn({parts[0]} - {""}, set(parts[1:]))
-        ids, raw = memo.both(parts)
+        (ids, raw), = memo.encode_many([text])
         assert ids == ",".join(map(str, known.encode_ordinary(text))), ascii(text)
-        assert raw == text.encode()
+        assert memo.bpe.decode(np.frombuffer(raw, "<i4")) == text.encode()
 
 
 def test_bpe_merges_one_at_a_time_where_ranks_do_not_rise():
@@ -159,7 +157,6 @@ def test_packing(bits):
 
 def test_token_files(spark, folder, monkeypatch):
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     start = 0
     for text, r in by_id(token_files.op4_token_files(spark, folder)):
         ids = t.encode(text, add_special_tokens=False).ids + [1]
@@ -169,7 +166,6 @@ def test_token_files(spark, folder, monkeypatch):
 
 def test_token_stretches_match_whole_texts():
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     encoder, rng = token_files.WordEncoder(public_tokenizers.path("word_bpe_49k.json")), random.Random(5)
     texts = ["".join(rng.choice("ab 's \n\t\r\x0b\x1c\x85  é1٣二ΣσΟ!?\U0001f600́İ") for _ in range(rng.randrange(60))) for _ in range(400)]
     for text, got in zip(texts, encoder.encode(texts)):
@@ -184,3 +180,41 @@ def test_random_access(spark, folder, tmp_path):
         for k, doc_id in enumerate(row.doc_ids):
             want = encoder.encode([TEXTS[(doc_id - 1) // 3] or ""])[0]
             assert token_files.document_ids(row.asDict(), k).astype("<u4").tobytes() == want + b"\1\0\0\0"
+
+
+def test_decoding_from_ids_alone():
+    bpe = byte_bpe.ByteBPE(byte_bpe.load_ranks(public_tokenizers.path(byte_bpe.VOCABULARY)), public_tokenizers.PATTERN)
+    ids = [np.random.default_rng(i).integers(0, len(bpe.tokens), n) for i, n in enumerate((0, 5, 0, 900, 1))]
+    want = [b"".join(bpe.tokens[i] for i in x) for x in ids]
+    assert bpe.decode_many(np.concatenate(ids), [len(x) for x in ids]) == want and bpe.decode(np.empty(0, np.int64)) == b""
+
+
+def test_another_pattern_takes_texts_whole():
+    ranks = byte_bpe.load_ranks(public_tokenizers.path(byte_bpe.VOCABULARY))
+    pattern = r"\S+\s+\S+|\s+|\S+"
+    known = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    memo = byte_bpe.loaded(public_tokenizers.path(byte_bpe.VOCABULARY), pattern)
+    for text in ("some words stand here", "", " two  spaces"):
+        assert memo.encode_many([text])[0][0] == ",".join(map(str, known.encode_ordinary(text)))
+
+
+def test_a_long_match_without_a_break():
+    rng, known = random.Random(8), reference_encoding()
+    bpe = byte_bpe.ByteBPE(byte_bpe.load_ranks(public_tokenizers.path(byte_bpe.VOCABULARY)), public_tokenizers.PATTERN)
+    text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3000))
+    assert bpe.encode(text) == known.encode_ordinary(text)
+
+
+def test_end_id_that_does_not_fit(spark, folder, tmp_path):
+    with pytest.raises(Exception, match="end id"):
+        token_files.write_tokens(spark.read.parquet(f"{folder}/documents.parquet"), str(tmp_path / "t"), end_id=1 << 20)
+
+
+def test_rows_without_an_id_come_first(spark, tmp_path):
+    rows = [(None, f"text {i:03d}") for i in range(60)] + [(1, "one"), (1, "another"), (0, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(((r.start, r.doc_id, r.n_tokens) for r in token_files.op4_token_files(spark, str(tmp_path)).collect()))
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = [x for _, x in rows[:60]] + ["", "another", "one"]
+    assert [n for _, _, n in got] == [len(t.encode(x, add_special_tokens=False).ids) + 1 for x in texts]
+    assert [d for _, d, _ in got] == [None] * 60 + [0, 1, 1]
