@@ -16,10 +16,13 @@ SLICE_CHARS = 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (tests) one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a folder of this machine
+    will do if driver and executors are one process, as in tests; on a cluster that is an error."""
     sc = spark.sparkContext
     where = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not where:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="glosswork-")
         sc.setCheckpointDir(where)
     return where.rstrip("/")

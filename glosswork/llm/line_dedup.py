@@ -11,7 +11,10 @@ lines that share no half with another line are set aside exactly. Each that rema
 all its sequences with one word left out as hashed keys. Two lines within the bound share a key: of a
 deletion at one place (a replaced word), or of one line's deletion and the other's whole (an added word).
 The earliest line of each key is found by aggregation, which combines before the shuffle, so no key's
-lines are paired with each other; each line's earliest partner is then verified on the words themselves.
+lines are paired with each other; a line's earliest partner by each of its keys is then verified on the words
+themselves, so that a false one by one key hides no true one by another.
+
+A row travels as one struct beside the operator's own columns, so its columns may have any names.
 
 Defined results: a null or empty text stays empty; rows with equal doc_id and text share their fate; null
 doc_id comes first; an empty table gives no rows. A text without a dropped line is returned unchanged.
@@ -22,11 +25,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table_of, whole_text
+from .common import drop_stored, stored, table_of, whole_text
 
 MIN_WORDS = 5
-#: Keys of eight or twelve bytes that are broadcast; more are joined by shuffle.
-BROADCAST_KEYS = 1_000_000
+#: Tables of keys are broadcast up to so many bytes, counted before; larger ones are joined by shuffle, with equal results.
+BROADCAST_BYTES = 12_000_000
 _NO_ID = -(2**63)
 
 
@@ -103,9 +106,15 @@ def exploded(docs: DataFrame, min_words: int, equal_words: int) -> DataFrame:
     return lines.select("*", F.xxhash64("norm").alias("h1"), F.hash("norm").alias("h2"), F.when(_has_words(F.col("norm"), min_words), _halves()).alias("halves"))
 
 
+def _sized(table: DataFrame) -> DataFrame:
+    """A written table of numbers, marked for broadcast if all its rows are few enough bytes."""
+    width = sum(f.dataType.jsonValue() == "long" and 8 or 4 for f in table.schema if f.dataType.typeName() != "struct") + 24 * sum(f.dataType.typeName() == "struct" for f in table.schema)
+    return F.broadcast(table) if table.count() * width <= BROADCAST_BYTES else table
+
+
 def _among(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
-    """The rows whose key is in a written table; a short one is broadcast, a longer one joined by shuffle."""
-    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, on, "left_semi")
+    """The rows whose key is in a written table."""
+    return rows.join(_sized(keys), on, "left_semi")
 
 
 def near_earlier(lines: DataFrame) -> DataFrame:
@@ -124,45 +133,58 @@ def near_earlier(lines: DataFrame) -> DataFrame:
     places = places.where("p > 0").withColumnRenamed("m", "replaced")
     here = members.join(groups, "v").join(places, ["v", "p"], "left")
     partner = F.when(F.col("p") == 0, F.col("deleted")).otherwise(F.least("whole", "replaced"))
-    found = here.select("h1", "own", partner.alias("partner")).where("partner < own and partner.h1 <> h1").groupBy("h1").agg(F.min("partner").alias("partner"))
-    pairs = found.select("h1", F.col("partner.h1").alias("other"))
+    found = here.select("h1", "own", partner.alias("partner")).where("partner < own and partner.h1 <> h1")
+    pairs = found.select("h1", F.col("partner.h1").alias("other")).distinct()  # as many as the line has keys, at most
     text = left.select("h1", "h2", "norm")
     pairs = pairs.join(text, "h1").join(text.select(F.col("h1").alias("other"), F.col("norm").alias("other_norm")), "other")
     return pairs.where(within_one_word(_words(), _words("other_norm"))).select("h1", "h2").distinct()
 
 
-def judged(docs: DataFrame, min_words: int = MIN_WORDS, equal_words: int = MIN_WORDS) -> DataFrame:
-    """docs (any columns with doc_id and text) with kept_text, n_lines and n_dropped."""
-    keyed = docs.withColumns({"did": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), "th": F.xxhash64(whole_text())})
-    plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("did"), F.xxhash64(whole_text()).alias("th"), whole_text().alias("text"))
-    lines = stored(exploded(plain, min_words, equal_words), "lines")
+def judged(docs: DataFrame, min_words: int = MIN_WORDS, equal_words: int = 1) -> DataFrame:
+    """(row, doc_id, kept_text, n_lines, n_dropped) of docs (any columns with doc_id and text), row being a struct of all."""
+    did, th = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("did"), F.xxhash64(whole_text()).alias("th")
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), did, th)
+    lines = stored(exploded(docs.select(did, th, whole_text().alias("text")), min_words, equal_words), "lines")
     repeated = lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2", F.lit(False).alias("near"))
     near = near_earlier(lines.where("halves is not null")).withColumn("near", F.lit(True))
     marks = stored(repeated.union(near).groupBy("h1", "h2").agg(F.max("near").alias("near")), "lines-marked")
-    placed = lines.select("did", "th", "pos", "h1", "h2").join(F.broadcast(marks) if marks.count() <= BROADCAST_KEYS else marks, ["h1", "h2"])
-    placed = stored(placed, "lines-placed")
+    placed = stored(lines.select("did", "th", "pos", "h1", "h2").join(_sized(marks), ["h1", "h2"]), "lines-placed")
     # written first, so that the join has two plain inputs and a hot line can be split or meets a broadcast
     firsts = stored(placed.groupBy("h1", "h2").agg(F.min(F.struct("did", "pos", "th")).alias("first")), "lines-first")
-    gone = placed.join(F.broadcast(firsts) if firsts.count() <= BROADCAST_KEYS else firsts, ["h1", "h2"]).where("near or struct(did, pos, th) <> first").select("did", "th", "pos").distinct()
-    lists = gone.groupBy("did", "th").agg(F.sort_array(F.collect_list("pos")).alias("gone"))
+    gone = placed.join(_sized(firsts), ["h1", "h2"]).where("near or struct(did, pos, th) <> first").select("did", "th", "pos").distinct()
+    lists = stored(gone.groupBy("did", "th").agg(F.sort_array(F.collect_list("pos")).alias("gone")), "lines-gone")
+    drop_stored(lines, marks, placed, firsts)
     joined = keyed.join(lists, ["did", "th"], "left")
-    parts = F.split(whole_text(), "\n", -1)
+    text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
+    parts = F.split(text, "\n", -1)
     # pieces between dropped lines, so that a long document is filtered in one pass
     edges = F.array_union(F.array(F.lit(-1)), F.col("gone"))
     pieces = F.zip_with(edges, F.concat(F.col("gone"), F.array(F.size(parts))), lambda a, b: F.slice(parts, a + 2, b - a - 1))
-    kept = F.when(F.col("gone").isNull(), whole_text()).otherwise(F.array_join(F.flatten(pieces), "\n"))
-    return joined.withColumns({"kept_text": kept, "n_lines": F.size(parts).cast("long"), "n_dropped": F.coalesce(F.size("gone"), F.lit(0)).cast("long")}).drop("did", "th", "gone")
+    kept = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(F.flatten(pieces), "\n"))
+    return joined.select("row", F.col("row.doc_id").alias("doc_id"), kept.alias("kept_text"), F.size(parts).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"))
 
 
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The documents with the lines that stay; those that lose every line go. Columns as before."""
-    names = docs.columns
-    kept = judged(docs, min_words, 1).where("n_dropped < n_lines")
-    changed = F.when(F.col("n_dropped") == 0, F.col("text")).otherwise(F.col("kept_text"))
-    return kept.withColumn("text", changed).withColumn("n_chars", F.length("text").cast("long")).select(*names) if "n_chars" in names else kept.withColumn("text", changed).select(*names)
+    kept = judged(docs, min_words).where("n_dropped < n_lines")
+    text = F.when(F.col("n_dropped") == 0, F.col("row")["text"]).otherwise(F.col("kept_text"))
+    new = {"text": text, "n_chars": F.length(text).cast("long")}
+    return kept.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the number of its lines, of those dropped, and the digest of what is left."""
     docs = table_of(spark, sf_dir, "documents").select("doc_id", "text")
-    return judged(docs, equal_words=1).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+    return judged(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+#: The same by whole sequences in place of hashes: every variant of every line with a word left out is written out.
+ORACLE_SQL = r"""
+WITH l AS (SELECT coalesce(doc_id, -9223372036854775808) AS did, doc_id, i - 1 AS pos, parts[i] AS line, trim(regexp_replace(lower(parts[i]), '[ \t\r\v\f]+', ' ', 'g'), ' ') AS norm
+ FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS i FROM documents)),
+firsts AS (SELECT norm, min((did, pos)) AS own, string_split(norm, ' ') AS w FROM l WHERE norm <> '' GROUP BY norm),
+v AS (SELECT norm, own, p, CASE WHEN p = 0 THEN norm ELSE array_to_string(w[1:p - 1] || w[p + 1:], ' ') END AS key FROM (SELECT *, unnest(range(0, len(w) + 1)) AS p FROM firsts WHERE len(w) >= 5)),
+near AS (SELECT DISTINCT a.norm FROM v a JOIN v b ON a.key = b.key AND a.norm <> b.norm AND b.own < a.own AND ((a.p = 0) <> (b.p = 0) OR a.p = b.p)),
+marked AS (SELECT *, norm <> '' AND (norm IN (SELECT norm FROM near) OR row_number() OVER (PARTITION BY norm ORDER BY did, pos) > 1) AS gone FROM l)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256 FROM marked GROUP BY doc_id
+"""

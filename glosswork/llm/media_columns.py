@@ -4,6 +4,10 @@ HTML is parsed into one ordered list of structs, text runs and media references
 store holds each payload under the digest of its bytes; a join on the digest resolves references, and
 position and caption stay with the reference they were parsed with.
 
+Elements that pages leave open end where their kind allows: a head at the first element of a body, a caption at the next
+block or the figure's end; a template or noscript without an end tag hides nothing. The caption of a figure without
+media is text.
+
 Defined results: null HTML gives an empty sequence; a reference without a stored payload keeps its
 place with null payload columns; repeated references each get the payload; equal payloads, under any
 number of documents, are one digest. A null or empty text is stored as one blank row of 192 bytes.
@@ -12,7 +16,9 @@ number of documents, are one digest. A null or empty text is stored as one blank
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -29,19 +35,24 @@ SCHEME = "media:sha256:"
 SEQUENCE = "array<struct<position:int,kind:string,text:string,digest:string,caption:string>>"
 _ITEM = pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string())])
 #: HTML elements whose text is no prose, and those that end a run of text (fixed values).
-SILENT = {"script", "style", "template", "noscript", "head", "title"}
+SILENT = {"script", "style", "template", "noscript", "title"}
 BLOCKS = {"p", "div", "article", "section", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "table", "tr", "td", "th", "blockquote", "pre", "figure", "br", "hr", "nav", "header", "footer", "main", "aside", "body", "html"}
 MEDIA = {"img", "video", "audio", "source", "embed"}
 
 
+_END = re.compile(r"</\s*(template|noscript|figcaption)\b", re.I)
+
+
 class _Sequencer(HTMLParser):
     """Collects text runs and media references in document order."""
 
-    def __init__(self):
+    def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
         self.items: list[dict] = []
         self._run: list[str] = []
-        self._silent = 0
+        self._ends = Counter(m[1].lower() for m in _END.finditer(html))  # end tags to come
+        self._silent: list[str] = []
+        self._head = False
         self._caption: list[str] | None = None
         self._figure_from: int | None = None
 
@@ -51,10 +62,34 @@ class _Sequencer(HTMLParser):
         if text:
             self.items.append({"kind": "text", "text": text, "digest": None, "caption": None})
 
+    def _end_caption(self):
+        if self._caption is None:
+            return
+        caption, self._caption = " ".join("".join(self._caption).split()), None
+        media = [x for x in self.items[self._figure_from or 0:] if x["kind"] == "media"]
+        for item in media:
+            if caption:
+                item["caption"] = caption
+        if caption and not media:
+            self.items.append({"kind": "text", "text": caption, "digest": None, "caption": None})
+
+    def end(self):
+        """What is open at the end of the page."""
+        self.close()
+        self._end_caption()
+        self._flush()
+
     def handle_starttag(self, tag, attrs):
         if tag in SILENT:
-            self._silent += 1
+            if tag not in ("template", "noscript") or self._ends[tag] > self._silent.count(tag):
+                self._silent.append(tag)
+        elif tag == "head":
+            self._head = True
+        elif tag in BLOCKS or tag in MEDIA:
+            self._head = False
         if tag in BLOCKS:
+            if not self._ends["figcaption"]:
+                self._end_caption()
             self._flush()
         if tag == "figure":
             self._figure_from = len(self.items)
@@ -70,33 +105,37 @@ class _Sequencer(HTMLParser):
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
-        if tag in SILENT:
-            self._silent -= 1
+        if self._silent and self._silent[-1] == tag:
+            self._silent.pop()
 
     def handle_endtag(self, tag):
+        if tag in self._ends:
+            self._ends[tag] -= 1
         if tag in SILENT:
-            self._silent = max(0, self._silent - 1)
-        elif tag == "figcaption" and self._caption is not None:
-            caption, self._caption = " ".join("".join(self._caption).split()), None
-            for item in self.items[self._figure_from or 0:]:
-                if item["kind"] == "media" and caption:
-                    item["caption"] = caption
+            if tag in self._silent:
+                del self._silent[len(self._silent) - 1 - self._silent[::-1].index(tag)]
+        elif tag == "head":
+            self._head = False
+        elif tag == "figcaption":
+            self._end_caption()
         elif tag == "figure":
+            self._end_caption()
             self._figure_from = None
         if tag in BLOCKS:
+            if self._caption is not None and not self._ends["figcaption"]:
+                self._end_caption()
             self._flush()
 
     def handle_data(self, data):
-        if not self._silent:
+        if not self._silent and not self._head:
             (self._run if self._caption is None else self._caption).append(data)
 
 
 def sequence_of(html: str | None) -> list[dict]:
     """The ordered structs of one page. A figure's caption goes to every reference inside the figure."""
-    parser = _Sequencer()
+    parser = _Sequencer(html or "")
     parser.feed(html or "")
-    parser.close()
-    parser._flush()
+    parser.end()
     return [{"position": i, **item} for i, item in enumerate(parser.items)]
 
 
@@ -115,13 +154,15 @@ def interleave(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
 
 
 def resolve(sequences: DataFrame, key: str, store: DataFrame) -> DataFrame:
-    """One row per sequence item, in place, with the store's columns for its digest (left join on the digest).
+    """One row per sequence item, in place, with the store's columns for its digest (left join on the digest). The columns
+    of an item win over columns of the store with the same names.
 
     The store has one row per digest. A digest that a third of all rows refer to is a skewed join key
     with one row on the store's side, which adaptive execution splits on the references' side.
     """
     items = sequences.select(key, F.inline("sequence"))
-    return items.join(store.dropDuplicates(["digest"]), "digest", "left")
+    others = [c for c in store.columns if c == "digest" or c not in items.columns]
+    return items.join(store.select(*others).dropDuplicates(["digest"]), "digest", "left")
 
 
 def payload_column(text=None):

@@ -11,7 +11,8 @@ Only totals of sources and blocks are gathered; a document's share in the plan i
 hashes and its source's row, so hot sources are neither shuffled nor windowed.
 
 Defined results: a null source is the source of the empty string; texts without a word count no tokens, and
-a source without tokens is read once; an empty table gives no rows; ties in hashes go by doc_id.
+a source without tokens is read once; an empty table gives no rows; ties in hashes go by doc_id. A row travels as one
+struct, so its columns may have any names.
 """
 
 from __future__ import annotations
@@ -36,7 +37,8 @@ def _keys(df: DataFrame, seed: int) -> DataFrame:
 def exponent(totals: DataFrame, target_entropy: float | None, max_repeats: float, budget: float | None) -> float:
     """Bisects in [0, 1]; a pass judges all points that the next five halvings can ask for. totals: one row per source."""
     low, high = 0.0, 1.0
-    shares = totals.where("tokens > 0").select("tokens", (F.col("tokens") / F.sum("tokens").over(Window.partitionBy())).alias("share"))
+    whole = totals.agg(F.sum("tokens").alias("n")).first().n or 1
+    shares = totals.where("tokens > 0").select("tokens", (F.col("tokens") / F.lit(whole)).alias("share"))
     for _ in range(8):
         step = (high - low) / 32
         points = shares.select("tokens", "share", F.explode(F.array(*(F.lit(low + k * step) for k in range(33)))).alias("a"))
@@ -88,17 +90,19 @@ def plan(docs: DataFrame, tokens: Column, seed: int = SEED, target_entropy: floa
 
 
 def realised(docs: DataFrame, chosen: DataFrame, seed: int = SEED) -> DataFrame:
-    """docs with a row for each time a document is read: columns epoch (from 1) and read_order within its epoch.
+    """A row for each time a document is read: row (a struct of all its columns), epoch (from 1), block, read_order within
+    its epoch, and its source's weight and repeats.
 
     The plan has one row per source; whether it is broadcast is left to Spark's own check of its size.
     """
-    keyed = _keys(docs, seed).join(chosen.withColumnRenamed("src", "plan_src"), F.col("src") == F.col("plan_src"))
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", "source")
+    keyed = _keys(whole, seed).join(chosen.withColumnRenamed("src", "plan_src"), F.col("src") == F.col("plan_src"))
     before = F.col("block_order") < F.col("edge_block")
     at_edge = (F.col("block_order") == F.col("edge_block")) & (F.struct(F.col("doc_order"), F.col("doc_id")) <= F.struct(F.col("cut_order"), F.col("cut_id"))) & F.col("cut_order").isNotNull()
     part = F.when((F.col("rest") > 0) & (before | at_edge), 1).otherwise(0)
     times = F.col("epochs") + part
     out = keyed.where(times > 0).withColumn("epoch", F.explode(F.sequence(F.lit(1), times)))
-    return out.withColumn("read_order", F.xxhash64("block", F.lit(seed), "epoch"))
+    return out.select("row", "epoch", "block", F.xxhash64("block", F.lit(seed), "epoch").alias("read_order"), "weight", "repeats")
 
 
 def tokens_of(text: str = "text") -> Column:
@@ -108,11 +112,11 @@ def tokens_of(text: str = "text") -> Column:
 
 def mixed(docs: DataFrame, seed: int = SEED, **target) -> DataFrame:
     """The documents as the mix reads them, columns as before; a document read twice is there twice."""
-    return realised(docs, plan(docs, tokens_of(), seed, **target), seed).select(*docs.columns)
+    return realised(docs, plan(docs, tokens_of(), seed, **target), seed).select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as often as the mix reads it, with its source's weight and its place."""
     docs = table_of(spark, sf_dir, "documents").select("doc_id", "source", "text")
     chosen = plan(docs, tokens_of())
-    return realised(docs.drop("text"), chosen).select("doc_id", "source", "epoch", "block", "read_order", F.round("weight", 12).alias("weight"), "repeats")
+    return realised(docs.drop("text"), chosen).select("row.doc_id", "row.source", "epoch", "block", "read_order", F.round("weight", 12).alias("weight"), "repeats")

@@ -15,7 +15,7 @@ bucket of one large group costs its size, not its square.
 
 Defined results: texts without words have no shingles and link with nothing; fewer words than a shingle make
 one of all; a row without doc_id links with nothing and is kept; rows with equal doc_id are one
-node; an empty table gives no rows.
+node, which has the links of all their texts; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -157,14 +157,14 @@ def _signatures(column: pa.Array) -> np.ndarray:
 
 
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, text) of the documents in ids. A bitmap of SLOTS hashed ids, broadcast as at most SLOTS / 64 rows
+    """(id, text) of the documents in ids, a row for each different text of an id. A bitmap of SLOTS hashed ids, broadcast as at most SLOTS / 64 rows
     whatever the input, keeps most other texts out of the join by id; what it lets through, the join drops."""
     ids = stored(ids, "near-ids")
     slot, bit = F.pmod(F.xxhash64("id"), F.lit(SLOTS)), F.expr("shiftleft(1L, cast(slot % 64 as int))")
     words = ids.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), whole_text().alias("text")).withColumn("slot", slot).withColumn("word", F.shiftright("slot", 6))
     texts = texts.join(F.broadcast(words), "word").where(F.col("bits").bitwiseAND(bit) != 0).select("id", "text")
-    return texts.join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    return texts.join(ids, "id", "left_semi").groupBy("id", F.xxhash64("text").alias("of")).agg(F.min("text").alias("text")).select("id", "text")
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
@@ -269,7 +269,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, threshold: int) -> D
 
 def components(links: DataFrame) -> DataFrame:
     """(id, comp): least id reachable, for all ids in links (a, b). Minimum labels with pointer jumping."""
-    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    both = stored(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links-both")
     labels = stored(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("comp")).withColumnRenamed("a", "id"), "labels")
     while True:
         near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("comp").alias("near"))
@@ -278,6 +278,7 @@ def components(links: DataFrame) -> DataFrame:
         new = stored(lower.join(jump, "low", "left").select("id", F.least("low", "far").alias("comp"), (F.least("low", "far") < F.col("comp")).alias("moved")), "labels")
         drop_stored(labels)
         if new.where("moved").isEmpty():
+            drop_stored(both)
             return new.select("id", "comp")
         labels = new.select("id", "comp")
 
@@ -286,8 +287,11 @@ def classified(docs: DataFrame, size: int, threshold: int) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs."""
     prints = stored(fingerprints(docs, size), "near-prints")
     usable = prints.where("doc_id is not null and seq is not null")
-    reps = stored(usable.groupBy("seq").agg(F.min(F.struct("doc_id", "sig", "bands")).alias("r")).select("seq", F.col("r.doc_id").alias("id"), "r.sig", "r.bands").dropDuplicates(["id"]), "near-reps")
-    keyed = reps.select("id", F.explode("bands").alias("key"))
+    reps = stored(usable.groupBy("seq").agg(F.min(F.struct("doc_id", "sig", "bands")).alias("r")).select("seq", F.col("r.doc_id").alias("id"), "r.sig", "r.bands"), "near-reps")
+    # an id of several texts is one node: its texts' classes are linked, and those that it stands for itself are one already
+    of = usable.select("doc_id", "seq").join(reps.select("seq", "id"), "seq").groupBy("doc_id").agg(F.collect_set("id").alias("ids")).where("size(ids) > 1")
+    same = stored(of.select(F.explode("ids").alias("a"), F.array_min("ids").alias("b")).where("a <> b").distinct(), "near-same")
+    keyed = reps.select("id", F.explode("bands").alias("key")).distinct()
     prints_of = F.bit_xor(F.xxhash64("id")).alias("p"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("q")
     buckets = keyed.groupBy("key").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("n"), *prints_of).where("n > 1")
     buckets = stored(buckets.groupBy("pivot", "n", "p", "q").agg(F.min("key").alias("key")).select("key", "pivot", "n"), "near-buckets")
@@ -303,7 +307,7 @@ def classified(docs: DataFrame, size: int, threshold: int) -> DataFrame:
 
     pairs = members.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
     signed = pairs.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
-    links = confirmed(signed.select("a", "b", "sa", "sb").mapInArrow(screen, "a long, b long"), docs, size, threshold)
+    links = confirmed(signed.select("a", "b", "sa", "sb").mapInArrow(screen, "a long, b long").distinct(), docs, size, threshold).union(same)
     comps = components(links)
 
     # buckets with several components: members outside the least one's component against all others
@@ -319,8 +323,10 @@ def classified(docs: DataFrame, size: int, threshold: int) -> DataFrame:
         member = F.collect_list(F.struct("id", "comp", "out", "sig", "shingles"))
         whole = filled.where(F.col("n") <= CHUNK).groupBy("key").agg(member.alias("x")).select("x")
         chunked = filled.where(F.col("n") > CHUNK).withColumn("chunk", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / CHUNK)))
-        blocks = lambda df, name: df.groupBy("key", "chunk").agg(member.alias(name)).select("key", name)
-        meet = blocks(chunked.where("out"), "x").join(blocks(chunked, "y"), "key").select("x", "y")
+        blocks = lambda df, name: df.groupBy("key", "chunk", "n").agg(member.alias(name))
+        # a block meets another by the key of both, so the blocks of one bucket are dealt over tasks
+        others = F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / CHUNK) - 1))
+        meet = blocks(chunked.where("out"), "x").withColumn("chunk", others).join(blocks(chunked, "y").drop("n"), ["key", "chunk"]).select("x", "y")
 
         def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             let_go()

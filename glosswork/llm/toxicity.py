@@ -53,6 +53,17 @@ def _batch_risk(x: np.ndarray, w: np.ndarray, b: float, sign: float) -> tuple[fl
     return float(np.logaddexp(0, z).mean()) if len(x) else 0.0, x.T @ g, float(g.sum())
 
 
+def step_of(p: np.ndarray, u: np.ndarray, w: np.ndarray, b: float, prior: float) -> tuple[float, float, np.ndarray, float]:
+    """(risk of the confirmed as toxic, corrected risk as clean, direction for weights and for the bias): the gradient of
+    both terms, or backwards that of the second where it is below zero."""
+    rp, gp, bp = _batch_risk(p, w, b, 1.0)
+    rpn, gpn, bpn = _batch_risk(p, w, b, -1.0)
+    run, gun, bun = _batch_risk(u, w, b, -1.0)
+    if run - prior * rpn >= 0:
+        return prior * rp, run - prior * rpn, prior * gp + gun - prior * gpn, prior * bp + bun - prior * bpn
+    return prior * rp, run - prior * rpn, prior * gpn - gun, prior * bpn - bun
+
+
 def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, scale: np.ndarray, seed: int = 6) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the non-negative risk; rows are 0/1 presence, times the scale of each column."""
     rng = np.random.default_rng(seed)
@@ -65,13 +76,7 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, scale: np.
         for k in range(steps):
             p = positive[np.take(ps, np.arange(k * len(ps) // steps, max(k * len(ps) // steps + 1, (k + 1) * len(ps) // steps)), mode="wrap")] * scale
             u = unlabelled[us[k * BATCH:(k + 1) * BATCH]] * scale
-            _, gp, bp = _batch_risk(p, w, b, 1.0)
-            rpn, gpn, bpn = _batch_risk(p, w, b, -1.0)
-            run, gun, bun = _batch_risk(u, w, b, -1.0)
-            if run - prior * rpn >= 0:
-                g, gb = prior * gp + gun - prior * gpn, prior * bp + bun - prior * bpn
-            else:
-                g, gb = prior * gpn - gun, prior * bpn - bun
+            _, _, g, gb = step_of(p, u, w, b, prior)
             g = np.append(g + DECAY * w, gb)
             t += 1
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g

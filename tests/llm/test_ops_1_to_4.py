@@ -68,6 +68,26 @@ def test_sequence_order_and_captions(spark):
     assert [(r["kind"], r["text"], r["caption"], r["payload"] and bytes(r["payload"])) for r in rows] == [("text", "one", None, None), ("media", None, "cap", b"1"), ("text", "two", None, None), ("media", None, "y", b"2"), ("text", "three", None, None), ("media", "http://z/q.png", None, None), ("text", "only", None, None)]
 
 
+def test_open_elements():
+    seen = lambda html: [(x["kind"], x["text"] or x["digest"], x["caption"]) for x in media_columns.sequence_of(html)]
+    img = '<img src="media:sha256:aa">'
+    assert seen(f"<html><head><title>t</title><meta x><p>one</p>{img}") == [("text", "one", None), ("media", "aa", None)]
+    assert seen(f"<head><title>t</title></head><body>one") == [("text", "one", None)]
+    assert seen(f"<figure>{img}<figcaption>cap<p>two</p>three") == [("media", "aa", "cap"), ("text", "two", None), ("text", "three", None)]
+    assert seen(f"<figure>{img}<figcaption>cap</figure>after") == [("media", "aa", "cap"), ("text", "after", None)]
+    assert seen("<figure><figcaption>only words</figcaption></figure>x") == [("text", "only words", None), ("text", "x", None)]
+    assert seen(f"<noscript>one {img}<p>two") == [("text", "one", None), ("media", "aa", None), ("text", "two", None)]
+    assert seen("a<noscript>one</noscript>b<template>two</template>c") == [("text", "abc", None)]
+    assert seen(f"<figure><figcaption><p>in</p>side</figcaption>{img}</figure>") == [("text", "inside", None), ("media", "aa", None)]
+
+
+def test_store_with_clashing_names(spark):
+    pages = spark.createDataFrame([(1, '<p>one</p><img src="media:sha256:aa" alt="cap">')], "page_id long, html string")
+    store = spark.createDataFrame([("aa", "t", "c", "k", b"1")], "digest string, text string, caption string, kind string, payload binary")
+    rows = media_columns.resolve(media_columns.interleave(pages, "page_id"), "page_id", store).orderBy("position").collect()
+    assert [(r.kind, r.text, r.caption, r.payload and bytes(r.payload)) for r in rows] == [("text", "one", None, None), ("media", None, "cap", b"1")]
+
+
 def rsa_like():
     def tlv(tag, body):
         n = len(body)

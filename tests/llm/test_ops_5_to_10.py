@@ -56,6 +56,18 @@ def test_empty(spark, none):
     assert neighbours.search(*[spark.createDataFrame([], "vec_id long, embedding array<float>")] * 2).collect() == []
 
 
+def test_lines_oracle(spark, tmp_path, rows):
+    import duckdb
+
+    kept = {r[0]: r for r in rows if r[0] is not None}
+    spark.createDataFrame(list(kept.values()), SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    got = line_dedup.op5_line_dedup(spark, str(tmp_path))
+    rel = con.sql(line_dedup.ORACLE_SQL)
+    assert got.columns == rel.columns and sorted(map(tuple, got.collect())) == sorted(rel.fetchall())
+
+
 def near(a, b):
     a, b = sorted((a, b), key=len)
     if len(b) - len(a) > 1:
@@ -74,8 +86,8 @@ def test_lines(docs, rows):
                 judged.append((i, pos, ws))
     gone = {(i, pos) for k, (i, pos, ws) in enumerate(judged) if any(near(ws, o) for _, _, o in judged[:k])}
     assert len(gone) > 20
-    for r in line_dedup.judged(docs).collect():
-        kept = [x for pos, x in enumerate((r.text or "").split("\n")) if (r.doc_id, pos) not in gone]
+    for r in line_dedup.judged(docs, equal_words=5).collect():
+        kept = [x for pos, x in enumerate((r.row.text or "").split("\n")) if (r.doc_id, pos) not in gone]
         assert (r.n_dropped, r.kept_text) == (r.n_lines - len(kept), "\n".join(kept))
     left = line_dedup.without_repeats(docs)
     assert left.columns == docs.columns
@@ -177,6 +189,90 @@ def test_mixing(docs, rows):
     assert -(w * np.log(w)).sum() >= 0.999 * np.log(len(p)) - 1e-6
 
 
+def test_mixing_against_plain_python(docs, rows, spark):
+    """Weights, repeats and the very rows, from the operator's hashes and nothing else of it."""
+    distinct = list({r[0]: r for r in rows if r[0] is not None}.values())
+    table = spark.createDataFrame([(r[0], r[1], "en", r[3], None, "k", "c") for r in distinct], SCHEMA)
+    keys = {r.doc_id: r for r in mixing._keys(table.select("doc_id", "source"), mixing.SEED).collect()}
+    size = {r[0]: len((r[1] or "").split()) for r in distinct}
+    of = {r[0]: r[3] or "" for r in distinct}
+    tokens = Counter()
+    for i, n in size.items():
+        tokens[of[i]] += n
+    share = {s: n / sum(tokens.values()) for s, n in tokens.items() if n}
+    low, high = 0.0, 1.0
+
+    def most(a):
+        power = {s: p**a / p for s, p in share.items()}
+        return max(power.values()) / min(power.values())
+
+    for _ in range(40):
+        mid = (low + high) / 2
+        low, high = (mid, high) if most(mid) > 2 * (1 + 1e-12) else (low, mid)
+    a = 0.0 if most(0.0) <= 2 * (1 + 1e-12) else high
+    z = sum(tokens[s]**a for s in share)
+    whole = max(tokens[s] / tokens[s]**a for s in share) * z
+    want = Counter()
+    for s, n in tokens.items():
+        repeats = round(tokens[s]**a / z * whole / n, 9) if n else 1.0
+        epochs = int(repeats)
+        rest = int((repeats - epochs) * n)
+        left, full = rest, True
+        for i in sorted((i for i in of if of[i] == s), key=lambda i: (keys[i].block_order, keys[i].doc_order, i)):
+            want[i] += epochs
+            block = [j for j in of if of[j] == s and keys[j].block_order == keys[i].block_order]
+            before = sum(size[j] for j in of if of[j] == s and keys[j].block_order < keys[i].block_order)
+            upto = sum(size[j] for j in block if (keys[j].doc_order, j) <= (keys[i].doc_order, i))
+            inside = before + sum(size[j] for j in block) <= rest
+            want[i] += bool(rest and (inside or upto <= rest - before))
+    got = Counter(r.doc_id for r in mixing.mixed(table).collect())
+    assert got == +want and 1 < max(got.values())
+
+
+def test_columns_of_any_name(spark):
+    """Tables whose columns are called what the operators call theirs."""
+    inner = ["row", "gone", "did", "th", "pos", "norm", "h1", "kept_text", "n_lines", "n_dropped", "src", "block", "epoch", "weight", "repeats", "rest", "edge_block", "block_order", "doc_order", "read_order", "plan_src", "id", "seq", "component_id", "kept", "key", "score", "kind", "words"]
+    rows = [(i, f"line {i % 3} one two three four\nother {i} words stand in here", "ab"[i % 2], *[f"{c}{i}" for c in inner]) for i in range(12)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{c}` string" for c in inner))
+    labels = spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, toxic int")
+    for out in (line_dedup.without_repeats(table), mixing.mixed(table), near_dedup.without_near_copies(table), toxicity.without_toxic(table, labels)):
+        assert out.columns == table.columns
+        got = out.collect()
+        assert got and all(r[c] == f"{c}{r.doc_id}" for r in got for c in inner)
+
+
+def test_near_ids_with_several_texts(spark):
+    rng = random.Random(9)
+    a, b, c = (" ".join(words(rng, 60)) for _ in range(3))
+    table = [(5, a), (5, b), (9, b), (11, a), (3, c), (20, c), (20, b), (30, c + " x"), (40, None), (40, "")]
+    got = near_dedup.classified(spark.createDataFrame(table, "doc_id long, text string"), 3, 85).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(5, 3), (9, 3), (11, 3), (3, 3), (20, 3), (30, 3), (40, 40)} and len(got) == len(table)
+
+
+def test_near_in_blocks(spark, monkeypatch):
+    """A bucket of several groups that share most of their shingles' minima, met block by block."""
+    monkeypatch.setattr(near_dedup, "CHUNK", 4)
+    test_near(spark, 3, 85)
+
+
+def test_risk_and_its_negative_branch():
+    """The direction is the gradient of prior * risk + corrected risk, or minus that of the latter where it is negative."""
+    rng = np.random.default_rng(5)
+    p, u = (rng.random((20, 4)) < 0.6).astype(float), (rng.random((30, 4)) < 0.3).astype(float)
+    loss = lambda x, sign, w, b: np.mean([np.log1p(np.exp(-sign * (sum(v * k for v, k in zip(row, w)) + b))) for row in x])
+    seen = set()
+    for prior, w, b in [(0.2, rng.standard_normal(4), -1.0), (0.9, np.array([4.0, 4.0, 4.0, 4.0]), 1.0), (0.5, np.zeros(4), 0.0)]:
+        first = lambda w, b: prior * loss(p, 1, w, b)
+        second = lambda w, b: loss(u, -1, w, b) - prior * loss(p, -1, w, b)
+        a, c, g, gb = toxicity.step_of(p, u, w, b, prior)
+        assert np.isclose(a, first(w, b)) and np.isclose(c, second(w, b))
+        followed = (lambda w, b: first(w, b) + second(w, b)) if c >= 0 else (lambda w, b: -second(w, b))
+        seen.add(c >= 0)
+        slopes = [(followed(w + e, b) - followed(w - e, b)) / 2e-6 for e in np.eye(4) * 1e-6]
+        assert np.allclose(g, slopes, atol=1e-6) and np.isclose(gb, (followed(w, b + 1e-6) - followed(w, b - 1e-6)) / 2e-6, atol=1e-6)
+    assert seen == {True, False}
+
+
 def test_toxicity(spark):
     rng = random.Random(2)
     table = [(i, " ".join(words(rng, 40) + (["vile", "filth"] if i % 4 == 0 else [])), "z") for i in range(600)] + [(600, None, "z"), (601, "", "z")]
