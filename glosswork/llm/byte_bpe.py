@@ -23,6 +23,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -201,7 +202,7 @@ def stretches(text: str) -> list[str]:
 
 
 class Memo:
-    """Ids by stretch, as decimal text and as 32-bit numbers: of first stretches, and of those led by a space."""
+    """Ids by stretch, as decimal text and as 32-bit numbers of this machine: of first stretches, and of those led by a space."""
 
     def __init__(self, bpe: ByteBPE, cuts: bool = True):
         self.bpe, self.cut = bpe, stretches if cuts else lambda text: [text]
@@ -213,7 +214,7 @@ class Memo:
         known = self.bpe.encode_pieces(chain.from_iterable(split))
         for (memory, x, _), pieces in zip(new, split):
             ids = list(chain.from_iterable(map(known.__getitem__, pieces)))
-            memory[x] = ",".join(map(str, ids)), np.array(ids, "<i4").tobytes()
+            memory[x] = ",".join(map(str, ids)), array("i", ids).tobytes()
 
     def ids(self, parts: list[str]) -> tuple[str, bytes]:
         """(decimal ids joined by commas, the ids) of a text cut into stretches that are known."""
@@ -246,7 +247,7 @@ def encode_decode(docs: DataFrame, vocabulary: str | None = None, pattern: str =
             for start, texts in slices(batch):
                 known = memo.encode_many(texts)
                 counts = [len(raw) // 4 for _, raw in known]
-                decoded = memo.bpe.decode_many(np.frombuffer(b"".join(raw for _, raw in known), "<i4"), counts)
+                decoded = memo.bpe.decode_many(np.frombuffer(b"".join(raw for _, raw in known), np.int32), counts)
                 sums = [[hashlib.sha256(x).hexdigest() for x in xs] for xs in ((listed.encode() for listed, _ in known), decoded)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), pa.array(counts, pa.int64()), *map(pa.array, sums)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
