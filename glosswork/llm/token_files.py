@@ -82,7 +82,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.known = Remembered()
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.plain.encode_special_tokens = True  # for stretches without the sign, which hold none: they needn't be looked for
         size = self.tokenizer.get_vocab_size()
         special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         if any(self.SIGN not in x or self._cut(x) != [x] for x in special):
@@ -95,7 +96,7 @@ class WordEncoder:
 
     def _together(self, stretches: list[str], between: str) -> np.ndarray:
         joined = [between.join(stretches[i:i + 100]) + between for i in range(0, len(stretches), 100)]
-        return np.concatenate([np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)])
+        return np.concatenate([np.array(x.ids, "<u4") for x in self.plain.encode_batch_fast(joined, add_special_tokens=False)])
 
     def learn(self, stretches: set[str]) -> None:
         new = self.known.missing(stretches)
