@@ -11,7 +11,8 @@ differs from all others.
 Anchors whose hash comes once are dropped before any text moves. Equal texts are one text with a
 count, and equal surroundings of an anchor are one with a count, combined before the shuffle. A group with more
 than HOT distinct surroundings is not brought into one task: its windows are counted by digest instead, which
-is exact too.
+is exact too. Neighbouring anchors of a text whose surroundings are equal, as over one byte or a short period
+repeated, are one entry with the number of times, so that such a stretch has no more entries than any other.
 
 Defined results: a null or empty text has no bytes and no spans; texts under WINDOW bytes lose nothing; equal
 texts, under any doc_id or none, get equal results, and lose everything if they have WINDOW bytes or more; an
@@ -33,6 +34,8 @@ from pyspark.sql import functions as F
 from .common import stored, table_of, whole_text
 
 WINDOW, GRAM, HOT = 200, 32, 20_000
+#: Windows of a text whose anchors are looked for at once, and surroundings that a worker holds at once.
+BLOCK, HELD = 1 << 22, 20_000
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -70,8 +73,39 @@ def anchors_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return h[place[first]].view(np.int64), place[first], first, last
 
 
+def merged(data: np.ndarray, first: np.ndarray, last: np.ndarray, h: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(entries that stay, times of each): neighbouring anchors with equal surroundings become the first of them.
+
+    Anchors serve adjoining windows, so those of a run with equal surroundings stand as far apart as one serves windows.
+    """
+    times, stays, step = np.ones(len(h), np.int64), np.ones(len(h), bool), np.diff(first)
+    alike = np.flatnonzero((h[1:] == h[:-1]) & (np.diff(place) == step) & (np.diff(last) == step))
+    for run in np.split(alike, np.flatnonzero(np.diff(alike) != 1) + 1):
+        if not len(run):
+            continue
+        a, z, d = first[run[0]], last[run[-1]] + WINDOW, step[run[0]]
+        uneven = np.concatenate([[0], np.cumsum(data[a:z] != data[a + d:z + d])])
+        equal = run[uneven[last[run] + WINDOW - a] == uneven[first[run] - a]]
+        for part in np.split(equal, np.flatnonzero(np.diff(equal) != 1) + 1):
+            if len(part):
+                times[part[0]] += len(part)
+                stays[part + 1] = False
+    return stays, times[stays]
+
+
+def entries_of(data: bytes) -> Iterator[tuple[np.ndarray, ...]]:
+    """(hash, place, first, last, times) of a text's anchors, block after block; an anchor at a block's edge comes in both,
+    each time with the windows that it serves there."""
+    for at in range(0, len(data) - WINDOW + 1, BLOCK):
+        block = data[at:at + BLOCK + WINDOW - 1]
+        h, place, first, last = anchors_of(block)
+        stays, times = merged(np.frombuffer(block, np.uint8), first, last, h, place)
+        yield h[stays], place[stays] + at, first[stays] + at, last[stays] + at, times
+
+
 def common(a: bytes, b: bytes) -> int:
-    return len(commonprefix([a, b]))
+    """Bytes that two sides share, WINDOW at most: no window needs more, and intervals that differ beyond it are one."""
+    return len(commonprefix([a[:WINDOW], b[:WINDOW]]))
 
 
 def intervals(heights: list[int]) -> list[tuple[int, int, int]]:
@@ -115,14 +149,14 @@ def removed(docs: DataFrame) -> DataFrame:
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                h, place, first, last = anchors_of(batch.column(1)[i].as_py())
-                th = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(h), np.int32)), batch.column(0).slice(i, 1)).dictionary_decode()
-                yield pa.RecordBatch.from_arrays([th, *map(pa.array, (h, place, first, last))], ["th", "h", "p", "s", "e"])
+                for entry in entries_of(batch.column(1)[i].as_py()):
+                    th = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(entry[0]), np.int32)), batch.column(0).slice(i, 1)).dictionary_decode()
+                    yield pa.RecordBatch.from_arrays([th, *map(pa.array, entry)], ["th", "h", "p", "s", "e", "k"])
 
-    anchors = stored(texts.mapInArrow(mark, "th binary, h long, p long, s long, e long"), "anchors")
+    anchors = stored(texts.mapInArrow(mark, "th binary, h long, p long, s long, e long, k long"), "anchors")
     one = F.xxhash64("th", "p")
-    again = stored(anchors.groupBy("h").agg(F.min(one).alias("a"), F.max(one).alias("b")).where("a <> b").select("h"), "anchors-again")
-    lists = anchors.join(again, "h", "left_semi").groupBy("th").agg(F.collect_set(F.struct("h", "p", "s", "e")).alias("found"))
+    again = stored(anchors.groupBy("h").agg(F.min(one).alias("a"), F.max(one).alias("b"), F.max("k").alias("k")).where("a <> b or k > 1").select("h"), "anchors-again")
+    lists = anchors.join(again, "h", "left_semi").groupBy("th").agg(F.collect_set(F.struct("h", "p", "s", "e", "k")).alias("found"))
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = zstandard.ZstdCompressor(3)
@@ -136,15 +170,19 @@ def removed(docs: DataFrame) -> DataFrame:
         d = zstandard.ZstdDecompressor()
         for batch in batches:
             for i in range(batch.num_rows):
-                data, rows = d.decompress(batch.column(1)[i].as_py()), batch.column(2)[i].as_py() or []
-                ctx = [data[r["s"]:r["e"] + WINDOW] for r in rows]
-                off = [r["p"] - r["s"] for r in rows]
-                cid = [hashlib.blake2b(c + b"%d" % o, digest_size=12).digest() for c, o in zip(ctx, off)]
-                th = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(rows), np.int32)), batch.column(0).slice(i, 1)).dictionary_decode()
-                yield pa.RecordBatch.from_arrays([th, pa.array([r["h"] for r in rows], pa.int64()), pa.array([r["s"] for r in rows], pa.int64()), pa.array(cid, pa.binary()), pa.array(off, pa.int32()), pa.array(ctx, pa.binary())], ["th", "h", "s", "cid", "off", "ctx"])
-
-    places = suspects.where("found is not null").select("th", "z", "found").mapInArrow(surroundings, "th binary, h long, s long, cid binary, off int, ctx binary")
-    distinct = stored(places.groupBy("h", "cid").agg(F.count(F.lit(1)).alias("n"), F.first("off").alias("off"), F.first("ctx").alias("ctx")), "surroundings")
+                data, found = d.decompress(batch.column(1)[i].as_py()), batch.column(2).slice(i, 1).flatten()
+                for at in range(0, len(found), HELD):
+                    rows = found.slice(at, HELD).to_pylist()
+                    ctx = [data[r["s"]:r["e"] + WINDOW] for r in rows]
+                    off = [r["p"] - r["s"] for r in rows]
+                    cid = [hashlib.blake2b(c + b"%d" % o, digest_size=12).digest() for c, o in zip(ctx, off)]
+                    th = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(rows), np.int32)), batch.column(0).slice(i, 1)).dictionary_decode()
+                    long = [pa.array(x, pa.int64()) for x in ([r["h"] for r in rows], [r["s"] for r in rows], [r["k"] for r in rows], [(r["k"] - 1) * (r["e"] - r["s"] + 1) for r in rows])]
+                    yield pa.RecordBatch.from_arrays([th, *long, pa.array(cid, pa.binary()), pa.array(off, pa.int32()), pa.array(ctx, pa.binary())], ["th", "h", "s", "k", "tail", "cid", "off", "ctx"])
+
+    # an entry's surroundings stand k times, the last of them `tail` bytes after the first; what repeats in one does in all
+    places = suspects.where("found is not null").select("th", "z", "found").mapInArrow(surroundings, "th binary, h long, s long, k long, tail long, cid binary, off int, ctx binary")
+    distinct = stored(places.groupBy("h", "cid").agg(F.sum("k").alias("n"), F.first("off").alias("off"), F.first("ctx").alias("ctx")), "surroundings")
     sizes = distinct.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("all")).where("all > 1")
     hot = stored(sizes.where(F.col("m") > HOT).select("h"), "hot-anchors")
     ranges = "cid binary, least int, most int"  # in bytes left of the anchor
@@ -189,7 +227,7 @@ def removed(docs: DataFrame) -> DataFrame:
     each = distinct.join(hot, "h", "left_semi").select("cid", "n", "off", "ctx").mapInArrow(windows, "w binary, cid binary, n long, left int")
     twice = stored(each.groupBy("w").agg(F.sum("n").alias("all")).where("all > 1").select("w"), "hot-windows")
     found = found.union(each.join(twice, "w", "left_semi").select("cid", F.col("left").alias("least"), F.col("left").alias("most")))
-    spans = places.select("th", "s", "cid", "off").join(found.distinct(), "cid").select("th", (F.col("s") + F.col("off") - F.col("most")).alias("a"), (F.col("s") + F.col("off") - F.col("least") + WINDOW).alias("b"))
+    spans = places.select("th", "s", "tail", "cid", "off").join(found.distinct(), "cid").select("th", (F.col("s") + F.col("off") - F.col("most")).alias("a"), (F.col("s") + F.col("off") - F.col("least") + WINDOW + F.col("tail")).alias("b"))
     by_text = spans.groupBy("th").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     cut = suspects.where("n = 1").select("th", "z").join(by_text, "th")
 

@@ -151,9 +151,8 @@ def test_near(spark, k, threshold):
     assert got[None].kept and got[None].component_id is None
 
 
-def test_repeats(docs, rows):
+def kept_by_brute_force(raw):
     windows = Counter()
-    raw = [(i, (t or "").encode()) for i, t, *_ in rows]
     for _, b in raw:
         windows.update(b[i:i + 200] for i in range(len(b) - 199))
     want = Counter()
@@ -164,9 +163,41 @@ def test_repeats(docs, rows):
                 mask[j:j + 200] = b"\1" * 200
         runs = sum(m and not (j and mask[j - 1]) for j, m in enumerate(mask))
         want[i, len(b), sum(mask), runs, hashlib.sha256(bytes(x for x, m in zip(b, mask) if not m)).hexdigest()] += 1
+    return want
+
+
+def test_repeats(docs, rows):
+    want = kept_by_brute_force([(i, (t or "").encode()) for i, t, *_ in rows])
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeat_spans.removed(docs).collect()) == want
 
 
+@pytest.mark.parametrize("block", [repeat_spans.BLOCK, 150])
+def test_repeats_in_periodic_texts(spark, monkeypatch, block):
+    rng = random.Random(5)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    texts = []
+    for period in (1, 2, 3, 7, 31, 32, 33, 100, 168, 169, 170, 199, 200, 201, 350):
+        unit = noise(period)
+        for size in (199, 200, 201, 199 + period, 200 + period, 900):
+            texts.append(noise(rng.randrange(300)) + (unit * 900)[:size] + noise(rng.randrange(300)))
+        texts.append(noise(250) + (unit * 900)[3:203] + noise(250) + (unit * 900)[:450] + "!" + (unit * 900)[:450])
+    texts += [" " * 199, " " * 200, " " * 2000, "\n" * 201, "ab" * 99 + "a", "x" + " " * 199 + "y"]
+    table = list(enumerate(texts))
+    rng.shuffle(table)
+    monkeypatch.setattr(repeat_spans, "BLOCK", block)
+    got = repeat_spans.removed(spark.createDataFrame(table, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == kept_by_brute_force([(i, t.encode()) for i, t in table])
+
+
+@pytest.mark.parametrize("unit", [" ", "ab", "0123456789" * 9, "word and word or "])
+def test_long_periodic_texts_have_few_entries(unit):
+    data = (unit * 300_000)[:300_000].encode()
+    entries = list(repeat_spans.entries_of(b"begin" + data + b"end"))
+    assert sum(len(e[0]) for e in entries) < 800
+    windows = sum(int(((e[3] - e[2] + 1) * e[4]).sum()) for e in entries)
+    assert windows == len(data) + 8 - 199
+
+
 def test_repeats_in_hot_groups(docs, monkeypatch):
     want = sorted(map(repr, repeat_spans.removed(docs).collect()))
     monkeypatch.setattr(repeat_spans, "HOT", 1)
