@@ -31,7 +31,9 @@ from .common import slices, stored, table_of, whole_text
 POSITIVES, UNLABELLED, FEATURES = 4000, 8000, 2000
 FULL = 4.0  # standard errors between a word's shares in the two samples from which its presence counts as 1
 BEGINNINGS = (5, 6, 7, 8)
-EPOCHS, BATCH, RATE, DECAY = 400, 8000, 0.05, 1e-4
+EPOCHS, RATE, DECAY = 400, 0.05, 1e-4
+#: Entries of presence lists worked on at a time.
+PART = 1 << 20
 _STOPS = re.compile(r"[^\w\s]+")
 
 
@@ -46,14 +48,43 @@ def features_of(text: str) -> set[str]:
     return words.union([w[:n] + "*" for w in words for n in BEGINNINGS if len(w) > n])
 
 
-def _batch_risk(x: np.ndarray, w: np.ndarray, b: float, sign: float) -> tuple[float, np.ndarray, float]:
+class Presence:
+    """Rows of 0/1 presence, times the scale of each column, held as lists of columns of 16 bits."""
+
+    def __init__(self, rows: list[np.ndarray], scale: np.ndarray):
+        self.scale, self.size, self.parts = scale, len(rows), []
+        first, have = 0, 0
+        for i, row in enumerate(rows):
+            have += len(row)
+            if have >= PART or i == len(rows) - 1:
+                some = rows[first:i + 1]
+                self.parts.append((first, np.array([len(r) for r in some]), np.concatenate(some).astype(np.uint16)))
+                first, have = i + 1, 0
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __matmul__(self, w: np.ndarray) -> np.ndarray:
+        w = w * self.scale
+        sums = [np.bincount(np.repeat(np.arange(len(n)), n), weights=w[columns], minlength=len(n)) for _, n, columns in self.parts]
+        return np.concatenate(sums) if sums else np.zeros(0)
+
+    def back(self, g: np.ndarray) -> np.ndarray:
+        """The transposed rows times g."""
+        out = np.zeros(len(self.scale))
+        for first, n, columns in self.parts:
+            out += np.bincount(columns, weights=np.repeat(g[first:first + len(n)], n), minlength=len(out))
+        return out * self.scale
+
+
+def _batch_risk(x: Presence, w: np.ndarray, b: float, sign: float) -> tuple[float, np.ndarray, float]:
     """Mean logistic loss of calling rows `sign`, and its gradient."""
     z = -sign * (x @ w + b)
     g = -sign / (1 + np.exp(-np.clip(z, -60, 60))) / max(1, len(x))
-    return float(np.logaddexp(0, z).mean()) if len(x) else 0.0, x.T @ g, float(g.sum())
+    return float(np.logaddexp(0, z).mean()) if len(x) else 0.0, x.back(g), float(g.sum())
 
 
-def step_of(p: np.ndarray, u: np.ndarray, w: np.ndarray, b: float, prior: float) -> tuple[float, float, np.ndarray, float]:
+def step_of(p: Presence, u: Presence, w: np.ndarray, b: float, prior: float) -> tuple[float, float, np.ndarray, float]:
     """(risk of the confirmed as toxic, corrected risk as clean, direction for weights and for the bias): the gradient of
     both terms, or backwards that of the second where it is below zero."""
     rp, gp, bp = _batch_risk(p, w, b, 1.0)
@@ -64,24 +95,17 @@ def step_of(p: np.ndarray, u: np.ndarray, w: np.ndarray, b: float, prior: float)
     return prior * rp, run - prior * rpn, prior * gpn - gun, prior * bpn - bun
 
 
-def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, scale: np.ndarray, seed: int = 6) -> tuple[np.ndarray, float]:
-    """Weights and bias that minimise the non-negative risk; rows are 0/1 presence, times the scale of each column."""
-    rng = np.random.default_rng(seed)
-    n = positive.shape[1]
+def train(positive: Presence, unlabelled: Presence, prior: float) -> tuple[np.ndarray, float]:
+    """Weights and bias that minimise the non-negative risk, by steps over the whole bounded sample."""
+    n = len(positive.scale)
     w, b = np.zeros(n), float(np.log(prior / (1 - prior)))
-    m, v, t = np.zeros(n + 1), np.zeros(n + 1), 0
-    steps = max(1, -(-len(unlabelled) // BATCH))
+    m, v = np.zeros(n + 1), np.zeros(n + 1)
     for epoch in range(EPOCHS):
-        ps, us = rng.permutation(len(positive)), rng.permutation(len(unlabelled))
-        for k in range(steps):
-            p = positive[np.take(ps, np.arange(k * len(ps) // steps, max(k * len(ps) // steps + 1, (k + 1) * len(ps) // steps)), mode="wrap")] * scale
-            u = unlabelled[us[k * BATCH:(k + 1) * BATCH]] * scale
-            _, _, g, gb = step_of(p, u, w, b, prior)
-            g = np.append(g + DECAY * w, gb)
-            t += 1
-            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-            move = RATE * (1 - epoch / EPOCHS) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-            w, b = w - move[:-1], b - move[-1]
+        _, _, g, gb = step_of(positive, unlabelled, w, b, prior)
+        g, t = np.append(g + DECAY * w, gb), epoch + 1
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        move = RATE * (1 - epoch / EPOCHS) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        w, b = w - move[:-1], b - move[-1]
     return w, b
 
 
@@ -122,14 +146,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], float]:
     if not vocabulary:
         return {}, float(np.log(prior / (1 - prior)))
     index = {w: i for i, w in enumerate(vocabulary)}
-    listed = F.array(*(F.lit(w) for w in vocabulary))
-    rows = sample.orderBy("doc_id", "kind").select("kind", F.array_intersect("words", listed).alias("words")).toLocalIterator()
-    x, kinds = np.zeros((sum(sizes.values()), len(vocabulary)), np.uint8), []
-    for i, r in enumerate(rows):
-        x[i, [index[w] for w in r.words]] = 1
-        kinds.append(r.kind)
-    kinds = np.array(kinds)
-    w, b = train(x[kinds == 1], x[kinds == 0] if (kinds == 0).any() else x, prior, scale)
+    listed = F.split(F.lit(" ".join(vocabulary)), " ")  # words hold no space; one literal, not one a word
+    rows: dict[int, list[np.ndarray]] = {0: [], 1: []}
+    for r in sample.orderBy("doc_id", "kind").select("kind", F.array_intersect("words", listed).alias("words")).toLocalIterator():
+        rows[r.kind].append(np.array([index[x] for x in r.words], np.uint16))
+    w, b = train(Presence(rows[1], scale), Presence(rows[0] or rows[1], scale), prior)
     return dict(zip(vocabulary, (w * scale).tolist())), b
 
 

@@ -295,7 +295,7 @@ def test_risk_and_its_negative_branch():
     for prior, w, b in [(0.2, rng.standard_normal(4), -1.0), (0.9, np.array([4.0, 4.0, 4.0, 4.0]), 1.0), (0.5, np.zeros(4), 0.0)]:
         first = lambda w, b: prior * loss(p, 1, w, b)
         second = lambda w, b: loss(u, -1, w, b) - prior * loss(p, -1, w, b)
-        a, c, g, gb = toxicity.step_of(p, u, w, b, prior)
+        a, c, g, gb = toxicity.step_of(*(toxicity.Presence([np.flatnonzero(r) for r in x], np.ones(4)) for x in (p, u)), w, b, prior)
         assert np.isclose(a, first(w, b)) and np.isclose(c, second(w, b))
         followed = (lambda w, b: first(w, b) + second(w, b)) if c >= 0 else (lambda w, b: -second(w, b))
         seen.add(c >= 0)
@@ -304,6 +304,17 @@ def test_risk_and_its_negative_branch():
     assert seen == {True, False}
 
 
+@pytest.mark.parametrize("part", [1, 7, 1 << 20])
+def test_presence_against_matrices(monkeypatch, part):
+    monkeypatch.setattr(toxicity, "PART", part)
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 40):
+        x, scale, w, g = rng.random((n, 9)) < 0.3, rng.random(9), rng.standard_normal(9), rng.standard_normal(n)
+        x[1::3] = False
+        rows = toxicity.Presence([np.flatnonzero(r) for r in x], scale)
+        assert len(rows) == n and np.allclose(rows @ w, (x * scale) @ w) and np.allclose(rows.back(g), (x * scale).T @ g)
+
+
 def test_toxicity(spark):
     rng = random.Random(2)
     table = [(i, " ".join(words(rng, 40) + (["vile", "filth"] if i % 4 == 0 else [])), "z") for i in range(600)] + [(600, None, "z"), (601, "", "z")]
