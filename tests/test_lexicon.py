@@ -96,3 +96,25 @@ def test_grid_maps(spark):
 def test_norm_hyphen_boxes_compares_no_pairs(spark):
     found = QUERIES["norm_hyphen_boxes"](spark, SF)
     assert not compares_all(found) and "Join" not in plan_of(found)
+
+
+def test_places(spark, monkeypatch):
+    rng = random.Random(11)
+    data, asked = some_rows(rng, 80, 20)  # numbers of pages repeat in a document
+    pages, queries = spark.createDataFrame(data, PAGES), spark.createDataFrame(asked, "query_id long, text string")
+    at = ["query_id", "doc_id", "page_index", "start", "end", "place"]
+    want = rows(search.ordered(search.literal_matches(pages, queries)), *at)
+    again = queries.unionByName(spark.createDataFrame([(1, "c"), (2, "a")], queries.schema))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        for size in (1, 60, 200_000):
+            monkeypatch.setattr(lexicon, "SLICE", size)
+            assert rows(search.ordered_literal_matches(pages, queries), *at) == want and want
+        assert rows(search.ordered_literal_matches(pages, again), *at) == rows(search.ordered(search.literal_matches(pages, again)), *at)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_order_hits_sorts_no_matches(spark):
+    found = QUERIES["order_hits"](spark, SF)
+    assert not compares_all(found) and "Window" not in plan_of(found)
