@@ -81,13 +81,13 @@ class Remembered(dict):
 
     def missing(self, wanted: set) -> list:
         """Makes room, and returns what of `wanted` is to be computed now."""
-        new = wanted - self.keys()
+        new = {x for x in wanted if x not in self}  # a difference of sets would go through all that is held
         if len(self) + len(new) > self.most:
             kept = {k: self[k] for k in self.again} if 2 * len(self.again) < self.most else {}
             self.clear()
             self.update(kept)
             self.again = set()
-            new = wanted - self.keys()
+            new = {x for x in wanted if x not in self}
         else:
             self.again |= wanted - new
         return list(new)

@@ -12,13 +12,14 @@ equal doc_id follow one another by text; an empty table writes no blocks. Extra
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -119,21 +120,30 @@ class WordEncoder:
             self.known[x] = raw[4 * start:4 * end]
             start = end + skip
 
+    def _parted(self, text: str) -> str:
+        return self._STOP.sub(r" \g<0>", text.replace("\n", " ").replace("\r", " ").replace("\t", " "))
+
     def _cut(self, text: str) -> list[str]:
-        return self._STOP.sub(r" \g<0>", text.replace("\n", " ").replace("\r", " ").replace("\t", " ")).split(" ")
+        return self._parted(text).split(" ")
 
     def _lowered(self, text: str) -> str:
         lower = text.lower()
         return text if any(x in lower for x in self.opening) else lower
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self._cut(self._lowered(x) if x.isascii() else x) for x in texts]
-        self.learn(set(chain.from_iterable(cut)))
-        return [b"".join(map(self.known.__getitem__, c)) for c in cut]
+        """Each text's ids. Only different stretches become Python objects; a text's ids are put together from theirs, by number."""
+        cut = pc.split_pattern(pa.array([self._parted(self._lowered(x) if x.isascii() else x) for x in texts], pa.large_string()), " ")
+        coded = cut.flatten().dictionary_encode()
+        each, which = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        self.learn(set(each))
+        raw = list(map(self.known.__getitem__, each))
+        at = cut.offsets.to_pylist()
+        return [b"".join(map(raw.__getitem__, which[a:b].tolist())) for a, b in zip(at, at[1:])]
 
 
 def loaded(path: str) -> WordEncoder:
-    """One per worker process."""
+    """One per worker process, whose library stays in one thread: each core has a worker of its own."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return held((WordEncoder, path), lambda: WordEncoder(path))
 
 
