@@ -2,6 +2,9 @@
 
 import random
 import re
+from itertools import product
+
+import numpy as np
 
 from glosswork.operators import layout, lexicon, search
 from glosswork.operators.lexicon import Lexicon
@@ -120,6 +123,43 @@ def test_order_hits_sorts_no_matches(spark):
     assert not compares_all(found) and "Window" not in plan_of(found)
 
 
+def test_pieces_hold_each_row_once():
+    rng = np.random.default_rng(17)
+    for t in range(200):
+        many = rng.integers(1, 12, 6)
+        begin, n = np.cumsum(many) - many, np.sort(rng.integers(0, 6, rng.integers(0, 40)))
+        size, width, held = (int(rng.integers(1, most)) for most in (30, 8, 60))
+        got = []
+        for (who, w), (which, h) in lexicon.pieces(n, many, begin, size, width, held):
+            assert len(w) == len(h)
+            for a, b, c, d in zip(w, w[1:], h, h[1:]):
+                assert 0 < b - a <= width and 0 < (b - a) * (d - c) <= max(size, width)
+                got += product(who[a:b].tolist(), which[c:d].tolist())
+        assert sorted(got) == sorted((q, m) for m, k in enumerate(n.tolist()) for q in range(begin[k], begin[k] + many[k]))
+
+
+def test_order_hits_makes_rows_of_pieces(spark, monkeypatch):
+    """Workers don't write out each query of a match; columns of ids may be null only if some are."""
+    asked = [*((i, "A") for i in range(150)), (200, "b a"), (201, "none"), (202, None)]
+    data = [(d, p, "a b a " * (9 + d)) for d in range(3) for p in range(3)]
+    at = ["query_id", "doc_id", "page_index", "start", "end", "place"]
+    for blocks, page, key, null in ((4_000_000, [], [], []), (2_000, [(None, 1, "a")], [], ["doc_id", "page_index"]), (2_000, [], [(None, "b")], ["query_id"])):
+        monkeypatch.setattr(lexicon, "BLOCK_CHARS", blocks)
+        pages, queries = spark.createDataFrame(data + page, PAGES), spark.createDataFrame(asked + key, "query_id long, text string")
+        found = search.ordered_literal_matches(pages, queries)
+        want = rows(search.ordered(search.literal_matches(pages, queries)), *at)
+        assert rows(found, *at) == want and len(want) > 20_000
+        assert [f.name for f in found.schema if f.nullable] == null and "Generate explode(askers" in plan_of(found)
+
+
+def test_places_with_rects(spark):
+    texts = [(i % 3, i, "ab a\nb ab" * (i + 1)) for i in range(9)]
+    maps = layout.page_maps(layout.glyph_grid(spark.createDataFrame(texts, "doc_id long, page_index int, text string"), ["doc_id", "page_index"]))
+    queries = spark.createDataFrame([(1, "ab"), (2, "AB"), (3, "a b")], "query_id int, text string")
+    got = rows(search.ordered_literal_matches(maps, queries), "query_id", "doc_id", "page_index", "start", "end", "rects")
+    assert got == rows(search.literal_matches(maps, queries, many=True), "query_id", "doc_id", "page_index", "start", "end", "rects") and len(got) > 100
+
+
 def test_many_starters(spark):
     rng = random.Random(13)
     data, asked = some_rows(rng, 60, 40)
